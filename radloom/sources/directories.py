@@ -59,7 +59,7 @@ def find_dirs_pacs(dirs: DataFrame, root: str) -> DataFrame:
     # The root itself may lie below a day level; then its children are the items.
     root_depth = len([p for p in root.strip("/").split("/") if p])
     visited = F.filter(above, lambda a: F.size(F.split(a, "/")) >= max(root_depth, 1)) if root_depth else above
-    first_day = F.element_at(F.filter(visited, lambda a: a.rlike(DAY_LEVEL)), 1)
+    first_day = F.try_element_at(F.filter(visited, lambda a: a.rlike(DAY_LEVEL)), F.lit(1))
     depth = F.size(F.split(full, "/"))
     item = F.array_join(F.slice(F.split(full, "/"), 1, F.size(F.split(first_day, "/")) + 1), "/")
     below = dirs.where(paths.below_root(F.col("dir"), root)) if root else dirs

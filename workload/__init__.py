@@ -3,7 +3,7 @@
 Importing the package fills :data:`workload.registry.QUERIES` and ``ORACLE``.
 """
 
-from workload import cohort, identity  # noqa: F401
+from workload import cohort, identity, jobs, loading, screening, sources  # noqa: F401
 from workload.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

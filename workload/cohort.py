@@ -220,8 +220,8 @@ def job_info(t):
     return C.job_info(V.request(t), KEY)
 
 
-@query("chunk_ids", f"""WITH {V.SQL_REQUEST}, placed AS (SELECT key_value, row_number() OVER (ORDER BY pos) - 1 AS at FROM request)
-SELECT CAST(at // 1000 AS BIGINT) AS chunk, COUNT(*) AS n, string_agg(key_value, ',' ORDER BY at) AS ids FROM placed GROUP BY 1""")
+@query("chunk_ids", f"""WITH {V.SQL_REQUEST}, placed AS (SELECT key_value, row_number() OVER (ORDER BY pos) - 1 AS place FROM request)
+SELECT CAST(floor(place / 1000) AS BIGINT) AS chunk, COUNT(*) AS n, string_agg(key_value, ',' ORDER BY place) AS ids FROM placed GROUP BY 1""")
 def chunk_ids(t):
     return C.chunk_ids(V.request(t)).select("chunk", F.size("identifiers").cast("long").alias("n"),
                                             F.array_join("identifiers", ",").alias("ids"))

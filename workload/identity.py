@@ -85,7 +85,7 @@ SALT = "pepper"
 
 
 def _deid(t, **actions):
-    parsed = V.tagsets(t).select(SOP, TG.parse_tags(F.col("DicomDataset")).alias("tags"))
+    parsed = V.tagsets(t).select(SOP, "flag", TG.parse_tags(F.col("DicomDataset")).alias("tags"))
     return D.deidentify(parsed, D.load_script(SCRIPT.format(**actions)), SALT)
 
 
@@ -115,8 +115,7 @@ SELECT SOPInstanceUID, '9999.' || CAST(('0x' || substr({_SHA.format('StudyInstan
 def deid_hash(t):
     """Patients of plain tag sets and all study UIDs, hashed."""
     out = _deid(t, date="@remove()", patient="@hash(this,10)", study="@hashuid(@UIDROOT,this)")
-    flagged = out.join(V.tagsets(t).select(F.col(SOP).alias("_sop"), "flag").distinct(), F.col(SOP) == F.col("_sop"))
-    return flagged.select(SOP, _tag("0020000D", "study"), F.when(F.col("flag") == "AF", _tag("00100020", "patient")).alias("patient"))
+    return out.select(SOP, _tag("0020000D", "study"), F.when(F.col("flag") == "AF", _tag("00100020", "patient")).alias("patient"))
 
 
 @query("deid_dates", f"""WITH {V.SQL_TAGSETS}
@@ -215,16 +214,16 @@ def _pairs(t):
 
 @query("update_chain", """WITH p AS (SELECT o_orderkey AS seq, o_custkey AS have,
     CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice) AS BIGINT) % 997 END AS want FROM orders),
-  moved AS (WITH RECURSIVE walk(start, at, seq, done) AS (
+  moved AS (WITH RECURSIVE walk(origin, held, seq, done) AS (
     SELECT c_custkey, c_custkey, CAST(-1 AS BIGINT), FALSE FROM customer
-    UNION ALL SELECT start, p.want, p.seq, p.want IS NULL FROM walk JOIN p ON p.have = walk.at AND p.seq = (
-      SELECT MIN(q.seq) FROM p q WHERE q.have = walk.at AND q.seq > walk.seq) WHERE NOT done)
-  SELECT start, arg_max(struct_pack(v := at), seq) AS last FROM walk GROUP BY start)
-SELECT start AS c_custkey, CAST(last.v AS BIGINT) AS value FROM moved""")
+    UNION ALL SELECT origin, p.want, p.seq, p.want IS NULL FROM walk JOIN p ON p.have = walk.held AND p.seq = (
+      SELECT MIN(q.seq) FROM p q WHERE q.have = walk.held AND q.seq > walk.seq) WHERE NOT done)
+  SELECT origin, arg_max(struct_pack(v := held), seq) AS last FROM walk GROUP BY origin)
+SELECT origin AS c_custkey, CAST(last.v AS VARCHAR) AS value FROM moved""")
 def update_chain(t):
     resolved = U.resolve_chain(_pairs(t))
     rows = t.customer.select("c_custkey", F.col("c_custkey").alias("value"))
-    return U.apply_chain(rows, "value", resolved)
+    return U.apply_chain(rows, "value", resolved).select("c_custkey", F.col("value").cast("string").alias("value"))
 
 
 @query("update_audit", """WITH tried AS (SELECT DISTINCT o_custkey AS have FROM orders)
