@@ -18,11 +18,20 @@ BULK_VRS = ("OB", "OW", "OD", "OF", "OL", "OV")
 def parse_tags(json: Column) -> Column:
     """Tag JSON to ``map<tag, struct<vr, val>>``; null if it is not an object.
 
-    A value that is an array or object keeps its JSON text.
+    A value that is an array or object keeps its JSON text.  Only texts that can
+    hold the second dialect pay for merging the two spellings.
     """
-    parsed = F.from_json(json, TAG_MAP)
-    return F.transform_values(parsed, lambda _, e: F.struct(
+    both = F.transform_values(F.from_json(json, TAG_MAP), lambda _, e: F.struct(
         e["vr"].alias("vr"), F.coalesce(e["Value"], e["val"]).alias("val")))
+    return F.when(json.contains('"Value"'), both).otherwise(F.from_json(json, "map<string,struct<vr:string,val:string>>"))
+
+
+def parse_some(json: Column, tags: list[str]) -> Column:
+    """A struct with only the named tags, each ``struct<vr, val, Value>``.
+
+    The parser skips every other tag, so wide sets cost little.
+    """
+    return F.from_json(json, ", ".join(f"`{t}` struct<vr:string,val:string,Value:string>" for t in tags))
 
 
 def tags_to_json(tags: Column) -> Column:
@@ -36,9 +45,16 @@ def entry_values(entry: Column) -> Column:
             .otherwise(F.split(text, r"\\"))
 
 
+def joined_text(vr: Column, text: Column) -> Column:
+    """Value text with its values joined by ``\\``; sequences stay JSON."""
+    is_array = text.startswith("[") & ~vr.eqNullSafe("SQ")
+    return F.when(is_array, F.array_join(F.from_json(text, "array<string>"), "\\")).otherwise(text)
+
+
 def tag_text(tags: Column, tag: str) -> Column:
     """Values of a tag joined by ``\\``; null when absent or empty."""
-    return F.array_join(entry_values(F.try_element_at(tags, F.lit(tag))), "\\")
+    entry = F.try_element_at(tags, F.lit(tag))
+    return joined_text(entry["vr"], entry["val"])
 
 
 def variant_value(variant: Column, *tags: str, as_type: str = "string") -> Column:

@@ -53,9 +53,13 @@ def match_images(ids: DataFrame, key: str, catalogues: list[Catalogue], chain: l
         rows = rows.where(F.col(catalogue.column(PATH)).isNotNull()) \
                    .join(wanted, F.col(own_key) == F.col("_wanted"), "left_semi")
         named = [F.col(catalogue.column(c)).alias(c) for c in (PATH, STUDY, SERIES, SOP)]
-        judged = apply_rejectors(rows, chain).select(F.col(own_key).alias("key_value"), *named, "reject", "reason")
+        if key not in (PATH, STUDY, SERIES, SOP):
+            named.append(F.col(own_key).alias(key))
+        judged = apply_rejectors(rows, chain).select(*named, "reason")
         results = judged if results is None else results.unionByName(judged)
-    return results.distinct()
+    # What follows from these columns is added after the shuffle, not carried through it.
+    return results.distinct().select(F.col(key).alias("key_value"), PATH, STUDY, SERIES, SOP,
+                                     F.col("reason").isNotNull().alias("reject"), "reason")
 
 
 def per_request(ids: DataFrame, per_key: DataFrame) -> DataFrame:

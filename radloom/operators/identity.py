@@ -62,19 +62,21 @@ def swap_with_fallback(df: DataFrame, id_column: str, mapping: DataFrame, surrog
 PATIENT_ID_PROBLEMS = ("Dataset did not contain PatientID", "PatientID was blank", "multiple values for PatientID")
 
 
-def patient_id(tags: Column) -> tuple[Column, Column]:
-    """The one patient identifier of a tag map, and what is wrong with it.
+def with_patient_id(df: DataFrame, tags: str = "tags") -> DataFrame:
+    """Add ``pid``, the one patient identifier of a tag map, and ``pid_problem``.
 
     Blank values are ignored; equal values count once; different ones are an
     error.
     """
-    entry = F.try_element_at(tags, F.lit(PATIENT_ID))
-    values = F.array_distinct(F.filter(entry_values(entry), lambda v: ~is_blank(v)))
-    count = F.coalesce(F.size(values), F.lit(0))
     missing, blank, several = PATIENT_ID_PROBLEMS
-    problem = (F.when(~F.coalesce(F.array_contains(F.map_keys(tags), PATIENT_ID), F.lit(False)), missing)
-               .when(count <= 0, blank).when(count > 1, several))
-    return F.when(count == 1, F.element_at(values, 1)), problem
+    present = F.coalesce(F.array_contains(F.map_keys(tags), PATIENT_ID), F.lit(False))
+    # Step by step, so that each step is computed once per row.
+    read = df.withColumn("_entry", F.try_element_at(F.col(tags), F.lit(PATIENT_ID))).withColumn(
+        "_values", F.array_distinct(F.filter(entry_values(F.col("_entry")), lambda v: ~is_blank(v))))
+    count = F.coalesce(F.size("_values"), F.lit(0))
+    problem = F.when(~present, missing).when(count <= 0, blank).when(count > 1, several)
+    return (read.withColumn("pid", F.when(count == 1, F.try_element_at("_values", F.lit(1))))
+            .withColumn("pid_problem", problem).drop("_entry", "_values"))
 
 
 def swap_patient_id(df: DataFrame, mapping: DataFrame, surrogates: DataFrame | None = None, tags: str = "tags") -> DataFrame:
@@ -82,16 +84,15 @@ def swap_patient_id(df: DataFrame, mapping: DataFrame, surrogates: DataFrame | N
 
     Adds ``fail_reason``; a failed row keeps its tags and must not be passed on.
     """
-    value, problem = patient_id(F.col(tags))
-    found = df.withColumn("_pid", value).withColumn("_problem", problem)
-    swapped = (swap_with_fallback(found, "_pid", mapping, surrogates) if surrogates is not None
-               else swap_lookup(found, "_pid", mapping))
-    ok = F.col("_problem").isNull() & F.col("replacement").isNotNull()
+    found = with_patient_id(df, tags)
+    swapped = (swap_with_fallback(found, "pid", mapping, surrogates) if surrogates is not None
+               else swap_lookup(found, "pid", mapping))
+    ok = F.col("pid_problem").isNull() & F.col("replacement").isNotNull()
     renamed = F.transform_values(F.col(tags), lambda tag, e: F.when(
         tag == PATIENT_ID, F.struct(e["vr"].alias("vr"), F.col("replacement").alias("val"))).otherwise(e))
-    return (swapped.withColumn("fail_reason", F.coalesce("_problem", "fail_reason"))
+    return (swapped.withColumn("fail_reason", F.coalesce("pid_problem", "fail_reason"))
             .withColumn(tags, F.when(ok, renamed).otherwise(F.col(tags)))
-            .drop("_pid", "_problem", "replacement"))
+            .drop("pid", "pid_problem", "replacement"))
 
 
 def swap_stats(swapped: DataFrame, id_column: str, max_length: int | None = None) -> DataFrame:

@@ -23,10 +23,9 @@ def series_from_images(images: DataFrame, directory: str = "DirectoryPath", path
     The representative is the tag set of the first path, which does not depend on
     read order.
     """
-    return images.groupBy(directory, SERIES).agg(
-        F.min_by(STUDY, path).alias(STUDY),
-        F.count("*").alias("ImagesInSeries"),
-        F.min_by(dataset, path).alias(dataset))
+    first = F.min(F.struct(path, STUDY, dataset))
+    grouped = images.groupBy(directory, SERIES).agg(F.count("*").alias("ImagesInSeries"), first.alias("_first"))
+    return grouped.select(directory, SERIES, f"_first.{STUDY}", "ImagesInSeries", f"_first.{dataset}")
 
 
 def recount_series(images: DataFrame) -> DataFrame:

@@ -8,28 +8,34 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.functions.tags import tag_text, parse_tags
+from radloom.functions.tags import joined_text, parse_some, tag_text
 from radloom.schemas import PATH
 from radloom.template import TAG_OF_KEYWORD, TemplateTable
 
 
 def flatten(df: DataFrame, tables: list[TemplateTable], json: str = "DicomDataset", path: str = "DicomFilePath",
-            tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
-    """Columns of a template from tag JSON, plus path, size and message guid.
+            tags: str | None = None, tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
+    """Columns of a template from tag sets, plus path, size and message guid.
 
-    The JSON is parsed once per row; multi-valued tags keep their ``\\`` joint and
-    sequences keep their JSON.
+    Reads a parsed map when ``tags`` names one; else the JSON text is parsed once
+    per row, and only for the template's own tags.  Multi-valued tags keep their
+    ``\\`` joint and sequences keep their JSON.
     """
     names = list(dict.fromkeys(n for t in tables for n in t.names))
     given = {PATH: F.col(path)}
     for carried in ("MessageGuid", "DicomFileSize"):
         if carried in df.columns:
             given[carried] = F.col(carried)
-    parsed = df.withColumn("_tags", parse_tags(F.col(json)))
-    out = [given.pop(n).alias(n) if n in given else
-           (tag_text(F.col("_tags"), tags_of[n]) if n in tags_of else F.lit(None).cast("string")).alias(n)
-           for n in names]
-    return parsed.select(*out, *[c.alias(n) for n, c in given.items()])
+    wanted = {n: tags_of[n] for n in names if n not in given and n in tags_of}
+    if tags is not None:
+        read = {n: tag_text(F.col(tags), tag) for n, tag in wanted.items()}
+    else:
+        df = df.withColumn("_tags", parse_some(F.col(json), list(wanted.values())))
+        entry = lambda tag, part: F.col(f"_tags.`{tag}`.{part}")
+        read = {n: joined_text(entry(tag, "vr"), F.coalesce(entry(tag, "Value"), entry(tag, "val")))
+                for n, tag in wanted.items()}
+    out = [given.pop(n).alias(n) if n in given else read.get(n, F.lit(None).cast("string")).alias(n) for n in names]
+    return df.select(*out, *[c.alias(n) for n, c in given.items()])
 
 
 @dataclass(frozen=True)

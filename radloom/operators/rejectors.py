@@ -118,8 +118,8 @@ class DynamicRules:
             return F.lit(None).cast("string")
         case = F
         for rule in self.rules:
-            case = case.when(F.expr(rule.when), F.expr(rule.reason).cast("string"))
-        return blank_to_null(case)
+            case = case.when(F.expr(rule.when), blank_to_null(F.expr(rule.reason).cast("string")))
+        return case.otherwise(F.lit(None).cast("string"))
 
     def explain(self, df: DataFrame) -> DataFrame:
         """The verdict per row, and which rules hold on their own."""

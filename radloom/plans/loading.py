@@ -43,8 +43,8 @@ def load_relational(images: DataFrame, template: dict[str, TemplateTable], mappi
     """
     batch = load.dedupe_batch(images).withColumn("tags", parse_tags(F.col("DicomDataset")))
     swapped = identity.swap_patient_id(batch, mapping, surrogates)
-    ready = swapped.where(F.col("fail_reason").isNull()).withColumn("DicomDataset", tags_to_json(F.col("tags")))
-    flat = project.flatten(ready, list(template.values()))
+    ready = swapped.where(F.col("fail_reason").isNull())
+    flat = project.flatten(ready, list(template.values()), tags="tags")
     levels = load.split_levels(flat, template)
     parted = load.isolate(levels["study"], levels["series"], levels["image"])
     keys = {"study": STUDY, "series": SERIES, "image": SOP}

@@ -59,3 +59,14 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that later reads see one fixed result."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input too small to give each of them a split.
+
+    A table of fewer splits than cores may be a single row group, hence a single
+    task.  It is at most a split per core in size and cheap to move; anything
+    larger has more splits than there are cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

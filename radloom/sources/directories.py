@@ -36,13 +36,15 @@ def find_dirs(files: DataFrame, pattern: str = "*.dcm") -> DataFrame:
     Once a directory qualifies, nothing below it is a work item of its own.
     """
     holding = _dirs_holding(files, paths.like_glob(paths.file_name(F.col("path")), pattern))
-    # Only the set of qualifying directories is compared, never the files.
+    # Only the set of qualifying directories is compared, never the files.  All
+    # uses of the set share one shuffle of it; a left join with a null test keeps
+    # that shuffle intact, where an anti join would be pushed below it.
     shadowed = (
         holding.select("dir", F.explode(paths.ancestors(F.col("dir"))).alias("above"))
         .join(holding.select(F.col("dir").alias("above")), "above", "left_semi")
-        .select("dir").distinct()
+        .select("dir").distinct().withColumn("_shadowed", F.lit(True))
     )
-    return holding.join(shadowed, "dir", "left_anti")
+    return holding.join(shadowed, "dir", "left").where(F.col("_shadowed").isNull()).select("dir")
 
 
 def find_dirs_pacs(dirs: DataFrame, root: str) -> DataFrame:
