@@ -55,16 +55,10 @@ def join_levels(study: DataFrame, series: DataFrame, image: DataFrame) -> DataFr
     return image.join(series, SERIES).join(study, STUDY)
 
 
-def _row_digest(df: DataFrame, key: str) -> Column:
-    rest = [c for c in df.columns if c != key]
-    return F.sha2(F.to_json(F.struct(*rest)), 256) if rest else F.lit("")
-
-
 def colliding_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys held by more than one different row."""
-    digest = df.select(key, _row_digest(df, key).alias("_d"))
-    spread = digest.groupBy(key).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    return spread.where(F.col("_lo") != F.col("_hi")).select(key)
+    held = df.distinct().groupBy(key).agg(F.count("*").alias("_rows"))
+    return held.where(F.col("_rows") > 1).select(key)
 
 
 @dataclass(frozen=True)
@@ -82,15 +76,16 @@ def isolate(study: DataFrame, series: DataFrame, image: DataFrame) -> Isolated:
     towards the images and towards the study.
     """
     bad_study, bad_series, bad_image = (colliding_keys(d, k) for d, k in ((study, STUDY), (series, SERIES), (image, SOP)))
-    links = image.select(SOP, SERIES).join(series.select(SERIES, STUDY), SERIES, "left")
-    marked = (links.join(bad_image.withColumn("_i", F.lit(True)), SOP, "left")
-              .join(bad_series.withColumn("_s", F.lit(True)), SERIES, "left")
-              .join(bad_study.withColumn("_t", F.lit(True)), STUDY, "left"))
-    hit = marked.where(F.coalesce("_i", "_s", "_t", F.lit(False)))
+    # Only sets of bad keys travel between the levels: down to what hangs below
+    # them, and up to what they hang on.
+    below_study = bad_series.union(series.join(bad_study, STUDY, "left_semi").select(SERIES)).distinct()
+    images = bad_image.union(image.join(below_study, SERIES, "left_semi").select(SOP)).distinct()
+    above_image = image.join(bad_image, SOP, "left_semi").select(SERIES)
+    on_series = bad_series.union(above_image).distinct()
     keys = {
-        "study": (study, STUDY, hit.select(STUDY).where(F.col(STUDY).isNotNull()).union(bad_study).distinct()),
-        "series": (series, SERIES, hit.select(SERIES).union(bad_series).distinct()),
-        "image": (image, SOP, hit.select(SOP).union(bad_image).distinct()),
+        "study": (study, STUDY, bad_study.union(series.join(on_series, SERIES, "left_semi").select(STUDY)).distinct()),
+        "series": (series, SERIES, below_study.union(above_image).distinct()),
+        "image": (image, SOP, images),
     }
     return Isolated({n: d.join(k, c, "left_anti") for n, (d, c, k) in keys.items()},
                     {n: d.join(k, c, "left_semi") for n, (d, c, k) in keys.items()})

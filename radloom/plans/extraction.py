@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -14,12 +15,37 @@ from radloom.schemas import Catalogue
 
 @dataclass(frozen=True)
 class Extraction:
-    info: DataFrame
+    """One extraction; each result is planned when it is first asked for."""
+
+    ids: DataFrame
+    options: ExtractionOptions
+    directory: str
+    resolver: str
     matched: DataFrame
-    summary: DataFrame
-    reasons: DataFrame
-    files: DataFrame
-    collections: DataFrame
+
+    @cached_property
+    def info(self) -> DataFrame:
+        return cohort.job_info(self.ids, self.options.key)
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        return cohort.chunk_ids(self.ids, self.options.max_ids_per_message)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return cohort.match_summary(self.ids, self.matched)
+
+    @cached_property
+    def reasons(self) -> DataFrame:
+        return cohort.rejection_reasons(self.matched)
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return cohort.dispatch(self.matched, self.directory, self.options.identifiable, self.resolver)
+
+    @cached_property
+    def collections(self) -> DataFrame:
+        return cohort.collection_info(self.ids, self.matched, self.files)
 
 
 def plan_extraction(ids: DataFrame, options: ExtractionOptions, modality: str, directory: str,
@@ -29,12 +55,4 @@ def plan_extraction(ids: DataFrame, options: ExtractionOptions, modality: str, d
     options.validate()
     chain = select_chain(modality, base, specific or [], options.no_filters)
     routed = cohort.route_catalogues(catalogues, modality, options.key)
-    matched = cohort.match_images(ids, options.key, routed, chain)
-    files = cohort.dispatch(matched, directory, options.identifiable, resolver)
-    return Extraction(
-        info=cohort.job_info(ids, options.key),
-        matched=matched,
-        summary=cohort.match_summary(ids, matched),
-        reasons=cohort.rejection_reasons(matched),
-        files=files,
-        collections=cohort.collection_info(ids, matched, files))
+    return Extraction(ids, options, directory, resolver, cohort.match_images(ids, options.key, routed, chain))

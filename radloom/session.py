@@ -61,12 +61,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_narrow(df: DataFrame) -> bool:
+    """Whether an input has fewer splits than there are cores."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to give each of them a split.
+    """Deal the rows of a narrow input out to every core.
 
     A table of fewer splits than cores may be a single row group, hence a single
-    task.  It is at most a split per core in size and cheap to move; anything
-    larger has more splits than there are cores and is left as it is.
+    task.  It is at most a split per core in size and cheap to move; use
+    :func:`is_narrow` first, since anything larger is best left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radloom.session import spread, tune
+from radloom.session import is_narrow, spread, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,11 +18,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = tune(spark), folder
+        self.narrow: dict[str, bool] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        # The tables whose rows cost most; see spread() for when it applies.
-        return spread(table) if name in ("lineitem", "documents") else table
+        # The tables whose rows cost most; asked once, as the answer takes planning.
+        if name not in self.narrow:
+            self.narrow[name] = name in ("lineitem", "documents") and is_narrow(table)
+        return spread(table) if self.narrow[name] else table
 
 
 def query(name: str, sql: str | None = None):
