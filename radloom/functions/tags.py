@@ -65,7 +65,7 @@ def variant_value(variant: Column, *tags: str, as_type: str = "string") -> Colum
     found = []
     for name in ("val", "Value"):
         path = "$" + f".{name}[0]".join(f"['{t}']" for t in tags)
-        for leaf in (f".{name}", f".{name}[0]"):
+        for leaf in (f".{name}[0]", f".{name}"):
             found.append(F.try_variant_get(variant, path + leaf, as_type))
     return F.coalesce(*found)
 

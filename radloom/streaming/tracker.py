@@ -40,7 +40,7 @@ def track_handler(counts_path: str, late_path: str, completed_path: str):
         earlier = f"batch={batch_id:012d}"
         done = read_batches(spark, completed_path, "job_id string, status string") if _exists(spark, completed_path) else None
         if done is not None:
-            done = done.where(F.regexp_extract(F.input_file_name(), r"(batch=\d{12})", 1) < earlier)
+            done = done.where((F.col("status") == "Completed") & (F.regexp_extract(F.input_file_name(), r"(batch=\d{12})", 1) < earlier))
             batch, late = split_late(batch, done)
             quarantine(late.withColumn("bad", F.lit("job already completed")), late_path, batch_id)
         write_batch(progress(batch).drop("status"), counts_path, batch_id)
