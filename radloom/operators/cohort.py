@@ -35,43 +35,61 @@ def routed_modality(name: Column, routing: str = DEFAULT_ROUTING) -> Column:
     return F.regexp_extract(name, routing, 1)
 
 
+def _requested(catalogue: Catalogue, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of a catalogue that its own filters and the request let through."""
+    rows = catalogue.df
+    for condition in catalogue.mandatory_filters:
+        rows = rows.where(F.expr(condition))
+    return rows.where(F.col(catalogue.column(PATH)).isNotNull()) \
+               .join(wanted, F.col(catalogue.column(key)) == F.col("_wanted"), "left_semi")
+
+
+def _wanted(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("key_value").alias("_wanted")).distinct()
+
+
 def match_images(ids: DataFrame, key: str, catalogues: list[Catalogue], chain: list[Rejector]) -> DataFrame:
     """Every image of the requested identifiers with its verdict.
 
     The catalogue is cut down by a semi join with the distinct identifiers first;
     verdicts and de-duplication then see requested images only.  De-duplication
-    is on all result columns, so one large study spreads over all tasks.  The
-    result is per distinct identifier; see :func:`per_request`.
+    is on all result columns, so one large study spreads over all tasks; a single
+    catalogue with a primary key needs none.  The result is per distinct
+    identifier; see :func:`match_cohort`.
     """
-    wanted = ids.select(F.col("key_value").alias("_wanted")).distinct()
-    results = None
+    wanted, results = _wanted(ids), None
     for catalogue in catalogues:
-        rows = catalogue.df
-        for condition in catalogue.mandatory_filters:
-            rows = rows.where(F.expr(condition))
-        own_key = catalogue.column(key)
-        rows = rows.where(F.col(catalogue.column(PATH)).isNotNull()) \
-                   .join(wanted, F.col(own_key) == F.col("_wanted"), "left_semi")
         named = [F.col(catalogue.column(c)).alias(c) for c in (PATH, STUDY, SERIES, SOP)]
         if key not in (PATH, STUDY, SERIES, SOP):
-            named.append(F.col(own_key).alias(key))
-        judged = apply_rejectors(rows, chain).select(*named, "reason")
+            named.append(F.col(catalogue.column(key)).alias(key))
+        judged = apply_rejectors(_requested(catalogue, key, wanted), chain).select(*named, "reason")
         results = judged if results is None else results.unionByName(judged)
+    if len(catalogues) > 1 or not catalogues[0].unique:
+        results = results.distinct()
     # What follows from these columns is added after the shuffle, not carried through it.
-    return results.distinct().select(F.col(key).alias("key_value"), PATH, STUDY, SERIES, SOP,
-                                     F.col("reason").isNotNull().alias("reject"), "reason")
+    return results.select(F.col(key).alias("key_value"), PATH, STUDY, SERIES, SOP,
+                          F.col("reason").isNotNull().alias("reject"), "reason")
 
 
-def per_request(ids: DataFrame, per_key: DataFrame) -> DataFrame:
-    """Attach results per key to every occurrence of the key in the request.
+def match_cohort(ids: DataFrame, key: str, catalogues: list[Catalogue], matched: DataFrame) -> DataFrame:
+    """Images per occurrence of each requested identifier.
 
-    Keys without a result appear once per occurrence with nulls.
+    An identifier without images appears once per occurrence with nulls.  Those
+    are found on their own, from the key column alone: an outer join could not
+    split the images of one large study over several tasks, an inner join can.
     """
-    return ids.select("pos", "key_value").join(per_key, "key_value", "left")
+    asked = ids.select("pos", "key_value")
+    wanted, present = _wanted(ids), None
+    for catalogue in catalogues:
+        keys = _requested(catalogue, key, wanted).select(F.col(catalogue.column(key)).alias("key_value"))
+        present = keys if present is None else present.unionByName(keys)
+    empty = asked.join(present.distinct(), "key_value", "left_anti")
+    return matched.join(asked, "key_value").unionByName(empty, allowMissingColumns=True)
 
 
-def match_cohort(ids: DataFrame, key: str, catalogues: list[Catalogue], chain: list[Rejector]) -> DataFrame:
-    return per_request(ids, match_images(ids, key, catalogues, chain))
+def per_request(ids: DataFrame, per_key: DataFrame) -> DataFrame:
+    """Attach one row per key to every occurrence of the key in the request."""
+    return ids.select("pos", "key_value").join(per_key, "key_value", "left")
 
 
 def match_summary(ids: DataFrame, matched: DataFrame) -> DataFrame:

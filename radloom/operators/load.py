@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.operators.project import project_common
 from radloom.schemas import MAJOR_MODALITIES, OTHER_MODALITY, SERIES, SOP, STUDY
+from radloom.session import pin
 from radloom.template import TemplateTable
 
 
@@ -141,11 +142,12 @@ class Merge:
 
 def merge_live(live: DataFrame, stage: DataFrame, key: str | list[str], run_id: int, loaded_at: Column,
                valid_from: str = "valid_from", run: str = "load_run_id",
-               uncompared: tuple[str, ...] = UNCOMPARED) -> Merge:
+               uncompared: tuple[str, ...] = UNCOMPARED, pin_changes: bool = False) -> Merge:
     """Upsert staged rows by primary key.
 
     A changed row is replaced and its old form archived; a difference only in
-    bookkeeping columns changes nothing.
+    bookkeeping columns changes nothing.  With ``pin_changes`` the changed rows
+    are found once and kept, which pays off when all four results are written.
     """
     keys = [key] if isinstance(key, str) else list(key)
     content = [c for c in live.columns if c not in (valid_from, run)]
@@ -153,12 +155,15 @@ def merge_live(live: DataFrame, stage: DataFrame, key: str | list[str], run_id:
     staged = project_common(stage, live.select(*content))
     for missing in (c for c in content if c not in staged.columns):
         staged = staged.withColumn(missing, F.lit(None).cast(live.schema[missing].dataType))
-    stamp = lambda df: df.withColumn(valid_from, loaded_at).withColumn(run, F.lit(run_id))
+    types = {c: live.schema[c].dataType for c in (valid_from, run)}
+    stamp = lambda df: df.withColumn(valid_from, loaded_at.cast(types[valid_from])).withColumn(run, F.lit(run_id).cast(types[run]))
     old = live.select(*[F.col(c) for c in keys], F.struct(*live.columns).alias("_old"))
     same = F.lit(True)
     for c in compared:
         same = same & F.col(c).eqNullSafe(F.col(f"_old.{c}"))
     changed = staged.join(old, keys).where(~same)
+    if pin_changes:
+        changed = pin(changed)
     return Merge(
         inserted=stamp(staged.join(live.select(*keys), keys, "left_anti")).select(*live.columns),
         updated=stamp(changed.drop("_old")).select(*live.columns),

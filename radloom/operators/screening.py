@@ -131,14 +131,26 @@ def _parts(hit: Column, shift: Column) -> Column:
         F.substring_index(p, _OPEN, -1).alias("Word")))
 
 
-def screen(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
-    """Failing cells with their parts.
+def _parts_of(value: Column, verdict_of) -> Column:
+    """Parts of one cell, null when it passes; joined cells value by value."""
+    values = F.split(value, r"\\")
+    hit_at = lambda hit, at: F.struct(hit.alias("hit"), at.alias("at"))
+    starts = F.transform(values, lambda v, i: F.aggregate(
+        F.slice(values, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    taken_apart = F.filter(F.zip_with(F.transform(values, verdict_of), starts, hit_at), lambda h: h["hit"].isNotNull())
+    # One value per cell is the rule; only joined cells are taken apart.
+    whole = verdict_of(value)
+    hits = F.when(value.contains("\\"), taken_apart).when(whole.isNotNull(), F.array(hit_at(whole, F.lit(0))))
+    return F.when(F.size(hits) > 0, F.flatten(F.transform(hits, lambda h: _parts(h["hit"], h["at"]))))
+
+
+def screen_cells(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
+    """Every cell with its ``parts``; null for a cell that passes.
 
     Rules are tried in order and the first that holds decides; a value no rule
     speaks about passes.  A cell joined by ``\\`` is screened value by value.
     """
     columns = list(dict.fromkeys(r.column for r in rules if r.column))
-    values = F.split(F.col("value"), r"\\")
 
     def verdict_of(value: Column) -> Column:
         anywhere = _first_report(value, _merge_ignores([r for r in rules if not r.column]))
@@ -148,17 +160,32 @@ def screen(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
             case = case.when(F.col("column") == column, _first_report(value, mine))
         return case.otherwise(anywhere) if columns else anywhere
 
-    hit_at = lambda hit, at: F.struct(hit.alias("hit"), at.alias("at"))
-    starts = F.transform(values, lambda v, i: F.aggregate(
-        F.slice(values, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    taken_apart = F.filter(F.zip_with(F.transform(values, verdict_of), starts, hit_at), lambda h: h["hit"].isNotNull())
-    # One value per cell is the rule; only joined cells are taken apart.
-    whole = verdict_of(F.col("value"))
-    hits = F.when(F.col("value").contains("\\"), taken_apart).when(
-        whole.isNotNull(), F.array(hit_at(whole, F.lit(0))))
-    return (cells.withColumn("_hits", hits).where(F.size("_hits") > 0)
-            .select("resource", "column", "value",
-                    F.flatten(F.transform("_hits", lambda h: _parts(h["hit"], h["at"]))).alias("parts")))
+    return cells.select("resource", "column", "value", _parts_of(F.col("value"), verdict_of).alias("parts"))
+
+
+def screen(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
+    """Failing cells with their parts."""
+    return screen_cells(cells, rules).where(F.col("parts").isNotNull())
+
+
+def _verdict_by(rules: list[ScreenRule]):
+    return lambda value: _first_report(value, rules)
+
+
+def screen_rows(df: DataFrame, rules: list[ScreenRule], columns: list[str], skip: list[str] | None = None) -> DataFrame:
+    """Add ``failures``: the failing cells of each row, in column order.
+
+    A row is screened where it is; nothing is unpivoted or brought together
+    again, so this is the form for whole files.
+    """
+    skipped = {s.lower() for s in skip or []}
+    cells = []
+    for name in columns:
+        if name.lower() in skipped:
+            continue
+        parts = _parts_of(F.col(name), _verdict_by(_merge_ignores([r for r in rules if r.column in (None, name)])))
+        cells.append(F.struct(F.lit(name).alias("column"), F.col(name).alias("value"), parts.alias("parts")))
+    return df.withColumn("failures", F.filter(F.array(*cells), lambda c: c["parts"].isNotNull()))
 
 
 def filter_failures(failures: DataFrame, rules: list[AllowRule]) -> DataFrame:
@@ -194,40 +221,36 @@ def drop_listed(failures: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def reject_all(files: DataFrame) -> DataFrame:
-    """A failure for every file, whatever is in it."""
+    """Add ``failures`` with one failure, whatever is in the file."""
     part = F.struct(F.lit("Person").alias("Classification"), F.lit(-1).alias("Offset"),
                     F.lit("Reject All classifier rejected all content").alias("Word"))
-    return files.select(F.col("resource"), F.lit(None).cast("string").alias("column"),
-                        F.lit(None).cast("string").alias("value"), F.array(part).alias("parts"))
+    none = F.lit(None).cast("string")
+    return files.withColumn("failures", F.array(F.struct(
+        none.alias("column"), none.alias("value"), F.array(part).alias("parts"))))
 
 
-def verdict(files: DataFrame, failures: DataFrame) -> DataFrame:
-    """Screening status and JSON report per file.
+def verdict(files: DataFrame) -> DataFrame:
+    """Screening status and JSON report of each file.
 
-    ``files`` has ``resource`` and ``present``.  A report lists the failing tags
-    of one file, whose number the document size limit bounds.
+    ``files`` has ``resource``, ``present`` and the ``failures`` of
+    :func:`screen_rows`, which become the report without another pass.
     """
-    listed = F.struct(
-        F.col("parts").alias("Parts"), F.col("resource").alias("Resource"),
+    listed = F.transform("failures", lambda f: F.struct(
+        f["parts"].alias("Parts"), F.col("resource").cast("string").alias("Resource"),
         F.lit(None).cast("string").alias("ResourcePrimaryKey"),
-        F.col("column").alias("ProblemField"), F.col("value").alias("ProblemValue"))
-    reports = failures.groupBy("resource").agg(
-        F.count("*").alias("n_failures"), F.to_json(F.array_sort(F.collect_list(listed))).alias("_report"))
-    status = (F.when(~F.col("present"), "ErrorWontRetry").when(F.col("n_failures") > 0, "IsIdentifiable")
-              .otherwise("NotIdentifiable"))
-    report = (F.when(~F.col("present"), F.concat(F.lit("Could not find file to process '"), F.col("resource"), F.lit("'")))
-              .otherwise(F.coalesce("_report", F.lit("[]"))))
-    return (files.join(reports, "resource", "left")
-            .withColumn("n_failures", F.when(F.col("present"), F.coalesce("n_failures", F.lit(0))).otherwise(F.lit(0)))
-            .withColumn("status", status).withColumn("report", report).drop("_report"))
-
-
-def column_report(cells: DataFrame, failures: DataFrame) -> DataFrame:
-    """Cells, failing cells and their share, per column."""
-    total = cells.groupBy("column").agg(F.count("*").alias("cells"))
-    failing = failures.groupBy("column").agg(F.count("*").alias("failing"))
-    joined = total.join(failing, "column", "left").withColumn("failing", F.coalesce("failing", F.lit(0)))
-    return joined.withColumn("proportion", F.round(F.col("failing") / F.col("cells"), 6))
+        f["column"].alias("ProblemField"), f["value"].alias("ProblemValue")))
+    found = F.when(F.col("present"), F.size("failures")).otherwise(F.lit(0))
+    status = F.when(~F.col("present"), "ErrorWontRetry").when(found > 0, "IsIdentifiable").otherwise("NotIdentifiable")
+    report = F.when(~F.col("present"), F.concat(F.lit("Could not find file to process '"), F.col("resource"), F.lit("'"))) \
+              .otherwise(F.to_json(listed))
+    return files.select("*", found.cast("long").alias("n_failures"), status.alias("status"), report.alias("report"))
+
+
+def column_report(screened: DataFrame) -> DataFrame:
+    """Cells, failing cells and their share per column, from screened cells."""
+    counts = screened.groupBy("column").agg(
+        F.count("*").alias("cells"), F.count_if(F.col("parts").isNotNull()).alias("failing"))
+    return counts.withColumn("proportion", F.round(F.col("failing") / F.col("cells"), 6))
 
 
 def value_report(failures: DataFrame) -> DataFrame:

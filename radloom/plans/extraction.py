@@ -21,8 +21,13 @@ class Extraction:
     options: ExtractionOptions
     directory: str
     resolver: str
+    catalogues: list[Catalogue]
     matched: DataFrame
 
+    @cached_property
+    def per_request(self) -> DataFrame:
+        return cohort.match_cohort(self.ids, self.options.key, self.catalogues, self.matched)
+
     @cached_property
     def info(self) -> DataFrame:
         return cohort.job_info(self.ids, self.options.key)
@@ -55,4 +60,4 @@ def plan_extraction(ids: DataFrame, options: ExtractionOptions, modality: str, d
     options.validate()
     chain = select_chain(modality, base, specific or [], options.no_filters)
     routed = cohort.route_catalogues(catalogues, modality, options.key)
-    return Extraction(ids, options, directory, resolver, cohort.match_images(ids, options.key, routed, chain))
+    return Extraction(ids, options, directory, resolver, routed, cohort.match_images(ids, options.key, routed, chain))

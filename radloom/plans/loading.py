@@ -48,5 +48,5 @@ def load_relational(images: DataFrame, template: dict[str, TemplateTable], mappi
     levels = load.split_levels(flat, template)
     parted = load.isolate(levels["study"], levels["series"], levels["image"])
     keys = {"study": STUDY, "series": SERIES, "image": SOP}
-    merges = {n: load.merge_live(live[n], parted.good[n], k, run_id, loaded_at) for n, k in keys.items()}
+    merges = {n: load.merge_live(live[n], parted.good[n], k, run_id, loaded_at, pin_changes=True) for n, k in keys.items()}
     return Relational(swapped.where(F.col("fail_reason").isNotNull()), parted.bad, merges)

@@ -63,11 +63,15 @@ FAILURE_REPORT = T.ArrayType(FAILURE)
 
 @dataclass(frozen=True)
 class Catalogue:
-    """A queryable image table with the filters that always apply to it."""
+    """A queryable image table with the filters that always apply to it.
+
+    ``unique`` says that the image UID is its primary key.
+    """
 
     name: str
     df: DataFrame
     mandatory_filters: tuple[str, ...] = ()
+    unique: bool = False
 
     def column(self, wanted: str) -> str | None:
         """Name of ``wanted`` as the table spells it, ignoring case."""

@@ -69,21 +69,23 @@ WhiteListRules:
 
 
 def test_verdict(spark):
-    files = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "resource string, present boolean")
-    fails = S.screen(spark.createDataFrame([("a", "x", "0101010101"), ("c", "x", "0101010101")], "resource string, column string, value string"), S.default_rules())
-    got = {r["resource"]: r for r in S.verdict(files, fails).collect()}
-    assert {k: r["status"] for k, r in got.items()} == {"a": "IsIdentifiable", "b": "NotIdentifiable", "c": "ErrorWontRetry"}
+    files = spark.createDataFrame([("a", True, "0101010101", "x\\0101010101"), ("b", True, "fine", None), ("c", False, "0101010101", "")],
+                                  "resource string, present boolean, t string, u string")
+    got = {r["resource"]: r for r in S.verdict(S.screen_rows(files, S.default_rules(), ["t", "u"])).collect()}
+    assert {k: (r["status"], r["n_failures"]) for k, r in got.items()} == {
+        "a": ("IsIdentifiable", 2), "b": ("NotIdentifiable", 0), "c": ("ErrorWontRetry", 0)}
     assert got["b"]["report"] == "[]" and "Could not find file" in got["c"]["report"]
     listed = json.loads(got["a"]["report"])
-    assert listed[0]["ProblemValue"] == "0101010101" and listed[0]["Parts"][0]["Classification"] == "PrivateIdentifier"
-    all_bad = S.verdict(files, S.reject_all(files))
-    assert all_bad.where("status = 'IsIdentifiable'").count() == 2
+    assert [(f["ProblemField"], f["Parts"][0]["Offset"], f["Parts"][0]["Classification"]) for f in listed] == [
+        ("t", 0, "PrivateIdentifier"), ("u", 2, "PrivateIdentifier")]
+    assert S.verdict(S.screen_rows(files, S.default_rules(), ["t", "u"], skip=["T"])).where("n_failures = 1").count() == 1
+    assert S.verdict(S.reject_all(files)).where("status = 'IsIdentifiable'").count() == 2
 
 
 def test_reports_and_skipped_columns(spark, rows):
     df = spark.createDataFrame([("1", "0101010101", "x"), ("2", "0101010101", None), ("3", "fine", "0202020202")], "id string, a string, b string")
     data = S.to_cells(df, "id")
     fails = S.screen(data, S.default_rules())
-    assert rows(S.column_report(data, fails)) == [("a", 3, 2, 0.666667), ("b", 2, 1, 0.5)]
+    assert rows(S.column_report(S.screen_cells(data, S.default_rules()))) == [("a", 3, 2, 0.666667), ("b", 2, 1, 0.5)]
     assert rows(S.value_report(fails)) == [("a", "0101010101"), ("b", "0202020202")]
     assert rows(S.to_cells(df, "id", skip=["A"]).select("column").distinct()) == [("b",)]

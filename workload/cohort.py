@@ -35,7 +35,7 @@ def match_summary(t):
 @query("cohort_match", f"""WITH {V.SQL_MATCHED}
 SELECT pos, key_value, RelativeFileArchiveURI, SeriesInstanceUID, SOPInstanceUID, reason FROM request LEFT JOIN matched USING (key_value)""")
 def cohort_match(t):
-    return C.per_request(V.request(t), extraction(t).matched).select("pos", "key_value", PATH, SERIES, SOP, "reason")
+    return extraction(t).per_request.select("pos", "key_value", PATH, SERIES, SOP, "reason")
 
 
 @query("rejection_reasons", f"""WITH {V.SQL_MATCHED}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from radloom.functions import tags as TG
 from radloom.operators import deid as D, identity as I, updates as U
 from radloom.operators.validate import UpdateSpec
+from radloom.plans.propagation import propagate
 from radloom.schemas import SOP, STUDY
 from workload import views as V
 from workload.registry import query
@@ -232,3 +233,16 @@ UNION ALL SELECT 'events', (SELECT COUNT(*) FROM tried), (SELECT COUNT(*) FROM e
 def update_audit(t):
     tables = {"customer": t.customer.select(F.col("c_custkey").alias("id")), "events": t.events.select(F.col("user_id").alias("id"))}
     return U.update_audit(tables, "id", _pairs(t))
+
+
+@query("propagate", f"""WITH {_SQL_ARCHIVE}, cur AS (SELECT CAST(user_id AS VARCHAR) AS swap, MAX(ts) AS valid_from,
+    md5(CAST(MAX(event_id) AS VARCHAR)) AS want FROM events WHERE event_type = 'signup' GROUP BY 1),
+  changed AS (SELECT * FROM cur WHERE valid_from >= TIMESTAMP '{SINCE} 00:00:00'),
+  guids AS (SELECT CAST(user_id AS VARCHAR) AS swap, md5(CAST(MIN(event_id) AS VARCHAR)) AS guid FROM events WHERE event_type = 'error' GROUP BY 1),
+  moves AS (SELECT old AS have, want FROM changed JOIN latest USING (swap) WHERE old IS NOT NULL
+    UNION ALL SELECT guid, want FROM changed JOIN guids USING (swap))
+SELECT event_id, COALESCE(want, md5(CAST(event_id AS VARCHAR))) AS PatientID FROM events LEFT JOIN moves ON have = md5(CAST(event_id AS VARCHAR))""")
+def propagated(t):
+    """From the changed map to the table that holds replaced identifiers."""
+    live = t.events.select("event_id", F.md5(F.col("event_id").cast("string")).alias("PatientID"))
+    return propagate(_current(t), _archive(t), _handed_out(t), F.lit(SINCE).cast("timestamp"), {"events": live}, "PatientID")["events"]

@@ -104,8 +104,8 @@ def verdict(t):
     """Documents as files; those labelled as poor are gone from disk."""
     poor = t.labels.where(F.col("quality") == 0).select(F.col("doc_id").alias("_d"), F.lit(True).alias("_poor"))
     files = t.documents.join(poor, F.col("doc_id") == F.col("_d"), "left").select(
-        F.col("doc_id").alias("resource"), F.col("_poor").isNull().alias("present"))
-    judged = S.verdict(files, S.screen(_cells(t), RULES))
+        F.col("doc_id").alias("resource"), "text", "lang", "source", F.col("_poor").isNull().alias("present"))
+    judged = S.verdict(S.screen_rows(files, RULES, ["text", "lang", "source"]))
     return judged.select("resource", "status", "n_failures",
                          F.when(F.col("n_failures") > 0, "listed").otherwise(F.col("report")).alias("report"))
 
@@ -113,13 +113,13 @@ def verdict(t):
 @query("reject_all_classifier", "SELECT doc_id AS resource, 'Person' AS class FROM documents")
 def reject_all_classifier(t):
     return S.reject_all(t.documents.select(F.col("doc_id").alias("resource"))).select(
-        "resource", F.element_at("parts", 1)["Classification"].alias("class"))
+        "resource", F.try_element_at(F.try_element_at("failures", F.lit(1))["parts"], F.lit(1))["Classification"].alias("class"))
 
 
 @query("pii_column_report", f"""WITH {_FAIL} SELECT c.col AS "column", cells, COALESCE(failing, 0) AS failing, round(COALESCE(failing, 0) / cells, 6) AS proportion
 FROM (SELECT col, COUNT(*) AS cells FROM cells GROUP BY 1) c LEFT JOIN (SELECT col, COUNT(*) AS failing FROM fails GROUP BY 1) f ON c.col = f.col""")
 def pii_column_report(t):
-    return S.column_report(_cells(t), S.screen(_cells(t), RULES))
+    return S.column_report(S.screen_cells(_cells(t), RULES))
 
 
 @query("pii_value_report", f"""WITH {_FAIL} SELECT DISTINCT col AS "column", md5(value) AS digest FROM fails""")
@@ -140,7 +140,8 @@ def ignore_postcodes(t):
     """Failures per customer with and without the postcode detector."""
     text = F.when(F.col("c_mktsegment") == "BUILDING", "seen at EH1 2AB").otherwise(F.col("c_name"))
     cells = S.to_cells(t.customer.select(F.col("c_custkey").cast("string").alias("resource"), text.alias("note")), "resource")
-    hits = lambda ignore, name: S.screen(cells, S.default_rules(ignore)).groupBy("resource").agg(F.count("*").alias(name))
-    joined = cells.select("resource").join(hits(False, "w"), "resource", "left").join(hits(True, "o"), "resource", "left")
-    return joined.select(F.col("resource").cast("long").alias("resource"), F.coalesce("w", F.lit(0)).cast("int").alias("with_postcodes"),
-                         F.coalesce("o", F.lit(0)).cast("int").alias("without_postcodes"))
+    failing = lambda ignore: S.screen_rows(cells, S.default_rules(ignore), ["value"]).select(
+        F.col("resource").cast("long").alias("resource"), F.size("failures").alias("n"))
+    # Both screenings see the same rows; the difference is the postcodes.
+    with_them, without = failing(False).select("resource", F.col("n").alias("with_postcodes")), failing(True)
+    return with_them.join(without.select("resource", F.col("n").alias("without_postcodes")), "resource")
