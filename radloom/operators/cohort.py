@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
+from radloom.functions.joins import join_side, unique_side
 from radloom.functions.ordering import with_position
 from radloom.operators.rejectors import Rejector, apply_rejectors
 from radloom.schemas import MAX_IDS_PER_MESSAGE, PATH, SERIES, SOP, STUDY, Catalogue
@@ -45,7 +46,7 @@ def _requested(catalogue: Catalogue, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def _wanted(ids: DataFrame) -> DataFrame:
-    return ids.select(F.col("key_value").alias("_wanted")).distinct()
+    return unique_side(ids.select(F.col("key_value").alias("_wanted")), "_wanted")
 
 
 def match_images(ids: DataFrame, key: str, catalogues: list[Catalogue], chain: list[Rejector]) -> DataFrame:
@@ -83,13 +84,13 @@ def match_cohort(ids: DataFrame, key: str, catalogues: list[Catalogue], matched:
     for catalogue in catalogues:
         keys = _requested(catalogue, key, wanted).select(F.col(catalogue.column(key)).alias("key_value"))
         present = keys if present is None else present.unionByName(keys)
-    empty = asked.join(present.distinct(), "key_value", "left_anti")
+    empty = asked.join(unique_side(present, "key_value"), "key_value", "left_anti")
     return matched.join(asked, "key_value").unionByName(empty, allowMissingColumns=True)
 
 
 def per_request(ids: DataFrame, per_key: DataFrame) -> DataFrame:
     """Attach one row per key to every occurrence of the key in the request."""
-    return ids.select("pos", "key_value").join(per_key, "key_value", "left")
+    return ids.select("pos", "key_value").join(join_side(per_key, "key_value"), "key_value", "left")
 
 
 def match_summary(ids: DataFrame, matched: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def dispatch(matched: DataFrame, directory: str, identifiable: bool, resolver: s
     )
 
 
-def collection_info(ids: DataFrame, matched: DataFrame, files: DataFrame) -> DataFrame:
+def collection_info(ids: DataFrame, matched: DataFrame) -> DataFrame:
     """One row per requested identifier: files sent, images and reasons rejected.
 
     Also for identifiers that match nothing.  The files themselves stay rows
@@ -143,12 +144,13 @@ def collection_info(ids: DataFrame, matched: DataFrame, files: DataFrame) -> Dat
     one key may own any number of them; :func:`collection_messages` packs both
     into records of bounded size.
     """
-    sent = files.groupBy("key_value").agg(F.count("*").alias("dispatched"))
-    reasons = rejection_reasons(matched).groupBy("key_value").agg(
-        F.sum("n").alias("rejected"), F.count("*").alias("reasons"))
-    joined = ids.select("pos", "key_value").join(sent, "key_value", "left").join(reasons, "key_value", "left")
-    return joined.select("pos", "key_value",
-                         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dispatched", "rejected", "reasons")])
+    by_reason = matched.groupBy("key_value", F.lower("reason").alias("_reason")).agg(F.count("*").alias("_n"))
+    per_key = by_reason.groupBy("key_value").agg(
+        F.sum(F.when(F.col("_reason").isNull(), F.col("_n"))).alias("dispatched"),
+        F.sum(F.when(F.col("_reason").isNotNull(), F.col("_n"))).alias("rejected"),
+        F.count("_reason").alias("reasons"))
+    return per_request(ids, per_key).select(
+        "pos", "key_value", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dispatched", "rejected", "reasons")])
 
 
 def collection_messages(ids: DataFrame, matched: DataFrame, files: DataFrame, part_size: int = 10_000) -> DataFrame:
@@ -156,13 +158,13 @@ def collection_messages(ids: DataFrame, matched: DataFrame, files: DataFrame, pa
 
     Part 0 exists for every requested identifier.  A key with more content gets
     more parts; content is spread over a key's parts by hash, so no task ever
-    holds a whole key.
+    holds a whole key.  Pass a pinned ``matched``: it is read more than once.
     """
     content = files.select("key_value", F.col("output_path").alias("file"), F.lit(None).cast("string").alias("reason"),
                            F.lit(None).cast("long").alias("n")).unionByName(
         rejection_reasons(matched).select("key_value", F.lit(None).cast("string").alias("file"), "reason", "n"))
-    sizes = content.groupBy("key_value").agg(F.ceil(F.count("*") / part_size).cast("int").alias("_parts"))
-    packed = (content.join(sizes, "key_value")
+    sizes = matched.groupBy("key_value").agg(F.ceil(F.count("*") / part_size).cast("int").alias("_parts"))
+    packed = (content.join(join_side(sizes, "key_value"), "key_value")
               .withColumn("part", F.pmod(F.xxhash64("file", "reason"), F.col("_parts")).cast("int"))
               .groupBy("key_value", "part")
               .agg(F.array_sort(F.collect_list("file")).alias("files"),

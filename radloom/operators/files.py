@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from radloom.functions.joins import unique_side
+
 
 def plan_files(requests: DataFrame, inventory: DataFrame, identifiable_route: bool, path: str = "file_path") -> DataFrame:
     """Status each requested file starts with.
@@ -12,7 +14,7 @@ def plan_files(requests: DataFrame, inventory: DataFrame, identifiable_route: bo
     other kind are marked in ``bad``.  A missing file is a finished status, a
     present one is copied or goes on to be anonymised.
     """
-    here = inventory.select(path).distinct().withColumn("_here", F.lit(True))
+    here = unique_side(inventory, path).withColumn("_here", F.lit(True))
     found = requests.join(here, path, "left")
     status = F.when(F.col("_here").isNull(), "FileMissing").otherwise("Copied" if identifiable_route else "Anonymised")
     wrong = F.col("identifiable") != F.lit(identifiable_route)

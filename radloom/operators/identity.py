@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.joins import join_side
 from radloom.functions.tags import PATIENT_ID, entry_values
 from radloom.functions.text import blank_to_null, is_blank
+from radloom.session import pin
 
 
 def swap_lookup(df: DataFrame, id_column: str, mapping: DataFrame, swap: str = "swap", replacement: str = "replacement") -> DataFrame:
@@ -14,7 +20,7 @@ def swap_lookup(df: DataFrame, id_column: str, mapping: DataFrame, swap: str = "
     The mapping is unique per identifier.  A replacement that is null is no match.
     """
     lookup = mapping.select(F.col(swap).alias("_swap"), F.col(replacement).alias("replacement"))
-    found = df.join(lookup, F.col(id_column) == F.col("_swap"), "left").drop("_swap")
+    found = df.join(join_side(lookup, "_swap"), F.col(id_column) == F.col("_swap"), "left").drop("_swap")
     return found.withColumn("fail_reason", F.when(
         F.col("replacement").isNull(),
         F.concat(F.lit("No match found for '"), F.coalesce(F.col(id_column), F.lit("")), F.lit("'"))))
@@ -95,6 +101,59 @@ def swap_patient_id(df: DataFrame, mapping: DataFrame, surrogates: DataFrame | N
             .drop("pid", "pid_problem", "replacement"))
 
 
+class Swapper(Protocol):
+    """Adds ``replacement`` and ``fail_reason`` for an identifier column."""
+
+    def swap(self, df: DataFrame, id_column: str) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class LookupSwapper:
+    mapping: DataFrame
+
+    def swap(self, df: DataFrame, id_column: str) -> DataFrame:
+        return swap_lookup(df, id_column, self.mapping)
+
+
+@dataclass(frozen=True)
+class SurrogateSwapper:
+    """Every identifier gets its surrogate; new ones are stored before use.
+
+    ``stored`` reads the surrogate table, ``append`` adds rows to it.
+    """
+
+    stored: Callable[[], DataFrame]
+    append: Callable[[DataFrame], None]
+    max_length: int | None = None
+    salt: str = ""
+
+    def table(self, df: DataFrame, id_column: str) -> DataFrame:
+        """The surrogate table after allocation for ``df``."""
+        new = allocate_surrogates(df, id_column, self.stored(), self.max_length, salt=self.salt)
+        self.append(pin(new))
+        return self.stored()
+
+    def swap(self, df: DataFrame, id_column: str) -> DataFrame:
+        mapping = self.table(df, id_column).select("swap", F.col("guid").alias("replacement"))
+        swapped = swap_lookup(df, id_column, mapping)
+        if not self.max_length:
+            return swapped
+        return swapped.withColumn("fail_reason", F.coalesce(too_long(F.col(id_column), self.max_length), "fail_reason"))
+
+
+@dataclass(frozen=True)
+class FallbackSwapper:
+    """The mapping where it has a value, else a stored surrogate."""
+
+    mapping: DataFrame
+    fallback: SurrogateSwapper
+
+    def swap(self, df: DataFrame, id_column: str) -> DataFrame:
+        unmapped = swap_lookup(df.select(id_column).distinct(), id_column, self.mapping) \
+            .where(is_blank(F.col("replacement"))).select(id_column)
+        return swap_with_fallback(df, id_column, self.mapping, self.fallback.table(unmapped, id_column))
+
+
 def swap_stats(swapped: DataFrame, id_column: str, max_length: int | None = None) -> DataFrame:
     """Rows per outcome: success, fail or invalid."""
     invalid = is_blank(F.col(id_column))

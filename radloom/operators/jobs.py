@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
+from radloom.functions.joins import join_side, unique_side
 from radloom.functions.text import clock_duration
 from radloom.operators.validate import parse_report
 from radloom.schemas import CLASSIFICATIONS
@@ -66,7 +67,7 @@ def complete_jobs(status: DataFrame) -> DataFrame:
 
 def split_late(events: DataFrame, completed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events in time, and events of jobs already completed (errors)."""
-    done = completed.select("job_id").distinct()
+    done = unique_side(completed, "job_id")
     return events.join(done, "job_id", "left_anti"), events.join(done, "job_id", "left_semi")
 
 
@@ -78,7 +79,7 @@ def report_rejected(rejections: DataFrame) -> DataFrame:
     Keys with most rejections come first, then reasons by count.
     """
     totals = rejections.groupBy("job_id", "key_value").agg(F.sum("n").alias("_total"))
-    ordered = rejections.join(totals, ["job_id", "key_value"]).orderBy(
+    ordered = rejections.join(join_side(totals, "job_id", "key_value"), ["job_id", "key_value"]).orderBy(
         "job_id", F.col("_total").desc(), "key_value", F.col("n").desc(), "reason")
     return ordered.select("job_id", F.col("key_value").alias("ExtractionKey"), F.col("n").alias("Count"),
                           F.col("reason").alias("Reason"))
@@ -95,7 +96,7 @@ def report_errors(jobs: DataFrame, done: DataFrame) -> DataFrame:
     In an anonymised job a missing file is listed both as missing and as a
     failure.  A file whose screening failed is listed with its message.
     """
-    known = done.join(jobs.select("job_id", "identifiable"), "job_id")
+    known = done.join(join_side(jobs.select("job_id", "identifiable"), "job_id"), "job_id")
     # One pass: each status gives up to two report rows.
     missing = F.when(F.col("extracted") == "FileMissing", F.struct(F.lit(0).alias("_step"), F.lit("Missing").alias("Reason")))
     failed = F.when(~F.col("identifiable") & (
@@ -110,7 +111,7 @@ def report_verification(jobs: DataFrame, done: DataFrame, separator: str = PART_
     """Personal data found in anonymised output, one row per failure."""
     names = F.array(*[F.lit(n) for n in CLASSIFICATIONS])
     named = lambda c: F.when(c.rlike(r"^\d+$"), F.try_element_at(names, c.try_cast("int") + 1)).otherwise(c)
-    anonymised = jobs.where(~F.col("identifiable")).select("job_id")
+    anonymised = join_side(jobs.where(~F.col("identifiable")).select("job_id"), "job_id")
     failures = (done.where(F.col("verified") == "IsIdentifiable").join(anonymised, "job_id", "left_semi")
                 .select("job_id", "output_path", F.explode(parse_report(F.col("message"))).alias("f")))
     parts = F.coalesce(F.col("f.Parts"), F.array().cast("array<struct<Classification:string,Offset:int,Word:string>>"))

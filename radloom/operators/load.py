@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.joins import join_side, unique_side
 from radloom.operators.project import project_common
 from radloom.schemas import MAJOR_MODALITIES, OTHER_MODALITY, SERIES, SOP, STUDY
 from radloom.session import pin
@@ -53,7 +54,7 @@ def split_levels(flat: DataFrame, template: dict[str, TemplateTable]) -> dict[st
 
 def join_levels(study: DataFrame, series: DataFrame, image: DataFrame) -> DataFrame:
     """Study, series and image rows side by side."""
-    return image.join(series, SERIES).join(study, STUDY)
+    return image.join(join_side(series, SERIES), SERIES).join(join_side(study, STUDY), STUDY)
 
 
 def colliding_keys(df: DataFrame, key: str) -> DataFrame:
@@ -79,22 +80,22 @@ def isolate(study: DataFrame, series: DataFrame, image: DataFrame) -> Isolated:
     bad_study, bad_series, bad_image = (colliding_keys(d, k) for d, k in ((study, STUDY), (series, SERIES), (image, SOP)))
     # Only sets of bad keys travel between the levels: down to what hangs below
     # them, and up to what they hang on.
-    below_study = bad_series.union(series.join(bad_study, STUDY, "left_semi").select(SERIES)).distinct()
-    images = bad_image.union(image.join(below_study, SERIES, "left_semi").select(SOP)).distinct()
-    above_image = image.join(bad_image, SOP, "left_semi").select(SERIES)
+    below_study = bad_series.union(series.join(join_side(bad_study, STUDY), STUDY, "left_semi").select(SERIES)).distinct()
+    images = bad_image.union(image.join(join_side(below_study, SERIES), SERIES, "left_semi").select(SOP)).distinct()
+    above_image = image.join(join_side(bad_image, SOP), SOP, "left_semi").select(SERIES)
     on_series = bad_series.union(above_image).distinct()
     keys = {
-        "study": (study, STUDY, bad_study.union(series.join(on_series, SERIES, "left_semi").select(STUDY)).distinct()),
+        "study": (study, STUDY, bad_study.union(series.join(join_side(on_series, SERIES), SERIES, "left_semi").select(STUDY)).distinct()),
         "series": (series, SERIES, below_study.union(above_image).distinct()),
         "image": (image, SOP, images),
     }
-    return Isolated({n: d.join(k, c, "left_anti") for n, (d, c, k) in keys.items()},
-                    {n: d.join(k, c, "left_semi") for n, (d, c, k) in keys.items()})
+    return Isolated({n: d.join(join_side(k, c), c, "left_anti") for n, (d, c, k) in keys.items()},
+                    {n: d.join(join_side(k, c), c, "left_semi") for n, (d, c, k) in keys.items()})
 
 
 def split_corrupt(batch: DataFrame, corrupt: DataFrame, key: str) -> DataFrame:
     """The batch without its corrupt rows; repeated rows stay repeated."""
-    return batch.join(corrupt.select(key).distinct(), key, "left_anti")
+    return batch.join(unique_side(corrupt, key), key, "left_anti")
 
 
 def skip_existing(batch: DataFrame, store: DataFrame, path: str = "DicomFilePath", archive: str = "archive",
@@ -104,11 +105,11 @@ def skip_existing(batch: DataFrame, store: DataFrame, path: str = "DicomFilePath
     Within an archive the first entry already stored ends the reading of that
     archive, so entries after it are skipped even when they are new.
     """
-    known = batch.join(store.select(path).distinct(), path, "left_semi")
+    known = batch.join(unique_side(store, path), path, "left_semi")
     stop = (known.where(F.col(archive).isNotNull()).groupBy(archive)
             .agg(F.min(entry_pos).alias("_stop")))
     fresh = batch.join(known.where(F.col(archive).isNull()).select(path), path, "left_anti")
-    return (fresh.join(stop, archive, "left")
+    return (fresh.join(join_side(stop, archive), archive, "left")
             .where(F.col("_stop").isNull() | (F.col(entry_pos) < F.col("_stop"))).drop("_stop"))
 
 
@@ -117,8 +118,8 @@ def replace_conflicts(store: DataFrame, batch: DataFrame, path: str = "DicomFile
 
     Stored rows sharing a path or an instance UID with the batch give way to it.
     """
-    kept = (store.join(batch.select(path).distinct(), path, "left_anti")
-            .join(batch.select(SOP).distinct(), SOP, "left_anti"))
+    kept = (store.join(unique_side(batch, path), path, "left_anti")
+            .join(unique_side(batch, SOP), SOP, "left_anti"))
     return kept.unionByName(batch)
 
 
@@ -174,4 +175,4 @@ def merge_live(live: DataFrame, stage: DataFrame, key: str | list[str], run_id:
 
 def reconcile(store: DataFrame, live: DataFrame, key: str = SOP) -> DataFrame:
     """Stored images the relational table does not hold yet."""
-    return store.join(live.select(key).distinct(), key, "left_anti")
+    return store.join(unique_side(live, key), key, "left_anti")

@@ -6,12 +6,15 @@ against distinct key lists, and ``reason`` then reads those columns only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.joins import unique_side
 from radloom.functions.text import blank_to_null
 from radloom.schemas import SERIES, SOP, STUDY, Catalogue
 
@@ -24,7 +27,7 @@ class Rejector(Protocol):
 
 def _flag_members(df: DataFrame, column: Column, listed: DataFrame, flag: str) -> DataFrame:
     """Add ``flag``: true where ``column`` occurs in the one-column list."""
-    keys = listed.toDF("_member").where(F.col("_member").isNotNull()).distinct().withColumn(flag, F.lit(True))
+    keys = unique_side(listed.toDF("_member").where(F.col("_member").isNotNull()), "_member").withColumn(flag, F.lit(True))
     return df.join(keys, column == F.col("_member"), "left").drop("_member")
 
 
@@ -137,6 +140,24 @@ class RejectAll:
         return F.lit("Rejector is RejectAll")
 
 
+@dataclass(frozen=True)
+class BatchFunction:
+    """A rule SQL cannot express: pandas columns in, a series of reasons out.
+
+    The function gets the named columns of one Arrow batch and returns a reason,
+    or None, per row.
+    """
+
+    columns: tuple[str, ...]
+    function: Callable[..., pd.Series]
+
+    def prepare(self, df: DataFrame, slot: str) -> DataFrame:
+        return df
+
+    def reason(self, slot: str) -> Column:
+        return blank_to_null(F.pandas_udf(self.function, "string")(*[F.col(c) for c in self.columns]))
+
+
 @dataclass(frozen=True)
 class ModalityRules:
     """A rejector for some modalities, beside or instead of the usual ones."""

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import groupby
+from typing import Protocol
 
 import yaml
 from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.joins import unique_side
+
 # --- fixed values: built-in detectors -----------------------------------------
 CHI = r"\b[0-3][0-9][0-1][0-9][0-9]{6}\b"
 POSTCODE = r"\b[A-Z]{1,2}[0-9][0-9A-Z]? ?[0-9][A-Z]{2}\b"
@@ -188,8 +191,8 @@ def screen_rows(df: DataFrame, rules: list[ScreenRule], columns: list[str], skip
     return df.withColumn("failures", F.filter(F.array(*cells), lambda c: c["parts"].isNotNull()))
 
 
-def filter_failures(failures: DataFrame, rules: list[AllowRule]) -> DataFrame:
-    """Remove allowed parts; a failure that loses all of them is dropped."""
+def _not_allowed(column: Column, value: Column, parts: Column, rules: list[AllowRule]) -> Column:
+    """The parts no allow rule speaks for."""
     grouped: dict[tuple, list[str]] = {}
     for r in rules:
         grouped.setdefault((r.pattern, r.column, r.classification, r.case_sensitive, r.part_pattern is None), []).append(
@@ -197,26 +200,31 @@ def filter_failures(failures: DataFrame, rules: list[AllowRule]) -> DataFrame:
 
     def allowed(part: Column) -> Column:
         verdict = F.lit(False)
-        for (pattern, column, classification, sensitive, whole), words in grouped.items():
+        for (pattern, named, classification, sensitive, whole), words in grouped.items():
             flag = "" if sensitive else "(?i)"
             term = F.lit(True) if whole else part["Word"].rlike(flag + _either(words))
             if pattern is not None:
-                term = term & F.col("value").rlike(flag + pattern)
-            if column is not None:
-                term = term & (F.col("column") == column)
+                term = term & value.rlike(flag + pattern)
+            if named is not None:
+                term = term & (column == named)
             if classification is not None:
                 term = term & F.coalesce(part["Classification"] == classification, F.lit(False))
             verdict = verdict | term
         return verdict
 
-    kept = F.filter("parts", lambda p: ~allowed(p))
+    return F.filter(parts, lambda p: ~allowed(p))
+
+
+def filter_failures(failures: DataFrame, rules: list[AllowRule]) -> DataFrame:
+    """Remove allowed parts; a failure that loses all of them is dropped."""
+    kept = _not_allowed(F.col("column"), F.col("value"), F.col("parts"), rules)
     return (failures.withColumn("_before", F.size("parts")).withColumn("parts", kept)
             .where((F.size("parts") > 0) | (F.col("_before") == 0)).drop("_before"))
 
 
 def drop_listed(failures: DataFrame, listed: DataFrame) -> DataFrame:
     """Drop failures whose whole value is on an allow list."""
-    values = listed.select(F.col(listed.columns[0]).alias("value")).distinct()
+    values = unique_side(listed.select(F.col(listed.columns[0]).alias("value")), "value")
     return failures.join(values, "value", "left_anti")
 
 
@@ -229,6 +237,36 @@ def reject_all(files: DataFrame) -> DataFrame:
         none.alias("column"), none.alias("value"), F.array(part).alias("parts"))))
 
 
+class Classifier(Protocol):
+    """Adds ``failures`` to files, zero or more per file."""
+
+    def classify(self, files: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class RuleClassifier:
+    """Rules, then allow rules on what they found."""
+
+    columns: tuple[str, ...]
+    rules: tuple[ScreenRule, ...]
+    allow: tuple[AllowRule, ...] = ()
+    skip: tuple[str, ...] = ()
+
+    def classify(self, files: DataFrame) -> DataFrame:
+        found = screen_rows(files, list(self.rules), list(self.columns), list(self.skip))
+        if not self.allow:
+            return found
+        left = F.transform("failures", lambda f: F.struct(
+            f["column"].alias("column"), f["value"].alias("value"),
+            _not_allowed(f["column"], f["value"], f["parts"], list(self.allow)).alias("parts")))
+        return found.withColumn("failures", F.filter(left, lambda f: F.size(f["parts"]) > 0))
+
+
+class RejectAllClassifier:
+    def classify(self, files: DataFrame) -> DataFrame:
+        return reject_all(files)
+
+
 def verdict(files: DataFrame) -> DataFrame:
     """Screening status and JSON report of each file.
 

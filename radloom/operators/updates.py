@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.joins import join_side
 from radloom.functions.ordering import next_marked
 from radloom.functions.text import blank_to_null
 from radloom.operators.validate import UpdateSpec
@@ -129,7 +130,7 @@ def resolve_chain(pairs: DataFrame, seq: str = "seq", have: str = "have", want:
     state = pin(steps.join(arrivals, "seq", "left").select("seq", "have", F.col("want").alias("final"), "next"))
     while not state.where(F.col("next").isNotNull()).isEmpty():
         onward = state.select(F.col("seq").alias("next"), F.col("final").alias("_final"), F.col("next").alias("_next"))
-        state = pin(state.join(onward, "next", "left").select(
+        state = pin(state.join(join_side(onward, "next"), "next", "left").select(
             "seq", "have",
             F.when(F.col("next").isNotNull(), F.col("_final")).otherwise(F.col("final")).alias("final"),
             F.col("_next").alias("next")))
@@ -145,7 +146,7 @@ def _merged_moves(moves: DataFrame) -> DataFrame:
 def apply_chain(df: DataFrame, column: str, resolved: DataFrame) -> DataFrame:
     """A table column after all updates; untouched values stay."""
     final = resolved.select(F.col("have").alias("_have"), F.col("final").alias("_final"), F.lit(True).alias("_hit"))
-    joined = df.join(final, F.col(column) == F.col("_have"), "left")
+    joined = df.join(join_side(final, "_have"), F.col(column) == F.col("_have"), "left")
     return joined.select(*[F.when(F.col("_hit"), F.col("_final")).otherwise(F.col(c)).alias(c) if c == column else F.col(c)
                            for c in df.columns])
 

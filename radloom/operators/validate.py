@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
+from radloom.functions.joins import join_side, unique_side
 from radloom.functions.text import blank_to_null, is_blank
 from radloom.schemas import (EXTRACTION_KEYS, FAILURE_REPORT, MAX_DOCUMENT_BYTES, OPERATORS, SERIES, SOP, STUDY)
 from radloom.template import TemplateTable
@@ -30,7 +31,7 @@ def drop_bad(df: DataFrame, directory: str, nack_if_any: bool, bad: str = "bad")
     good = df.where(F.col(bad).isNull())
     if not nack_if_any:
         return good
-    spoiled = df.where(F.col(bad).isNotNull()).select(directory).distinct()
+    spoiled = unique_side(df.where(F.col(bad).isNotNull()), directory)
     return good.join(spoiled, directory, "left_anti")
 
 
@@ -206,6 +207,6 @@ def require_below_root(dirs: DataFrame, files: DataFrame, root: str, pattern: st
     name = paths.file_name(F.col("path"))
     counts = (files.where(paths.like_glob(name, pattern) | paths.is_archive(F.col("path")))
               .groupBy(paths.parent_dir(F.col("path")).alias("dir")).agg(F.count("*").alias("n_files")))
-    return (dirs.join(counts, "dir", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    return (dirs.join(join_side(counts, "dir"), "dir", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
             .withColumn("bad", F.when(~paths.below_root(F.col("dir"), root), F.lit("not below root"))
                         .when(F.col("n_files") == 0, F.lit("no files"))))

@@ -11,6 +11,7 @@ from radloom.operators import cohort
 from radloom.operators.rejectors import ModalityRules, Rejector, select_chain
 from radloom.operators.validate import ExtractionOptions
 from radloom.schemas import Catalogue
+from radloom.session import pin
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,23 @@ class Extraction:
 
     @cached_property
     def collections(self) -> DataFrame:
-        return cohort.collection_info(self.ids, self.matched, self.files)
+        return cohort.collection_info(self.ids, self.matched)
+
+    @cached_property
+    def messages(self) -> DataFrame:
+        return cohort.collection_messages(self.ids, self.matched, self.files)
 
 
 def plan_extraction(ids: DataFrame, options: ExtractionOptions, modality: str, directory: str,
                     catalogues: list[Catalogue], base: list[Rejector], specific: list[ModalityRules] | None = None,
-                    resolver: str = "study_series_sop") -> Extraction:
-    """Plan one extraction; ``ids`` are ``(pos, key_value)`` rows."""
+                    resolver: str = "study_series_sop", keep: bool = False) -> Extraction:
+    """Plan one extraction; ``ids`` are ``(pos, key_value)`` rows.
+
+    ``keep`` pins the verdicts, so that the archive is read once however many of
+    the results are written.
+    """
     options.validate()
     chain = select_chain(modality, base, specific or [], options.no_filters)
     routed = cohort.route_catalogues(catalogues, modality, options.key)
-    return Extraction(ids, options, directory, resolver, routed, cohort.match_images(ids, options.key, routed, chain))
+    matched = cohort.match_images(ids, options.key, routed, chain)
+    return Extraction(ids, options, directory, resolver, routed, pin(matched) if keep else matched)

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
+from radloom.functions.joins import join_side
 
 # --- fixed values: directory levels of a dated archive ------------------------
 DAY_LEVEL = r"20\d{2}[\\/]\d{2}[\\/]\d{2}([\\/]|$)"
@@ -41,7 +42,7 @@ def find_dirs(files: DataFrame, pattern: str = "*.dcm") -> DataFrame:
     # that shuffle intact, where an anti join would be pushed below it.
     shadowed = (
         holding.select("dir", F.explode(paths.ancestors(F.col("dir"))).alias("above"))
-        .join(holding.select(F.col("dir").alias("above")), "above", "left_semi")
+        .join(join_side(holding.select(F.col("dir").alias("above")), "above"), "above", "left_semi")
         .select("dir").distinct().withColumn("_shadowed", F.lit(True))
     )
     return holding.join(shadowed, "dir", "left").where(F.col("_shadowed").isNull()).select("dir")
@@ -79,7 +80,7 @@ def list_dirs(lines: DataFrame, files: DataFrame, pattern: str = "*.dcm") -> Dat
                   .where(F.col("listed").rlike(ACCESSION_LEVEL)) \
                   .select(F.rtrim(F.col("listed"), F.lit("/\\")).alias("dir"))
     holding = _dirs_holding(files, paths.like_glob(paths.file_name(F.col("path")), pattern))
-    return wanted.join(holding, "dir", "left_semi")
+    return wanted.join(join_side(holding, "dir"), "dir", "left_semi")
 
 
 def rejected_lines(lines: DataFrame, files: DataFrame, pattern: str = "*.dcm") -> DataFrame:
@@ -89,7 +90,7 @@ def rejected_lines(lines: DataFrame, files: DataFrame, pattern: str = "*.dcm") -
     malformed = clean.where(~shaped).select("listed", F.lit("not an accession directory").alias("reason"))
     holding = _dirs_holding(files, paths.like_glob(paths.file_name(F.col("path")), pattern))
     empty = (clean.where(shaped).withColumn("dir", F.rtrim(F.col("listed"), F.lit("/\\")))
-             .join(holding, "dir", "left_anti")
+             .join(join_side(holding, "dir"), "dir", "left_anti")
              .select("listed", F.lit("missing or without matching files").alias("reason")))
     return malformed.unionByName(empty)
 

@@ -142,8 +142,10 @@ def test_single_series(spark, lookup, rows):
 def test_collection_messages_hold_everything(spark):
     files = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "big").otherwise(F.col("id").cast("string")).alias("key_value"),
                                      F.col("id").cast("string").alias("output_path"))
-    matched = spark.createDataFrame([("big", "p", "s", True, "r")],
-                                    "key_value string, RelativeFileArchiveURI string, SOPInstanceUID string, reject boolean, reason string")
+    path = F.col("output_path").alias("RelativeFileArchiveURI")
+    matched = files.select("key_value", path, F.lit("s").alias("SOPInstanceUID"), F.lit(False).alias("reject"), F.lit(None).cast("string").alias("reason")).union(
+        spark.createDataFrame([("big", "p", "s", True, "r")],
+                              "key_value string, RelativeFileArchiveURI string, SOPInstanceUID string, reject boolean, reason string"))
     packed = C.collection_messages(ids(spark, "big", "none"), matched, files, part_size=100)
     big = packed.where("key_value = 'big'")
     assert big.agg(F.sum(F.size("files"))).first()[0] == 1667
@@ -190,3 +192,14 @@ def test_cohort_file(spark, tmp_path, rows):
     for bad in ("", "PatientID\n1\n", "SeriesInstanceUID,StudyInstanceUID\n1,2\n", "SeriesInstanceUID\n1,2\n", "SeriesInstanceUID\n", "SeriesInstanceUID\n1,\n"):
         with pytest.raises(CohortFormatError):
             read(bad)
+
+
+def test_batch_function_rule(spark, rows):
+    import pandas as pd
+
+    from radloom.operators.rejectors import BatchFunction
+
+    def odd(n: pd.Series) -> pd.Series:
+        return pd.Series(["odd" if v % 2 else None for v in n])
+
+    assert rows(apply_rejectors(spark.range(4), [BatchFunction(("id",), odd)]), "id", "reason") == [(0, None), (1, "odd"), (2, None), (3, "odd")]

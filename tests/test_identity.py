@@ -187,3 +187,19 @@ def test_positions_and_look_ahead(spark):
     got = {r["id"]: r["next"] for r in next_marked(marked, "k", "id", F.col("m"), 7).collect()}
     for i in range(200):
         assert got[i] == next((j for j in range(i + 1, 200) if j % 5 == 0 and (j % 3 == 0) == (i % 3 == 0)), None)
+
+
+def test_swappers(spark, mapping, tmp_path, rows):
+    path = str(tmp_path / "guids")
+    spark.createDataFrame([], "swap string, guid string").write.parquet(path)
+    stored = lambda: spark.read.parquet(path)
+    guids = I.SurrogateSwapper(stored, lambda new: new.write.mode("append").parquet(path), max_length=10, salt="s")
+    ids = spark.createDataFrame([("0101010101",), ("0404040404",), ("too long a value",)], "id string")
+    first = rows(guids.swap(ids, "id"), "id", "replacement", "fail_reason")
+    assert first == rows(guids.swap(ids, "id"), "id", "replacement", "fail_reason")
+    assert stored().count() == 2 and first[2] == ("too long a value", None, "Supplied value was too long (16) - max allowed is (10)")
+    both = I.FallbackSwapper(mapping, guids)
+    new = spark.createDataFrame([("0101010101",), ("0505050505",)], "id string")
+    assert rows(both.swap(new, "id"), "id", "replacement")[0] == ("0101010101", "0A0A0A0A0A")
+    assert stored().where("swap = '0505050505'").count() == 1 and stored().count() == 3
+    assert rows(I.LookupSwapper(mapping).swap(new, "id"), "replacement") == [("0A0A0A0A0A",), (None,)]

@@ -187,3 +187,46 @@ def test_stream_dedupe(spark, tmp_path, rows):
     (stream_dedupe(stream, "k", "ts", "10 minutes").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp"))
      .trigger(availableNow=True).start().awaitTermination())
     assert rows(spark.table("once"), "k") == [("a",), ("b",)]
+
+
+def test_flows_over_streams(spark, tmp_path, rows):
+    import json
+
+    from radloom.functions.tags import parse_tags
+    from radloom.operators.rejectors import DynamicRules
+    from radloom.operators.screening import RuleClassifier, default_rules
+    from radloom.streaming import flows
+
+    source = str(tmp_path / "in")
+    tags = lambda p: json.dumps({"00100020": {"vr": "LO", "val": p}})
+    spark.createDataFrame([("a", True, "0101010101", tags("p1")), ("b", True, "fine", tags("p2"))], "resource string, present boolean, t string, tags string").write.json(source)
+    stream = read_events(spark, source, spark.read.json(source).schema).withColumn("tags", parse_tags(F.col("tags")))
+    mapping = spark.createDataFrame([("p1", "x1")], "swap string, replacement string")
+
+    def result(df, name):
+        df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    assert rows(result(flows.swap_stream(stream, mapping), "swapped"), "resource", "fail_reason") == [("a", None), ("b", "No match found for 'p2'")]
+    assert rows(result(flows.screen_stream(stream, RuleClassifier(("t",), tuple(default_rules()))), "screened"), "resource", "status") == [("a", "IsIdentifiable"), ("b", "NotIdentifiable")]
+    rules = DynamicRules.from_yaml('[{when: "t = \'fine\'", reason: "\'dull\'"}]')
+    assert rows(result(flows.reject_stream(stream, [rules]), "judged"), "resource", "reason") == [("a", None), ("b", "dull")]
+
+
+def test_load_and_reprocess_handlers(spark, tmp_path, rows):
+    from radloom.streaming.flows import load_handler, reprocess_handler
+
+    read_all = lambda n: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / n))
+    at = lambda n: str(tmp_path / n)
+    ids = "StudyInstanceUID string, SeriesInstanceUID string, SOPInstanceUID string"
+    batch = spark.createDataFrame([("1", "1", "1", "t1"), ("1", "1", "1", "t1"), ("1", " ", "2", "t2"), ("1", "1", "3", "t3")], ids + ", DicomDataset string")
+    handler = load_handler(VA.require_ids, "SOPInstanceUID", at("good"), at("bad"))
+    handler(batch, 0)
+    handler(batch, 0)
+    assert rows(read_all("good"), "SOPInstanceUID") == [("1",), ("3",)] and read_all("bad").count() == 1
+    docs = spark.createDataFrame([(("p", 5), "1", "1", "1", "t"), (None, "1", "1", "2", "t"), (("p", None), "1", "1", "3", " "), (("q", None), "2", "1", "4", "t")],
+                                 f"header struct<DicomFilePath:string,DicomFileSize:bigint>, {ids}, dataset string")
+    reprocess_handler('{"find": {"StudyInstanceUID": "1"}}', at("sent"), at("failed"), at("counts"))(docs, 7)
+    assert [tuple(r) for r in read_all("counts").collect()] == [(1, 2)]
+    assert rows(read_all("sent"), "DicomFilePath", "DicomFileSize") == [("p", 5)]
+    assert rows(read_all("failed"), "reason") == [("message was not valid",), ("no header",)]

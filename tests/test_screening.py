@@ -89,3 +89,11 @@ def test_reports_and_skipped_columns(spark, rows):
     assert rows(S.column_report(S.screen_cells(data, S.default_rules()))) == [("a", 3, 2, 0.666667), ("b", 2, 1, 0.5)]
     assert rows(S.value_report(fails)) == [("a", "0101010101"), ("b", "0202020202")]
     assert rows(S.to_cells(df, "id", skip=["A"]).select("column").distinct()) == [("b",)]
+
+
+def test_classifiers(spark):
+    files = spark.createDataFrame([("a", True, "Topogram 0101010101", "Smith")], "resource string, present boolean, t string, u string")
+    rules = (*S.default_rules(), S.ScreenRule("Report", pattern="topogram|smith", classification="Person"))
+    kept = S.RuleClassifier(("t", "u"), rules, (S.AllowRule("^Smith$", classification="Person"),)).classify(files).first()["failures"]
+    assert [(f["column"], [p["Word"] for p in f["parts"]]) for f in kept] == [("t", ["0101010101"])]
+    assert S.verdict(S.RejectAllClassifier().classify(files)).first()["status"] == "IsIdentifiable"

@@ -18,10 +18,10 @@ KEY = STUDY
 DIRECTORY = "proj/extractions/first/"
 
 
-def extraction(t, **options):
+def extraction(t, keep=False, **options):
     """The flagship request over one catalogue; one of another modality is not asked."""
     catalogues = [Catalogue("CT_ImageTable", V.patient_files(t)), Catalogue("MR_ImageTable", V.patient_files(t))]
-    return plan_extraction(V.request(t), ExtractionOptions(KEY, **options), "CT", DIRECTORY, catalogues, V.chain(t))
+    return plan_extraction(V.request(t), ExtractionOptions(KEY, **options), "CT", DIRECTORY, catalogues, V.chain(t), keep=keep)
 
 
 @query("match_summary", f"""WITH {V.SQL_MATCHED}
@@ -82,7 +82,7 @@ FROM request LEFT JOIN (SELECT key_value, COUNT(*) FILTER (WHERE reason IS NULL)
   COUNT(*) FILTER (WHERE reason IS NOT NULL) AS rejected FROM matched GROUP BY key_value) USING (key_value)""")
 def collection_messages(t):
     """The packed records, unpacked again to counts per requested identifier."""
-    e = extraction(t)
+    e = extraction(t, keep=True)
     packed = C.collection_messages(V.request(t), e.matched, e.files, part_size=2)
     rejected = F.aggregate(F.map_values("reasons"), F.lit(0).cast("long"), lambda a, n: a + n)
     return packed.groupBy("key_pos", "key_value").agg(

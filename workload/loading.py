@@ -360,7 +360,7 @@ def _merge(t):
         F.col("o_orderkey").alias("study"), F.col("o_orderstatus").alias("status"), F.lit("old").alias("MessageGuid"),
         F.col("o_orderdate").alias("valid_from"), F.lit(1).alias("load_run_id"))
     stage = t.lineitem.groupBy(F.col("l_orderkey").alias("study")).agg(
-        F.max("l_linestatus").alias("status"), F.lit("new").alias("MessageGuid"))
+        F.when(F.bool_or(F.col("l_linestatus") == "O"), "O").otherwise("F").alias("status"), F.lit("new").alias("MessageGuid"))
     return L.merge_live(live, stage, "study", 2, F.lit(_STAMP).cast("timestamp"))
 
 
