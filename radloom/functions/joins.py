@@ -20,3 +20,18 @@ def join_side(df: DataFrame, *keys: str) -> DataFrame:
 def unique_side(df: DataFrame, *keys: str) -> DataFrame:
     """The distinct keys of ``df`` as a join side."""
     return join_side(df.select(*keys).distinct(), *keys)
+
+
+def within(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among distinct ``members``.
+
+    For a ``df`` that was grouped and is read more than once: a semi join would
+    be pushed below the grouping, and each reader would then group anew.
+    """
+    return df.join(join_side(members.select(key), key), key).select(*df.columns)
+
+
+def without(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among distinct ``members``; see :func:`within`."""
+    marked = join_side(members.select(key), key).withColumn("_member", F.lit(True))
+    return df.join(marked, key, "left").where(F.col("_member").isNull()).select(*df.columns)

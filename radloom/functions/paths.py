@@ -39,12 +39,14 @@ def like_glob(name: Column, pattern: str) -> Column:
 
 
 def ancestors(directory: Column) -> Column:
-    """All proper ancestors of a directory, nearest last."""
+    """All proper ancestors of a directory, the empty root first."""
     parts = F.split(directory, "/")
     depth = F.size(parts)
     up = F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))),
                      lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return F.when(depth > 1, up).otherwise(F.array().cast("array<string>"))
+    root = F.array(F.lit(""))
+    return (F.when(directory == "", F.array().cast("array<string>"))
+            .when(depth > 1, F.array_union(root, up)).otherwise(root))
 
 
 def below_root(path: Column, root: str) -> Column:

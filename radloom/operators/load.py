@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.functions.joins import join_side, unique_side
+from radloom.functions.joins import join_side, unique_side, within, without
 from radloom.operators.project import project_common
 from radloom.schemas import MAJOR_MODALITIES, OTHER_MODALITY, SERIES, SOP, STUDY
 from radloom.session import pin
@@ -80,17 +80,17 @@ def isolate(study: DataFrame, series: DataFrame, image: DataFrame) -> Isolated:
     bad_study, bad_series, bad_image = (colliding_keys(d, k) for d, k in ((study, STUDY), (series, SERIES), (image, SOP)))
     # Only sets of bad keys travel between the levels: down to what hangs below
     # them, and up to what they hang on.
-    below_study = bad_series.union(series.join(join_side(bad_study, STUDY), STUDY, "left_semi").select(SERIES)).distinct()
-    images = bad_image.union(image.join(join_side(below_study, SERIES), SERIES, "left_semi").select(SOP)).distinct()
-    above_image = image.join(join_side(bad_image, SOP), SOP, "left_semi").select(SERIES)
+    below_study = bad_series.union(within(series, bad_study, STUDY).select(SERIES)).distinct()
+    images = bad_image.union(within(image, below_study, SERIES).select(SOP)).distinct()
+    above_image = within(image, bad_image, SOP).select(SERIES)
     on_series = bad_series.union(above_image).distinct()
     keys = {
-        "study": (study, STUDY, bad_study.union(series.join(join_side(on_series, SERIES), SERIES, "left_semi").select(STUDY)).distinct()),
+        "study": (study, STUDY, bad_study.union(within(series, on_series, SERIES).select(STUDY)).distinct()),
         "series": (series, SERIES, below_study.union(above_image).distinct()),
         "image": (image, SOP, images),
     }
-    return Isolated({n: d.join(join_side(k, c), c, "left_anti") for n, (d, c, k) in keys.items()},
-                    {n: d.join(join_side(k, c), c, "left_semi") for n, (d, c, k) in keys.items()})
+    return Isolated({n: without(d, bad, key) for n, (d, key, bad) in keys.items()},
+                    {n: within(d, bad, key) for n, (d, key, bad) in keys.items()})
 
 
 def split_corrupt(batch: DataFrame, corrupt: DataFrame, key: str) -> DataFrame:

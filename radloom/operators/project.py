@@ -14,16 +14,17 @@ from radloom.template import TAG_OF_KEYWORD, TemplateTable
 
 
 def flatten(df: DataFrame, tables: list[TemplateTable], json: str = "DicomDataset", path: str = "DicomFilePath",
-            tags: str | None = None, tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
+            tags: str | None = None, carry: tuple[str, ...] = (), tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
     """Columns of a template from tag sets, plus path, size and message guid.
 
+    Columns named in ``carry`` go along as they are.
     Reads a parsed map when ``tags`` names one; else the JSON text is parsed once
     per row, and only for the template's own tags.  Multi-valued tags keep their
     ``\\`` joint and sequences keep their JSON.
     """
     names = list(dict.fromkeys(n for t in tables for n in t.names))
     given = {PATH: F.col(path)}
-    for carried in ("MessageGuid", "DicomFileSize"):
+    for carried in ("MessageGuid", "DicomFileSize", *carry):
         if carried in df.columns:
             given[carried] = F.col(carried)
     wanted = {n: tags_of[n] for n in names if n not in given and n in tags_of}

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
-from radloom.functions.joins import join_side
+from radloom.functions.joins import join_side, without
 
 # --- fixed values: directory levels of a dated archive ------------------------
 DAY_LEVEL = r"20\d{2}[\\/]\d{2}[\\/]\d{2}([\\/]|$)"
@@ -37,15 +37,14 @@ def find_dirs(files: DataFrame, pattern: str = "*.dcm") -> DataFrame:
     Once a directory qualifies, nothing below it is a work item of its own.
     """
     holding = _dirs_holding(files, paths.like_glob(paths.file_name(F.col("path")), pattern))
-    # Only the set of qualifying directories is compared, never the files.  All
-    # uses of the set share one shuffle of it; a left join with a null test keeps
-    # that shuffle intact, where an anti join would be pushed below it.
+    # Only the set of qualifying directories is compared, never the files, and
+    # all uses of the set share one shuffle of it.
     shadowed = (
         holding.select("dir", F.explode(paths.ancestors(F.col("dir"))).alias("above"))
-        .join(join_side(holding.select(F.col("dir").alias("above")), "above"), "above", "left_semi")
-        .select("dir").distinct().withColumn("_shadowed", F.lit(True))
+        .join(join_side(holding.select(F.col("dir").alias("above")), "above"), "above")
+        .select("dir").distinct()
     )
-    return holding.join(shadowed, "dir", "left").where(F.col("_shadowed").isNull()).select("dir")
+    return without(holding, shadowed, "dir")
 
 
 def find_dirs_pacs(dirs: DataFrame, root: str) -> DataFrame:

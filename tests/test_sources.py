@@ -17,6 +17,8 @@ def test_default_mode_stops_at_the_first_match(spark, rows):
     files = listing(spark, "r/a/1.dcm", "r/a/b/2.dcm", "r/c/d/3.dcm", "r/c/x.txt", "r/e/y.txt", "r/ab/4.dcm")
     assert rows(D.find_dirs(files)) == [("r/a",), ("r/ab",), ("r/c/d",)]
     assert rows(D.find_dirs(files, "*.txt")) == [("r/c",), ("r/e",)]
+    assert rows(D.find_dirs(listing(spark, "top.dcm", "a/1.dcm", "a/b/2.dcm"))) == [("",)]
+    assert rows(D.find_dirs(listing(spark, "/r/1.dcm", "/r/a/2.dcm", "/s/3.dcm"))) == [("/r",), ("/s",)]
 
 
 def test_pacs_mode(spark, rows):

@@ -208,13 +208,13 @@ def update_operators(t):
 
 
 def _pairs(t):
-    """An update per order: its customer's value becomes its price's customer."""
+    """An update per order: its customer's value becomes one drawn from its price."""
     return t.orders.select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("have"),
-                           F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice") % 997).alias("want"))
+                           F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 500)).alias("want"))
 
 
 @query("update_chain", """WITH p AS (SELECT o_orderkey AS seq, o_custkey AS have,
-    CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice) AS BIGINT) % 997 END AS want FROM orders),
+    CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 500) AS BIGINT) END AS want FROM orders),
   moved AS (WITH RECURSIVE walk(origin, held, seq, done) AS (
     SELECT c_custkey, c_custkey, CAST(-1 AS BIGINT), FALSE FROM customer
     UNION ALL SELECT origin, p.want, p.seq, p.want IS NULL FROM walk JOIN p ON p.have = walk.held AND p.seq = (

@@ -70,7 +70,7 @@ def allowlist_filter(t):
         "resource", "column", F.array_join(F.transform("parts", lambda x: x["Word"]), "|").alias("words"))
 
 
-@query("find_chi", f"""WITH {V.SQL_FILES}, c AS (SELECT SOPInstanceUID, 'id ' || lpad(CAST(l_orderkey % 3000 AS VARCHAR), 4, '0') || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS a,
+@query("find_chi", f"""WITH {V.SQL_FILES}, c AS (SELECT SOPInstanceUID, 'id ' || lpad(CAST(CAST(l_quantity * 60 AS INTEGER) AS VARCHAR), 4, '0') || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS a,
     lpad(CAST(l_suppkey AS VARCHAR), 10, '0') || 'x' AS b, lpad(CAST(l_partkey AS VARCHAR), 10, '0') || '.' AS c
   FROM (SELECT *, l_orderkey || '.' || l_partkey || '.' || l_suppkey || '.' || l_linenumber AS SOPInstanceUID FROM lineitem))
 SELECT SOPInstanceUID AS sop, CASE WHEN regexp_matches(a, '\\b[0-3][0-9][0-1][0-9][0-9]{{6}}\\b') THEN 'Found chi in field a'
@@ -81,7 +81,7 @@ def find_chi(t):
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     rows = t.lineitem.select(
         F.struct(F.concat_ws(".", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("sop")).alias("k"),
-        F.concat(F.lit("id "), pad(F.col("l_orderkey") % 3000, 4), pad(F.col("l_partkey"), 6)).alias("a"),
+        F.concat(F.lit("id "), pad((F.col("l_quantity") * 60).cast("int"), 4), pad(F.col("l_partkey"), 6)).alias("a"),
         F.concat(pad(F.col("l_suppkey"), 10), F.lit("x")).alias("b"),
         F.concat(pad(F.col("l_partkey"), 10), F.lit(".")).alias("c"))
     return S.find_chi(rows).select("k.sop", "problem")
