@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.joins import unique_side
 from radloom.operators import jobs as J
+from radloom.session import pin
 from radloom.sources import sinks
 
 
@@ -23,6 +25,20 @@ class CompletedJobs:
         return CompletedJobs(mine(self.jobs), mine(self.infos), mine(self.statuses))
 
 
+def close_jobs(jobs: DataFrame, infos: DataFrame, statuses: DataFrame, now: Column) -> tuple[CompletedJobs, DataFrame]:
+    """Jobs that are complete with their records, and jobs that failed.
+
+    Jobs still waiting are in neither.  The states are pinned: they decide what
+    happens to every other record.
+    """
+    counted = J.job_counts(jobs, J.info_counts(infos), statuses)
+    states = pin(J.complete_jobs(J.job_status(counted)).where(F.col("status").isin("Completed", "Failed")))
+    done = states.where(F.col("status") == "Completed")
+    of_done = lambda df: df.join(unique_side(done, "job_id"), "job_id", "left_semi")
+    completed = done.select(*[c for c in jobs.columns if c not in ("status", "completed_at")], "status", now.alias("completed_at"))
+    return CompletedJobs(completed, of_done(infos), of_done(statuses)), states.where(F.col("status") == "Failed")
+
+
 def write_reports(completed: CompletedJobs, job_id: str, root: str, newline: str = "\n") -> str:
     """README, rejected files, processing errors, verification failures.
 

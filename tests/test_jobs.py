@@ -230,3 +230,14 @@ def test_load_and_reprocess_handlers(spark, tmp_path, rows):
     assert [tuple(r) for r in read_all("counts").collect()] == [(1, 2)]
     assert rows(read_all("sent"), "DicomFilePath", "DicomFileSize") == [("p", 5)]
     assert rows(read_all("failed"), "reason") == [("message was not valid",), ("no header",)]
+
+
+def test_closing_jobs(spark, rows):
+    from radloom.plans.reporting import close_jobs
+
+    jobs, infos, done = bumpy(spark)
+    jobs = jobs.union(spark.createDataFrame([("waiting", 5, False), ("rejected", 1, False)], jobs.schema))
+    infos = infos.union(spark.createDataFrame([("rejected", "k", 0, [], {"r": 3}), ("waiting", "k", 0, ["f"], {})], INFO))
+    completed, failed = close_jobs(jobs, infos, done, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert rows(completed.jobs, "job_id", "status") == [("j", "Completed")] and rows(failed, "job_id") == [("rejected",)]
+    assert (completed.infos.count(), completed.statuses.count()) == (2, 3)

@@ -104,3 +104,17 @@ def test_routes(spark, tmp_path, rows):
     df = spark.createDataFrame([("a", True), ("b", False)], "f string, identifiable boolean")
     sinks.write_routed(sinks.route(df, F.col("identifiable")), str(tmp_path / "out"))
     assert rows(spark.read.json(str(tmp_path / "out")), "f", "route") == [("a", "ident"), ("b", "anon")]
+
+
+def test_tagsets_series_and_tables(spark, tmp_path, rows):
+    from radloom.sources.tables import read_table, read_tagsets
+
+    text = '{"00100020":{"vr":"LO","val":"p"}}'
+    spark.createDataFrame([("a", 5, "1", text)], "DicomFilePath string, DicomFileSize long, StudyInstanceUID string, DicomDataset string").write.json(str(tmp_path / "in"))
+    row = read_tagsets(spark, str(tmp_path / "in")).first()
+    assert (row["DicomDataset"], row["DicomFileSize"], row["SeriesInstanceUID"]) == (text, 5, None)
+    for _ in range(2):
+        sinks.write_series(spark.createDataFrame([("d", "1.1", 3)], "DirectoryPath string, SeriesInstanceUID string, ImagesInSeries long"), str(tmp_path / "series"))
+    assert read_table(spark, str(tmp_path / "series")).count() == 2
+    spark.range(2).createOrReplaceTempView("two")
+    assert read_table(spark, "two").count() == 2

@@ -123,7 +123,7 @@ def below_root(t):
 
 @query("reprocess", f"""WITH {V.SQL_TAGSETS} SELECT SOPInstanceUID, CASE WHEN flag IN ('RF', 'RO') THEN 'no header'
   WHEN flag = 'NF' THEN 'message was not valid' END AS bad,
-  CASE WHEN flag = 'AF' THEN thickness ELSE -1 END AS size FROM tagsets""")
+  CAST(CASE WHEN flag = 'AF' THEN thickness ELSE -1 END AS BIGINT) AS size FROM tagsets""")
 def reprocess(t):
     docs = V.tagsets(t).select(
         SOP, F.when(F.col("flag") != "NF", F.col(STUDY)).otherwise("").alias(STUDY), SERIES,
