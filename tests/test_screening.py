@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from radloom.operators import screening as S
 
 

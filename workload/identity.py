@@ -8,7 +8,7 @@ from radloom.functions import tags as TG
 from radloom.operators import deid as D, identity as I, updates as U
 from radloom.operators.validate import UpdateSpec
 from radloom.plans.propagation import propagate
-from radloom.schemas import SOP, STUDY
+from radloom.schemas import SOP
 from workload import views as V
 from workload.registry import query
 
