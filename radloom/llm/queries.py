@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import secrets
+from radloom.llm import mixing, secrets, sharding
+from radloom.llm.common import stored
 from radloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,51 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+@query("op2_vector_shards", "documents")
+def vector_shards(docs: DataFrame) -> DataFrame:
+    return sharding.pack_shards(docs, shards=24).select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+OP6_SQL = """
+with docs as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as hash
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight
+  from docs group by source),
+levels as (
+  select *, 2.0::double * source_size as cap,
+         (1.5::double * sum(source_size) over () - coalesce(sum(2.0::double * source_size) over w, 0))
+           / (sum(weight) over () - coalesce(sum(weight) over w, 0)) as level
+  from sources
+  window w as (order by 2.0::double * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+targets as (
+  select *, least(cap, weight * (select level from levels where level * weight <= cap order by cap / weight, source nulls last limit 1)) as target
+  from levels),
+plan as (
+  select *, case when source_size > 0 then least(floor(target / source_size), 2)::bigint else 0 end as base from targets),
+sums as (
+  select docs.*, source_size, target, base, target - base * source_size as remainder,
+         sum(size) over (partition by docs.source order by hash) as upto,
+         sum(size) over (partition by docs.source, hash) as here
+  from docs join plan on docs.source is not distinct from plan.source)
+select doc_id, size, source_size, target,
+       size * (base + case when upto <= remainder and remainder > 0 then 1
+                           when upto - here <= remainder and remainder - (upto - here) > upto - remainder then 1 else 0 end)::bigint as taken
+from sums
+"""
+
+
+@query("op6_source_mix", "documents", OP6_SQL)
+def source_mix(docs: DataFrame) -> DataFrame:
+    rows = stored(mixing.sized(docs))
+    return mixing.apply_mix(rows, mixing.plan_mix(rows, (5, 2, 1), 1.5, 2.0), key="key").select(
+        F.col("row.key").alias("doc_id"), "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"))
+
+
 @query("op10_secret_entropy", "documents")
 def secret_entropy(docs: DataFrame) -> DataFrame:
     found = secrets.find_secrets(docs.select("doc_id", "text"))
