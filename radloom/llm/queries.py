@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import mixing, secrets, sharding
+from radloom.llm import mixing, secrets, sharding, simhash
 from radloom.llm.common import stored
 from radloom.session import tune
 
@@ -24,6 +24,13 @@ def query(name: str, table: str, sql: str | None = None):
     return register
 
 
+@query("op1_simhash_near_dedup", "documents")
+def simhash_near_dedup(docs: DataFrame) -> DataFrame:
+    return simhash.near_duplicates(docs, distance=4, blocks=6, shingle=4).select(
+        F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"))
+
+
 @query("op2_vector_shards", "documents")
 def vector_shards(docs: DataFrame) -> DataFrame:
     return sharding.pack_shards(docs, shards=24).select(
