@@ -42,3 +42,8 @@ def text_bytes(text: Column) -> Column:
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as ``row`` beside derived columns, so that no input column can clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` applied to ``value``, computed once however often (or in whatever lambda) ``body`` names it."""
+    return F.transform(F.array(value), body)[0]

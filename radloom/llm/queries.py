@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import mixing, secrets, sharding, simhash
+from radloom.llm import line_templates, mixing, secrets, sharding, simhash
 from radloom.llm.common import stored
 from radloom.session import tune
 
@@ -38,6 +38,53 @@ def vector_shards(docs: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+OP3_SQL = """
+with docs as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+lines as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from docs),
+parsed as (
+  select doc_id, pos, [case when regexp_matches(x, '[0-9]') then '<*>' else x end
+    for x in string_split(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ')] as tokens from lines),
+usable as (
+  select *, tokens[4:] as rest, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') as leaf
+  from parsed where len(tokens) >= 2 and array_to_string(tokens, ' ') <> ''),
+busy as (
+  select leaf from usable where len(tokens) > 3 group by leaf
+  having count(distinct doc_id) >= 3 and count(distinct tokens) > 1),
+places as (select leaf, unnest(rest) as token, unnest(range(len(rest))) as place from usable where leaf in (select leaf from busy)),
+shares as (
+  select *, sum(lines) over (partition by leaf, place) as total,
+         row_number() over (partition by leaf, place order by lines desc, token desc) as nth
+  from (select leaf, place, token, count(*) as lines from places group by all)),
+constants as (
+  select leaf, place, token from shares where nth = 1 and lines >= 0.5 * total and token <> '<*>'),
+agreeing as (
+  select doc_id, pos, u.leaf from (select doc_id, pos, leaf, unnest(rest) as token, unnest(range(len(rest))) as place, len(rest) as width from usable) u
+  join constants c on c.leaf = u.leaf and c.place = u.place and c.token = u.token
+  group by doc_id, pos, u.leaf, u.width having count(*) >= 0.7 * u.width),
+by_leaf as (
+  select doc_id, pos, first from agreeing join (
+    select leaf, min(doc_id) as first from agreeing group by leaf having count(distinct doc_id) >= 3) using (leaf)),
+by_text as (
+  select doc_id, pos, first from usable join (
+    select tokens, min(doc_id) as first from usable group by tokens having count(distinct doc_id) >= 3) using (tokens)),
+gone as (
+  select t.doc_id, t.pos from (
+    select coalesce(l.doc_id, x.doc_id) as doc_id, coalesce(l.pos, x.pos) as pos, coalesce(l.first, x.first) as first
+    from by_leaf l full join by_text x on l.doc_id = x.doc_id and l.pos = x.pos) t where t.doc_id <> t.first),
+marks as (select doc_id, list(pos order by pos) as drops from gone group by doc_id)
+select d.doc_id, coalesce(len(lines), 0)::int as n_lines, coalesce(len(drops), 0)::int as n_dropped,
+       case when drops is null then d.text
+            else array_to_string([lines[i + 1] for i in range(len(lines)) if not list_contains(drops, i)], chr(10)) end as text
+from documents d left join docs using (doc_id) left join marks using (doc_id)
+"""
+
+
+@query("op3_line_templates", "documents", OP3_SQL)
+def line_dedup(docs: DataFrame) -> DataFrame:
+    return line_templates.drop_lines(docs.select("doc_id", "text")).select(
+        "row.doc_id", "n_lines", F.size("drops").alias("n_dropped"), F.col("kept").alias("text"))
+
+
 OP6_SQL = """
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,

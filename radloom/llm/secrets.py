@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.llm.common import packed
+from radloom.llm.common import bind, packed
 
 # The patterns of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,11 +53,6 @@ class EntropyRule:
 
 
 
-def _bind(value: Column, body) -> Column:
-    """``body`` applied to ``value``, computed once however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _running(lengths: Column, block: int = 256) -> Column:
     """Inclusive running sums of an array, block by block, so that no long array is copied at each step."""
     def sums(values: Column, start: Column) -> Column:
@@ -67,18 +62,18 @@ def _running(lengths: Column, block: int = 256) -> Column:
     def by_block(all_lengths: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_lengths) - 1) / block).cast("int")),
                              lambda b: F.slice(all_lengths, b * block + 1, F.lit(block)))
-        return _bind(blocks, lambda parts: _bind(
+        return bind(blocks, lambda parts: bind(
             sums(F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)), F.lit(0)),
             lambda ends: F.flatten(F.zip_with(parts, ends, lambda x, end: sums(
                 x, end - F.aggregate(x, F.lit(0), lambda a, b: a + b))))))
 
-    return _bind(lengths, by_block)
+    return bind(lengths, by_block)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """The matches of a pattern, leftmost first: start, end, the text and its second group."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = _bind(found, lambda m: _bind(
+    spans = bind(found, lambda m: bind(
         _running(F.zip_with(m, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), lambda x, gap: F.length(x) + F.length(gap))),
         lambda ends: F.arrays_zip(m.alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"), ends.alias("end"))))
     empty = F.expr("cast(array() as array<struct<hit:string,value:string,end:int>>)")
@@ -110,7 +105,7 @@ def best_entropy(run: Column, window: int) -> Column:
 
     start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
     codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return _bind(codes, lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x)), start, step(x))["best"])
+    return bind(codes, lambda x: F.aggregate(F.sequence(F.lit(1), F.size(x)), start, step(x))["best"])
 
 
 def _is_secret(rule: EntropyRule):
