@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import line_templates, mixing, secrets, sharding, simhash
+from radloom.llm import language, line_templates, mixing, secrets, sharding, simhash
 from radloom.llm.common import stored
 from radloom.session import tune
 
@@ -85,6 +85,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         "row.doc_id", "n_lines", F.size("drops").alias("n_dropped"), F.col("kept").alias("text"))
 
 
+@query("op4_language_id", "documents")
+def language_id(docs: DataFrame) -> DataFrame:
+    model = language.train(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP6_SQL = """
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
