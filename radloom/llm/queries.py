@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import language, line_templates, mixing, secrets, sharding, simhash
+from radloom.llm import bpe, language, line_templates, mixing, secrets, sharding, simhash
 from radloom.llm.common import stored
 from radloom.session import tune
 
@@ -130,6 +131,13 @@ def source_mix(docs: DataFrame) -> DataFrame:
         F.col("row.key").alias("doc_id"), "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"))
 
 
+@query("op8_bpe_round_trip", "documents")
+def bpe_round_trip(docs: DataFrame) -> DataFrame:
+    coded = bpe.round_trip(docs.select("doc_id", "text"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
+    return coded.select("row.doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op10_secret_entropy", "documents")
 def secret_entropy(docs: DataFrame) -> DataFrame:
     found = secrets.find_secrets(docs.select("doc_id", "text"))
