@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import bpe, language, line_templates, mixing, secrets, sharding, simhash
-from radloom.llm.common import stored
+from radloom.llm import bpe, language, line_templates, mixing, secrets, sharding, simhash, warc
+from radloom.llm.common import shared_folder, stored
 from radloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,27 @@ def bpe_round_trip(docs: DataFrame) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+OP9_SQL = """
+with payloads as (
+  select page_id, coalesce(html, '') as html from pages),
+digests as (
+  select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(html) as payload_digest from payloads),
+originals as (
+  select payload_digest, max(page_id) as original from digests where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+       case when original is null or original = page_id then 'response' else 'revisit' end as record_type,
+       case when original <> page_id then original end as refers_to
+from digests left join originals using (payload_digest)
+"""
+
+
+@query("op9_warc_captures", "pages", OP9_SQL)
+def warc_captures(pages: DataFrame) -> DataFrame:
+    folder = shared_folder(pages.sparkSession, "warc")
+    warc.write_archives(warc.deduplicated(pages), folder)
+    return warc.resolved(warc.assemble(pages.sparkSession, folder))
+
+
 @query("op10_secret_entropy", "documents")
 def secret_entropy(docs: DataFrame) -> DataFrame:
     found = secrets.find_secrets(docs.select("doc_id", "text"))
