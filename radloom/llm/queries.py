@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import bpe, language, line_templates, mixing, secrets, sharding, simhash, warc
+from radloom.llm import ann, bitslice, bpe, language, line_templates, mixing, secrets, sharding, simhash, warc
 from radloom.llm.common import shared_folder, stored
 from radloom.session import tune
 
@@ -93,6 +93,11 @@ def language_id(docs: DataFrame) -> DataFrame:
         "row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query("op5_multi_index_ann", "embeddings")
+def multi_index_ann(embeddings: DataFrame) -> DataFrame:
+    return ann.nearest(embeddings, every=20)
+
+
 OP6_SQL = """
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
@@ -131,6 +136,24 @@ def source_mix(docs: DataFrame) -> DataFrame:
         F.col("row.key").alias("doc_id"), "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"))
 
 
+OP7_SQL = """
+with vectors as (
+  select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+  where embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding])),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from vectors q join vectors c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op7_bit_sliced_top_k", "embeddings", OP7_SQL)
+def bit_sliced_top_k(embeddings: DataFrame) -> DataFrame:
+    return bitslice.highest(embeddings, every=50, k=5, scale=256)
+
+
 @query("op8_bpe_round_trip", "documents")
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
     coded = bpe.round_trip(docs.select("doc_id", "text"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")))
