@@ -12,7 +12,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.template import TAG_OF_KEYWORD
+from radloom.functions.tags import joined_text
+from radloom.template import TAG_OF_KEYWORD, require_tags
+
+# How deep sequences are rewritten; deeper ones are removed.
+MAX_NESTING = 3
+_ITEMS = "array<map<string,struct<vr:string,val:string,Value:string>>>"
 
 _CALL = re.compile(r"@(\w+)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 MAX_DATE_SHIFT = 3650
@@ -89,8 +94,8 @@ class _Context:
     def value_of(self, name: str, this: Column) -> Column:
         if name.strip() == "this":
             return this
-        tag = self.tags_of.get(name.strip(), name.strip().upper())
-        return F.coalesce(F.try_element_at(self.tags, F.lit(tag))["val"], F.lit(""))
+        entry = F.try_element_at(self.tags, F.lit(require_tags([name.strip()], self.tags_of)[name.strip()]))
+        return F.coalesce(joined_text(entry["vr"], entry["val"]), F.lit(""))
 
     def instant(self) -> Column:
         if self.now is None:
@@ -114,6 +119,12 @@ def _braces(text: str) -> list[str]:
 REMOVED = None
 
 
+def _each(this: Column, action) -> Column:
+    """``action`` on every value of a multi-valued text."""
+    parts = F.transform(F.split(this, r"\\"), lambda v: F.coalesce(action(v), F.lit("")))
+    return F.when(this.contains("\\"), F.array_join(parts, "\\")).otherwise(action(this))
+
+
 def _value(action: str, this: Column, ctx: _Context) -> Column | None:
     """New value of an element under an action; ``REMOVED`` drops it."""
     call = _CALL.match(action)
@@ -129,12 +140,11 @@ def _value(action: str, this: Column, ctx: _Context) -> Column | None:
     if name == "always":
         return _text(rest, this, ctx)
     if name == "hashuid":
-        return hash_uid(this, ctx.param(args[0]), ctx.salt)
+        return _each(this, lambda v: hash_uid(v, ctx.param(args[0]), ctx.salt))
     if name == "hash":
-        source = ctx.value_of(args[0], this)
-        return hash_text(source, int(args[1]) if len(args) > 1 else 64, ctx.salt)
+        return _each(this, lambda v: hash_text(ctx.value_of(args[0], v), int(args[1]) if len(args) > 1 else 64, ctx.salt))
     if name == "hashdate":
-        return hash_date(this, ctx.value_of(args[1], this), ctx.salt)
+        return _each(this, lambda v: hash_date(v, ctx.value_of(args[1], v), ctx.salt))
     if name == "hashptid":
         return F.concat(F.lit(ctx.param(args[0]) + "-"), hash_text(ctx.value_of(args[1], this), 16, ctx.salt))
     if name == "append":
@@ -190,35 +200,59 @@ def _kept(tag: Column, script: Script) -> Column:
 
 def deidentify(df: DataFrame, script: Script, salt: str, tags: str = "tags", now: Column | None = None,
                tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
-    """Rewrite ``map<tag, struct<vr, val>>`` under a script."""
-    source = F.col(tags)
-    ctx = _Context(source, script, salt, now, tags_of)
+    """Rewrite ``map<tag, struct<vr, val>>`` under a script.
+
+    Both dialects give the same result: values are brought to one text, their
+    parts joined by ``\\``, before any action, and hashes and dates go value by value.  A sequence that the script
+    keeps has the same script applied to each of its items, where references to
+    other elements mean those of the whole tag set; sequences nested deeper than
+    ``MAX_NESTING`` are removed.
+    """
+    ctx = _Context(F.col(tags), script, salt, now, tags_of)
+    return df.withColumn(tags, _rewritten(F.col(tags), script, ctx, MAX_NESTING))
+
+
+def _is_sequence(entry: Column) -> Column:
+    return F.coalesce(entry["vr"] == "SQ", F.lit(False)) | F.coalesce(entry["val"].rlike(r"^\s*\[\s*\{"), F.lit(False))
+
+
+def _rewritten(source: Column, script: Script, ctx: _Context, depth: int) -> Column:
     by_action: dict[str, list[str]] = {}
     for tag, action in script.actions.items():
         if not action.startswith(("@remove", "@keep", "@require")):
             by_action.setdefault(action, []).append(tag)
 
+    def nested(entry: Column) -> Column:
+        items = F.transform(F.from_json(entry["val"], _ITEMS), lambda item: _rewritten(F.transform_values(
+            item, lambda _, e: F.struct(e["vr"].alias("vr"), F.coalesce(e["Value"], e["val"]).alias("val"))), script, ctx, depth - 1))
+        return F.to_json(items)
+
     def rewritten(tag: Column, entry: Column) -> Column:
-        this = F.coalesce(entry["val"], F.lit(""))
+        plain = joined_text(entry["vr"], entry["val"])
+        this = F.coalesce(plain, F.lit(""))
         value = F
         for action, tags_with in by_action.items():
             value = value.when(tag.isin(*tags_with), _value(action, this, ctx))
-        new = value.otherwise(entry["val"]) if by_action else entry["val"]
+        if depth:
+            # What the script rewrites as text has no items left to rewrite.
+            value = value.when(_is_sequence(entry), nested(entry))
+        new = value.otherwise(plain) if by_action or depth else plain
         return F.struct(entry["vr"].alias("vr"), new.alias("val"))
 
-    kept = F.transform_values(F.map_filter(source, lambda tag, _: _kept(tag, script)), rewritten)
+    kept = F.map_filter(source, lambda tag, entry: _kept(tag, script) if depth else _kept(tag, script) & ~_is_sequence(entry))
+    kept = F.transform_values(kept, rewritten)
     if any(a.startswith("@if") for a in by_action):
         conditional = [t for a, ts in by_action.items() if a.startswith("@if") for t in ts]
         kept = F.map_filter(kept, lambda tag, e: ~tag.isin(*conditional) | e["val"].isNotNull())
     present = F.map_keys(source)
     added = [(t, _value(a, F.lit(""), ctx) if a.startswith("@always") else F.lit(""))
              for t, a in script.actions.items() if a.startswith(("@always", "@require"))]
-    if added:
+    if added and depth == MAX_NESTING:  # items get no elements they did not have
         entries = F.array(*[F.struct(F.lit(t).alias("key"), F.struct(
             F.lit(None).cast("string").alias("vr"), v.alias("val")).alias("value")) for t, v in added])
         missing = F.filter(entries, lambda e: ~F.array_contains(present, e["key"]))
         kept = F.map_concat(kept, F.map_from_entries(missing))
-    return df.withColumn(tags, kept)
+    return kept
 
 
 def anon_status(df: DataFrame, status: str = "status", output_path: str = "output_path") -> DataFrame:

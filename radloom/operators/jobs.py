@@ -110,12 +110,13 @@ def report_errors(jobs: DataFrame, done: DataFrame) -> DataFrame:
 def report_verification(jobs: DataFrame, done: DataFrame, separator: str = PART_SEPARATOR) -> DataFrame:
     """Personal data found in anonymised output, one row per failure."""
     names = F.array(*[F.lit(n) for n in CLASSIFICATIONS])
-    named = lambda c: F.when(c.rlike(r"^\d+$"), F.try_element_at(names, c.try_cast("int") + 1)).otherwise(c)
+    # A number without a name stays a number; an absent word or class an empty text, so that the lists stay in step.
+    named = lambda c: F.coalesce(F.when(c.rlike(r"^\d+$"), F.get(names, c.try_cast("int"))), c)
     anonymised = join_side(jobs.where(~F.col("identifiable")).select("job_id"), "job_id")
     failures = (done.where(F.col("verified") == "IsIdentifiable").join(anonymised, "job_id", "left_semi")
                 .select("job_id", "output_path", F.explode(parse_report(F.col("message"))).alias("f")))
     parts = F.coalesce(F.col("f.Parts"), F.array().cast("array<struct<Classification:string,Offset:int,Word:string>>"))
-    listed = lambda pick: F.array_join(F.transform(parts, pick), separator)
+    listed = lambda pick: F.array_join(F.transform(parts, lambda p: F.coalesce(pick(p), F.lit(""))), separator)
     return failures.select(
         "job_id", F.col("output_path").alias("Resource"), F.col("f.ResourcePrimaryKey").alias("ResourcePrimaryKey"),
         F.col("f.ProblemField").alias("ProblemField"), F.col("f.ProblemValue").alias("ProblemValue"),

@@ -36,14 +36,15 @@ def recount_series(images: DataFrame) -> DataFrame:
 
 
 def dedupe_batch(df: DataFrame, dataset: str = "DicomDataset") -> DataFrame:
-    """One row per exact tag-set text.
+    """One row per exact tag-set text; rows without a text are no copies of each other and stay.
 
     The copies meet on a digest of the text, so the text itself is not a shuffle
     key; partial aggregation removes most copies before the shuffle.
     """
+    whole = df.where(F.col(dataset).isNotNull())
     first = F.min(F.struct(*[F.col(c) for c in df.columns if c != dataset]))
-    grouped = df.groupBy(F.sha2(dataset, 256).alias("_digest")).agg(first.alias("_first"), F.min(dataset).alias(dataset))
-    return grouped.select("_first.*", dataset)
+    grouped = whole.groupBy(F.sha2(dataset, 256).alias("_digest")).agg(first.alias("_first"), F.min(dataset).alias(dataset))
+    return grouped.select("_first.*", dataset).unionByName(df.where(F.col(dataset).isNull()))
 
 
 def split_levels(flat: DataFrame, template: dict[str, TemplateTable]) -> dict[str, DataFrame]:
@@ -72,30 +73,28 @@ class Isolated:
 
 
 def isolate(study: DataFrame, series: DataFrame, image: DataFrame) -> Isolated:
-    """Set aside every row connected to a primary key that is not unique.
+    """Set aside every study that is connected to a primary key that is not unique.
 
-    A bad key at one level takes along the joined rows of the other levels, both
-    towards the images and towards the study.
+    A bad key at any level takes its whole study along: the study row, all its
+    series and all their images, so no good row is left without its parent and
+    no parent without part of its children.  The sets of bad keys are pinned;
+    every result is then one pass over its level.
     """
     bad_study, bad_series, bad_image = (colliding_keys(d, k) for d, k in ((study, STUDY), (series, SERIES), (image, SOP)))
-    # Only sets of bad keys travel between the levels: down to what hangs below
-    # them, and up to what they hang on.
-    below_study = bad_series.union(within(series, bad_study, STUDY).select(SERIES)).distinct()
-    images = bad_image.union(within(image, below_study, SERIES).select(SOP)).distinct()
-    above_image = within(image, bad_image, SOP).select(SERIES)
-    on_series = bad_series.union(above_image).distinct()
-    keys = {
-        "study": (study, STUDY, bad_study.union(within(series, on_series, SERIES).select(STUDY)).distinct()),
-        "series": (series, SERIES, below_study.union(above_image).distinct()),
-        "image": (image, SOP, images),
-    }
+    bad_image = pin(bad_image)
+    touched = bad_series.union(within(image, bad_image, SOP).select(SERIES)).distinct()
+    studies = pin(bad_study.union(within(series, touched, SERIES).select(STUDY)).distinct())
+    # A bad series without a row of a study of its own (an orphan) still goes by its key.
+    all_series = pin(within(series, studies, STUDY).select(SERIES).union(touched).distinct())
+    images = pin(within(image, all_series, SERIES).select(SOP).union(bad_image).distinct())
+    keys = {"study": (study, STUDY, studies), "series": (series, SERIES, all_series), "image": (image, SOP, images)}
     return Isolated({n: without(d, bad, key) for n, (d, key, bad) in keys.items()},
                     {n: within(d, bad, key) for n, (d, key, bad) in keys.items()})
 
 
 def split_corrupt(batch: DataFrame, corrupt: DataFrame, key: str) -> DataFrame:
-    """The batch without its corrupt rows; repeated rows stay repeated."""
-    return batch.join(unique_side(corrupt, key), key, "left_anti")
+    """The batch without rows that share a key with corrupt ones, and without rows that have no key; repeated rows stay repeated."""
+    return batch.where(F.col(key).isNotNull()).join(unique_side(corrupt, key), key, "left_anti")
 
 
 def skip_existing(batch: DataFrame, store: DataFrame, path: str = "DicomFilePath", archive: str = "archive",
@@ -109,8 +108,10 @@ def skip_existing(batch: DataFrame, store: DataFrame, path: str = "DicomFilePath
     stop = (known.where(F.col(archive).isNotNull()).groupBy(archive)
             .agg(F.min(entry_pos).alias("_stop")))
     fresh = batch.join(known.where(F.col(archive).isNull()).select(path), path, "left_anti")
-    return (fresh.join(join_side(stop, archive), archive, "left")
-            .where(F.col("_stop").isNull() | (F.col(entry_pos) < F.col("_stop"))).drop("_stop"))
+    # Files outside archives have no key to join on; kept out of the join they do not all meet in one task.
+    entries = fresh.where(F.col(archive).isNotNull()).join(join_side(stop, archive), archive, "left")
+    entries = entries.where(F.col("_stop").isNull() | (F.col(entry_pos) < F.col("_stop"))).drop("_stop")
+    return entries.unionByName(fresh.where(F.col(archive).isNull()))
 
 
 def replace_conflicts(store: DataFrame, batch: DataFrame, path: str = "DicomFilePath") -> DataFrame:
@@ -135,6 +136,7 @@ class Merge:
     updated: DataFrame
     archived: DataFrame
     carried: DataFrame
+    refused: DataFrame
 
     @property
     def live(self) -> DataFrame:
@@ -147,15 +149,22 @@ def merge_live(live: DataFrame, stage: DataFrame, key: str | list[str], run_id:
     """Upsert staged rows by primary key.
 
     A changed row is replaced and its old form archived; a difference only in
-    bookkeeping columns changes nothing.  With ``pin_changes`` the changed rows
-    are found once and kept, which pays off when all four results are written.
+    bookkeeping columns changes nothing.  Columns that the stage lacks keep their
+    live values on update.  Staged rows without a key, and all rows of a key
+    that is staged several times, are ``refused``.  With ``pin_changes`` the changed rows
+    are found once and kept, which pays off when all results are written.
     """
     keys = [key] if isinstance(key, str) else list(key)
     content = [c for c in live.columns if c not in (valid_from, run)]
-    compared = [c for c in content if c not in (*keys, *uncompared) and c in stage.columns]
-    staged = project_common(stage, live.select(*content))
-    for missing in (c for c in content if c not in staged.columns):
-        staged = staged.withColumn(missing, F.lit(None).cast(live.schema[missing].dataType))
+    given = project_common(stage, live.select(*content))
+    missing = [c for c in content if c not in given.columns]
+    compared = [c for c in given.columns if c not in (*keys, *uncompared)]
+    whole = F.lit(True)
+    for c in keys:
+        whole = whole & F.col(c).isNotNull()
+    repeated = given.where(whole).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*keys)
+    staged = given.where(whole).join(join_side(repeated, *keys), keys, "left_anti")
+    refused = given.where(whole).join(join_side(repeated, *keys), keys, "left_semi").unionByName(given.where(~whole))
     types = {c: live.schema[c].dataType for c in (valid_from, run)}
     stamp = lambda df: df.withColumn(valid_from, loaded_at.cast(types[valid_from])).withColumn(run, F.lit(run_id).cast(types[run]))
     old = live.select(*[F.col(c) for c in keys], F.struct(*live.columns).alias("_old"))
@@ -165,11 +174,14 @@ def merge_live(live: DataFrame, stage: DataFrame, key: str | list[str], run_id:
     changed = staged.join(old, keys).where(~same)
     if pin_changes:
         changed = pin(changed)
+    new = staged.join(live.select(*keys), keys, "left_anti").select(
+        "*", *[F.lit(None).cast(live.schema[c].dataType).alias(c) for c in missing])
     return Merge(
-        inserted=stamp(staged.join(live.select(*keys), keys, "left_anti")).select(*live.columns),
-        updated=stamp(changed.drop("_old")).select(*live.columns),
+        inserted=stamp(new).select(*live.columns),
+        updated=stamp(changed.select(*given.columns, *[F.col(f"_old.{c}").alias(c) for c in missing])).select(*live.columns),
         archived=changed.select("_old.*"),
         carried=live.join(changed.select(*keys), keys, "left_anti"),
+        refused=refused,
     )
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions.tags import joined_text, parse_some, tag_text
 from radloom.schemas import PATH
-from radloom.template import TAG_OF_KEYWORD, TemplateTable
+from radloom.template import TAG_OF_KEYWORD, TemplateTable, require_tags
+
+# Columns that describe the file or its message and never come from tags.
+BOOKKEEPING = (PATH, "MessageGuid", "DicomFileSize")
 
 
 def flatten(df: DataFrame, tables: list[TemplateTable], json: str = "DicomDataset", path: str = "DicomFilePath",
@@ -20,18 +23,20 @@ def flatten(df: DataFrame, tables: list[TemplateTable], json: str = "DicomDatase
     Columns named in ``carry`` go along as they are.
     Reads a parsed map when ``tags`` names one; else the JSON text is parsed once
     per row, and only for the template's own tags.  Multi-valued tags keep their
-    ``\\`` joint and sequences keep their JSON.
+    ``\\`` joint and sequences keep their JSON.  A column whose tag neither the
+    template nor ``tags_of`` gives is an error; see ``template.load_tags``.
     """
     names = list(dict.fromkeys(n for t in tables for n in t.names))
     given = {PATH: F.col(path)}
-    for carried in ("MessageGuid", "DicomFileSize", *carry):
+    for carried in (*BOOKKEEPING[1:], *carry):
         if carried in df.columns:
             given[carried] = F.col(carried)
-    wanted = {n: tags_of[n] for n in names if n not in given and n in tags_of}
+    stated = {c.name: c.tag for t in tables for c in t.columns if c.tag}
+    wanted = require_tags([n for n in names if n not in given and n not in BOOKKEEPING], {**tags_of, **stated})
     if tags is not None:
         read = {n: tag_text(F.col(tags), tag) for n, tag in wanted.items()}
     else:
-        df = df.withColumn("_tags", parse_some(F.col(json), list(wanted.values())))
+        df = df.withColumn("_tags", parse_some(F.col(json), list(dict.fromkeys(wanted.values()))))
         entry = lambda tag, part: F.col(f"_tags.`{tag}`.{part}")
         read = {n: joined_text(entry(tag, "vr"), F.coalesce(entry(tag, "Value"), entry(tag, "val")))
                 for n, tag in wanted.items()}
@@ -66,7 +71,7 @@ _ITEM = "array<map<string,struct<vr:string,val:string,Value:string>>>"
 
 def _leaves(tags: Column, steps: tuple[str, ...], tags_of: dict[str, str]) -> Column:
     """All values at a path of tags, through every item of each sequence."""
-    entry = lambda m, name: F.try_element_at(m, F.lit(tags_of.get(name, name)))
+    entry = lambda m, name: F.try_element_at(m, F.lit(require_tags([name], tags_of)[name]))
     maps = F.array(tags)
     for name in steps[:-1]:
         inner = F.transform(maps, lambda m: F.from_json(F.coalesce(entry(m, name)["val"], F.lit("[]")), _ITEM))
@@ -76,7 +81,7 @@ def _leaves(tags: Column, steps: tuple[str, ...], tags_of: dict[str, str]) -> Co
 
 
 def elevate(df: DataFrame, rules: list[Elevation], tags: str = "tags", tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
-    """One column per rule; several matches are joined by ``\\``."""
+    """One column per rule; several matches are joined by ``\\``.  An unknown keyword is an error."""
     for rule in rules:
         values = _leaves(F.col(tags), rule.pathway, tags_of)
         text = F.when(F.size(values) > 0, F.array_join(values, "\\"))

@@ -6,7 +6,9 @@ screening is one pass over the cells without a join or a shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 from typing import Protocol
 
@@ -81,6 +83,15 @@ def find_chi(df: DataFrame) -> DataFrame:
     return df.withColumn("problem", F.coalesce(*found) if found else F.lit(None).cast("string"))
 
 
+def _joinable(pattern: str) -> bool:
+    """Whether a pattern means the same as one alternative of several.
+
+    Capturing groups shift the numbers that back-references name, names may
+    repeat, and inline flags or an open quotation would reach into the next alternative.
+    """
+    return not re.search(r"\\[1-9kQE]|\(\?(?![:=!>]|<[=!])|\((?!\?)", pattern)
+
+
 def _either(patterns: list[str]) -> str:
     return patterns[0] if len(patterns) == 1 else "|".join(f"(?:{p})" for p in patterns)
 
@@ -89,13 +100,14 @@ def _merge_ignores(rules: list[ScreenRule]) -> list[ScreenRule]:
     """Join neighbouring Ignore rules of one column into one pattern.
 
     They end the search the same way, so their order among themselves is free;
-    hundreds of rules become a few patterns.
+    hundreds of rules become a few patterns.  Patterns whose meaning depends on
+    their place (see :func:`_joinable`) stay by themselves.
     """
     merged = []
-    for (action, column, sensitive, has), run in groupby(
-            rules, key=lambda r: (r.action, r.column, r.case_sensitive, r.pattern is not None)):
+    for (action, column, sensitive, joins), run in groupby(
+            rules, key=lambda r: (r.action, r.column, r.case_sensitive, r.pattern is not None and _joinable(r.pattern))):
         run = list(run)
-        if action == "Ignore" and has:
+        if action == "Ignore" and joins:
             merged.append(ScreenRule(action, column, _either([r.pattern for r in run]), None, sensitive))
         else:
             merged.extend(run)
@@ -202,7 +214,11 @@ def _not_allowed(column: Column, value: Column, parts: Column, rules: list[Allow
         verdict = F.lit(False)
         for (pattern, named, classification, sensitive, whole), words in grouped.items():
             flag = "" if sensitive else "(?i)"
-            term = F.lit(True) if whole else part["Word"].rlike(flag + _either(words))
+            term = F.lit(True)
+            if not whole:
+                joined = [w for w in words if _joinable(w)]
+                tests = [part["Word"].rlike(flag + w) for w in ([_either(joined)] if joined else []) + [w for w in words if not _joinable(w)]]
+                term = reduce(Column.__or__, tests)
             if pattern is not None:
                 term = term & value.rlike(flag + pattern)
             if named is not None:

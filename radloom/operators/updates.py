@@ -17,7 +17,8 @@ def latest_archive(archive: DataFrame, swap: str = "swap", replacement: str = "r
 
     ``old`` may be null; the row then still says that there was one.
     """
-    newest = F.max_by(F.struct(F.col(replacement).alias("old")), F.col(valid_from))
+    # Of several rows of one time the greatest value counts, so that reruns agree.
+    newest = F.max_by(F.struct(F.col(replacement).alias("old")), F.struct(F.col(valid_from), F.col(replacement)))
     return archive.groupBy(F.col(swap).alias("swap")).agg(newest.alias("_newest")).select("swap", "_newest.old")
 
 

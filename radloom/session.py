@@ -49,7 +49,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="radloom-checkpoint-"))
     else:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
@@ -59,18 +59,3 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that later reads see one fixed result."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def is_narrow(df: DataFrame) -> bool:
-    """Whether an input has fewer splits than there are cores."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a narrow input out to every core.
-
-    A table of fewer splits than cores may be a single row group, hence a single
-    task.  It is at most a split per core in size and cheap to move; use
-    :func:`is_narrow` first, since anything larger is best left as it is.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from radloom.functions.ordering import with_position
+
 
 class QueryError(ValueError):
     """The query text is not a usable query document."""
@@ -76,9 +78,15 @@ def find(df: DataFrame, query: str | None) -> DataFrame:
             raise QueryError(f"{node} is not a document")
     found = df.where(predicate(document["find"]))
     skip, limit = _number(document, "skip"), _number(document, "limit")
-    if document.get("sort"):
-        found = found.orderBy(*[F.col(c).desc_nulls_last() if way < 0 else F.col(c).asc_nulls_first()
-                                for c, way in document["sort"].items()])
+    order = [F.col(c).desc_nulls_last() if way < 0 else F.col(c).asc_nulls_first() for c, way in document.get("sort", {}).items()]
+    if skip or limit:
+        # Rows that the sort leaves tied, or all without a sort, go by their content: the same rows on every run.
+        order.append(F.xxhash64(*found.columns))
+    if skip and not limit:
+        # All rows but the first few: numbered in place, as an offset would bring every row into one task.
+        return with_position(found, *order, name="_pos").where(F.col("_pos") >= skip).orderBy("_pos").drop("_pos")
+    if order:
+        found = found.orderBy(*order)
     if skip:
         found = found.offset(skip)
     return found.limit(limit) if limit else found

@@ -94,6 +94,35 @@ def test_deid_hashes(spark):
     assert deid(spark, {"00080020": "no date", "00100020": "p1"}, s)["00080020"] is None
 
 
+def test_deid_is_the_same_in_every_dialect(spark):
+    s = script(("00100020", "@hash(this,10)"), ("0020000D", "@hashuid(@UIDROOT,this)"), ("00080020", "@hashdate(this,PatientID)"), ("00100010", "@hash(PatientID,10)"))
+    texts = [{"00100020": {"vr": "LO", "val": "123"}, "0020000D": {"vr": "UI", "val": "1.2"}, "00080020": {"vr": "DA", "val": "20240110"}, "00100010": {"vr": "PN", "val": "n"}},
+             {"00100020": {"vr": "LO", "Value": ["123"]}, "0020000D": {"vr": "UI", "Value": ["1.2"]}, "00080020": {"vr": "DA", "Value": ["20240110"]}, "00100010": {"vr": "PN", "Value": ["n"]}}]
+    first, second = ({t: e["val"] for t, e in r["tags"].items()} for r in D.deidentify(tagset(spark, *map(json.dumps, texts)), s, "salt").collect())
+    assert first == second and first["00080020"] is not None and first["00100010"] == first["00100020"]
+    several = D.deidentify(tagset(spark, json.dumps({"00100020": {"vr": "LO", "Value": ["123", "4"]}})), s, "salt").first()["tags"]
+    assert several["00100020"]["val"].split("\\")[0] == first["00100020"] and several["00100020"]["val"].count("\\") == 1
+
+
+def test_deid_reaches_into_sequences(spark):
+    s = script(("00100020", "@hash(this,10)"), ("00100010", "@remove()"), ("00089215", "@keep()"), extra='<k en="T" t="0040">x</k>' + UNLISTED)
+    item = {"00100020": {"vr": "LO", "val": "123"}, "00100010": {"vr": "PN", "val": "Name"}, "00101000": {"vr": "LO", "val": "other"}}
+    deep = item
+    for _ in range(5):
+        deep = {"00100020": {"vr": "LO", "val": "123"}, "00400555": {"vr": "SQ", "val": [deep]}}
+    text = {"00100020": {"vr": "LO", "val": "123"}, "00089215": {"vr": "SQ", "Value": [item, deep]}, "00400555": {"val": [item]}, "00081140": {"vr": "SQ", "val": [item]}}
+    out = {t: e["val"] for t, e in D.deidentify(tagset(spark, json.dumps(text)), s, "salt").first()["tags"].items()}
+    assert out.keys() == {"00100020", "00089215", "00400555"}
+    first, second = json.loads(out["00089215"])
+    assert first == {"00100020": {"vr": "LO", "val": out["00100020"]}}
+    assert all(word not in json.dumps(out) for word in ("Name", "other", '"123"')) and second["00100020"]["val"] == out["00100020"]
+
+
+def test_deid_rejects_unknown_keywords(spark):
+    with pytest.raises(ValueError, match="PatientId"):
+        deid(spark, {"00100010": "n"}, script(("00100010", "@hash(PatientId,10)")))
+
+
 def maps(spark, current, archive, guids=None):
     return (spark.createDataFrame(current, "swap string, replacement string, valid_from string").withColumn("valid_from", F.to_timestamp("valid_from")),
             spark.createDataFrame(archive, "swap string, replacement string, valid_from string").withColumn("valid_from", F.to_timestamp("valid_from")),

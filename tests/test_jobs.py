@@ -241,3 +241,17 @@ def test_closing_jobs(spark, rows):
     completed, failed = close_jobs(jobs, infos, done, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     assert rows(completed.jobs, "job_id", "status") == [("j", "Completed")] and rows(failed, "job_id") == [("rejected",)]
     assert (completed.infos.count(), completed.statuses.count()) == (2, 3)
+
+
+def test_states_are_kept_between_batches(spark, tmp_path):
+    state, late, finished = (str(tmp_path / n) for n in ("state", "late", "finished"))
+    handler = track_handler(state, late, finished)
+    deal = lambda n, *rows_: handler(spark.createDataFrame(list(rows_), EVENT_SCHEMA), n)
+    now = lambda n: {r["job_id"]: r["status"] for r in spark.read.parquet(f"{state}/batch={n:012d}").collect()}
+    deal(0, ("f", "request", 1, None, None), ("f", "collection", None, 0, 0), ("w", "request", 1, None, None), ("w", "collection", None, 0, 2))
+    assert now(0) == {"f": "Failed", "w": "WaitingForStatuses"}
+    deal(1, ("f", "collection", None, 1, 1), ("f", "status", None, None, None), ("w", "collection", None, 0, 1))
+    assert now(1) == {"f": "Failed", "w": "WaitingForStatuses"}
+    deal(2, *[("w", "status", None, None, None)] * 3)
+    deal(2, *[("w", "status", None, None, None)] * 3)
+    assert now(2) == {"f": "Failed", "w": "Completed"}

@@ -7,7 +7,7 @@ from radloom.functions import tags as TG, text as TX
 from radloom.operators import load as L, project as P, validate as VA
 from radloom.plans.loading import ingest, load_relational
 from radloom.sources.tables import parse_strict
-from radloom.template import TemplateColumn, TemplateTable, load_template, sql_type
+from radloom.template import TemplateColumn, TemplateTable, load_tags, load_template, sql_type
 
 TEMPLATE = load_template("""
 Tables:
@@ -97,13 +97,13 @@ def test_bad_values(spark):
 
 
 def test_flatten_from_text_and_from_map(spark):
-    table = [TemplateTable("t", tuple(TemplateColumn(n) for n in ("PatientID", "ImageType", "AccessionNumber", "DerivationCodeSequence", "Unknown", "RelativeFileArchiveURI")))]
+    table = [TemplateTable("t", tuple(TemplateColumn(n) for n in ("PatientID", "ImageType", "AccessionNumber", "DerivationCodeSequence", "StudyTime", "RelativeFileArchiveURI")))]
     tags = {"00100020": {"vr": "LO", "Value": ["x", "y"]}, "00080008": {"vr": "CS", "val": "ORIGINAL\\PRIMARY"}, "00080050": {"vr": "SH"},
             "00089215": {"vr": "SQ", "val": [{"00080104": {"vr": "LO", "val": "m"}}]}}
     df = spark.createDataFrame([("p", json.dumps(tags))], "DicomFilePath string, DicomDataset string")
     for out in (P.flatten(df, table), P.flatten(df.withColumn("m", TG.parse_tags(F.col("DicomDataset"))), table, tags="m")):
         row = out.first()
-        assert (row["PatientID"], row["ImageType"], row["AccessionNumber"], row["Unknown"], row["RelativeFileArchiveURI"]) == (
+        assert (row["PatientID"], row["ImageType"], row["AccessionNumber"], row["StudyTime"], row["RelativeFileArchiveURI"]) == (
             "x\\y", "ORIGINAL\\PRIMARY", None, None, "p")
         assert json.loads(row["DerivationCodeSequence"]) == tags["00089215"]["val"]
 
@@ -166,3 +166,49 @@ def test_lineage(spark):
         "h.*", lineage.parents_to_text(F.col("h.parents")).alias("t"), lineage.is_descendant(F.col("h"), F.lit("a")).alias("of_a"),
         lineage.is_descendant(F.col("h"), F.lit("c")).alias("of_c"), lineage.text_to_parents(F.lit("")).alias("none")).first()
     assert (child["t"], child["original_unix"], child["of_a"], child["of_c"], child["none"]) == ("a->b", 5, True, False, [])
+
+
+def test_unknown_columns_are_an_error(spark):
+    df = spark.createDataFrame([("p", json.dumps({"00191001": {"vr": "LO", "val": "x"}, "00180081": {"vr": "DS", "val": "9"}}))], "DicomFilePath string, DicomDataset string")
+    tables = list(load_template("Tables: [{TableName: t, Columns: [{ColumnName: Own, Tag: '(0019,1001)'}, {ColumnName: EchoTime}, {ColumnName: '00180081'}]}]").values())
+    assert tuple(P.flatten(df, tables).drop("RelativeFileArchiveURI").first()) == ("x", "9", "9")
+    odd = [TemplateTable("t", (TemplateColumn("Nope"), TemplateColumn("Neither"), TemplateColumn("EchoTime")))]
+    with pytest.raises(ValueError, match="Neither, Nope"):
+        P.flatten(df, odd)
+    assert P.flatten(df, odd, tags_of=load_tags("{Nope: '00191001', Neither: '00191002'}")).first()["Nope"] == "x"
+    with pytest.raises(ValueError, match="Nope"):
+        P.elevate(df.withColumn("tags", TG.parse_tags(F.col("DicomDataset"))), [P.Elevation("c", ("Nope",))])
+
+
+def test_texts_that_are_absent_are_no_copies(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "i int, DicomDataset string")
+    assert rows(L.dedupe_batch(df), "i") == [(1,), (3,), (4,)]
+
+
+def test_isolation_leaves_no_orphans(spark, rows):
+    study = spark.createDataFrame([("1", "a"), ("2", "a")], "StudyInstanceUID string, x string")
+    series = spark.createDataFrame([("1", "1.1"), ("1", "1.2"), ("2", "2.1")], "StudyInstanceUID string, SeriesInstanceUID string")
+    images = spark.createDataFrame([("1.1", "i", 1), ("1.1", "i", 2), ("1.1", "j", 1), ("1.2", "k", 1), ("2.1", "l", 1), ("9.9", "m", 1)],
+                                   "SeriesInstanceUID string, SOPInstanceUID string, n int")
+    out = L.isolate(study, series, images)
+    assert rows(out.good["study"], "StudyInstanceUID") == [("2",)] and rows(out.good["series"], "SeriesInstanceUID") == [("2.1",)]
+    assert rows(out.good["image"], "SOPInstanceUID") == [("l",), ("m",)]
+    assert [out.bad[n].count() for n in ("study", "series", "image")] == [1, 2, 4]
+
+
+def test_merge_keeps_what_the_stage_lacks(spark, rows):
+    live = spark.createDataFrame([("a", "1", "keep"), ("b", "1", "keep")], "k string, v string, extra string").selectExpr(
+        "*", "timestamp'2020-01-01' valid_from", "1 load_run_id")
+    stage = spark.createDataFrame([("a", "2"), ("c", "1"), ("c", "3"), (None, "4"), ("d", "5")], "k string, v string")
+    out = L.merge_live(live, stage, "k", 2, F.lit("2024-01-01").cast("timestamp"))
+    assert rows(out.live, "k", "v", "extra") == [("a", "2", "keep"), ("b", "1", "keep"), ("d", "5", None)]
+    assert rows(out.refused, "k", "v") == [("c", "1"), ("c", "3"), (None, "4")]
+
+
+def test_a_batch_is_split_without_rows_in_both(spark, rows):
+    from radloom.streaming.flows import split_load
+
+    checked = spark.createDataFrame([(1, None, None), (2, "a", "broken"), (3, "a", None), (4, "b", None)], "i int, k string, bad string")
+    good, bad = split_load(checked, "k")
+    assert rows(good, "i") == [(4,)] and rows(bad, "i", "bad") == [
+        (1, "no key"), (2, "broken"), (3, "shares its key with a bad row")]

@@ -95,3 +95,14 @@ def test_classifiers(spark):
     kept = S.RuleClassifier(("t", "u"), rules, (S.AllowRule("^Smith$", classification="Person"),)).classify(files).first()["failures"]
     assert [(f["column"], [p["Word"] for p in f["parts"]]) for f in kept] == [("t", ["0101010101"])]
     assert S.verdict(S.RejectAllClassifier().classify(files)).first()["status"] == "IsIdentifiable"
+
+
+def test_ignore_rules_with_groups_of_their_own(spark):
+    rules = S.load_rules("""
+BasicRules:
+- {Action: Ignore, IfPattern: '^a(x)'}
+- {Action: Ignore, IfPattern: '^(b)\\1$'}
+- {Action: Ignore, IfPattern: '^(?:c)$'}
+- {Action: Report, IfPattern: '.+', As: Person}
+""")
+    assert set(failing(S.screen(cells(spark, ("A", "bb"), ("A", "bx"), ("A", "c"), ("A", "ax")), rules))) == {"1"}

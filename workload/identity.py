@@ -77,10 +77,10 @@ SCRIPT = """<script>
  <e en="F" t="00180050" n="SliceThickness">@remove()</e>
  <e en="T" t="0020000d" n="StudyInstanceUID">{study}</e>
  <e en="T" t="00120062" n="PatientIdentityRemoved">@always()YES</e>
- <k en="T" t="0018">Keep group 0018</k>
- <r en="T" t="overlays">Remove overlays</r>
- <r en="T" t="privategroups">Remove private groups</r>
- <r en="T" t="unspecifiedelements">Remove unchecked elements</r>
+ <k en="T" t="0018">x</k>
+ <r en="T" t="overlays">x</r>
+ <r en="T" t="privategroups">x</r>
+ <r en="T" t="unspecifiedelements">x</r>
 </script>"""
 SALT = "pepper"
 
@@ -107,16 +107,38 @@ def deid_actions(t):
 
 
 _SHA = "sha256('pepper' || {})"
+_TEN = "upper(substr(sha256('pepper' || {}), 1, 10))"
 
 
 @query("deid_hash", f"""WITH {V.SQL_TAGSETS}
 SELECT SOPInstanceUID, '9999.' || CAST(('0x' || substr({_SHA.format('StudyInstanceUID')}, 1, 15))::BIGINT AS VARCHAR)
   || lpad(CAST(('0x' || substr({_SHA.format('StudyInstanceUID')}, 16, 15))::BIGINT AS VARCHAR), 19, '0') AS study,
-  CASE WHEN flag = 'AF' THEN upper(substr({_SHA.format('PatientID')}, 1, 10)) END AS patient FROM tagsets""")
+  CASE WHEN flag IN ('AF', 'NO') THEN {_TEN.format('PatientID')} WHEN flag = 'AO' THEN {_TEN.format('PatientID')} || '\\' || {_TEN.format('PatientID')}
+    WHEN flag = 'NF' THEN {_TEN.format('PatientID')} || '\\' || {_TEN.format("'x'")} WHEN flag = 'RF' THEN {_TEN.format("'  '")} END AS patient FROM tagsets""")
 def deid_hash(t):
-    """Patients of plain tag sets and all study UIDs, hashed."""
+    """Patients and study UIDs hashed value by value, in every spelling of a tag set."""
     out = _deid(t, date="@remove()", patient="@hash(this,10)", study="@hashuid(@UIDROOT,this)")
-    return out.select(SOP, _tag("0020000D", "study"), F.when(F.col("flag") == "AF", _tag("00100020", "patient")).alias("patient"))
+    return out.select(SOP, _tag("0020000D", "study"), _tag("00100020", "patient"))
+
+
+@query("deid_nested", f"""SELECT o_orderkey, {_TEN.format('CAST(o_custkey AS VARCHAR)')} AS outer_patient,
+  CASE WHEN o_orderstatus <> 'P' THEN {_TEN.format('CAST(o_custkey AS VARCHAR)')} END AS inner_patient,
+  CASE WHEN o_orderstatus <> 'P' THEN '00100020,00180050' END AS inner_tags FROM orders""")
+def deid_nested(t):
+    """The patient inside a kept sequence is hashed as outside of it, in both dialects; unlisted elements of the item go."""
+    patient = F.col("o_custkey").cast("string")
+    value = lambda v: F.when(F.col("o_orderstatus") == "O", F.concat(F.lit('{"vr":"LO","Value":["'), v, F.lit('"]}'))).otherwise(
+        F.concat(F.lit('{"vr":"LO","val":"'), v, F.lit('"}')))
+    item = F.concat(F.lit('{"00100020":'), value(patient), F.lit(',"00100010":'), value(F.lit("a name")), F.lit(',"00180050":'), value(F.lit("3")), F.lit("}"))
+    inner = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit(',"00089215":{"vr":"SQ","Value":['), item, F.lit("]}"))).when(
+        F.col("o_orderstatus") == "F", F.concat(F.lit(',"00089215":{"vr":"SQ","val":['), item, F.lit("]}"))).otherwise(F.lit(""))
+    rows = t.orders.select("o_orderkey", TG.parse_tags(F.concat(F.lit('{"00100020":'), value(patient), inner, F.lit("}"))).alias("tags"))
+    script = D.load_script(SCRIPT.format(date="@remove()", patient="@hash(this,10)", study="@keep()").replace(
+        "<k ", '<e en="T" t="00089215" n="x">@keep()</e><k ', 1))
+    items = F.from_json(_tag("00089215", "x"), "array<map<string,struct<vr:string,val:string>>>")
+    return D.deidentify(rows, script, SALT).select(
+        "o_orderkey", _tag("00100020", "outer_patient"), items[0]["00100020"]["val"].alias("inner_patient"),
+        F.when(items.isNotNull(), F.array_join(F.array_sort(F.map_keys(items[0])), ",")).alias("inner_tags"))
 
 
 @query("deid_dates", f"""WITH {V.SQL_TAGSETS}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from radloom.functions.ordering import with_position
 from radloom.operators import jobs as J, validate as VA
 from radloom.operators.files import plan_files
-from radloom.streaming.tracker import progress
+from radloom.session import pin
+from radloom.streaming.tracker import STATE_SCHEMA, advance, progress
 from workload import views as V
 from workload.registry import query
 
@@ -48,6 +49,58 @@ def track_jobs(t):
     return progress(requests.unionByName(collections).unionByName(done))
 
 
+def _dealt(t, n):
+    """The interleaved events in ``n`` batches: those of a job come in the order of their kinds, spread by their number."""
+    none = F.lit(None).cast("long")
+    e = V.job_events(t)
+    kind = F.when(F.col("event_type").isin("view", "signup"), "collection").otherwise("status")
+    files = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "signup", 2).cast("long")
+    rows = e.select("job_id", kind.alias("kind"), none.alias("key_count"), F.when(kind == "collection", F.lit(0)).alias("part"), files.alias("files"),
+                    (F.col("event_id") % n).alias("batch"))
+    asked = e.groupBy("job_id").agg(F.count_if(F.col("event_type").isin("view", "signup")).alias("key_count")).select(
+        "job_id", F.lit("request").alias("kind"), "key_count", F.lit(None).cast("int").alias("part"), none.alias("files"), F.lit(0).alias("batch"))
+    return rows.unionByName(asked)
+
+
+def _sql_batches(n):
+    """The state machine over ``n`` batches, one step of SQL each."""
+    steps = [f"""{V.SQL_EVENTS}, asked AS (SELECT job_id, COUNT(*) FILTER (event_type IN ('view', 'signup')) AS key_count FROM ev GROUP BY 1),
+      s0 AS (SELECT job_id, 0::BIGINT AS infos, 0::BIGINT AS expected, 0::BIGINT AS statuses, 'WaitingForCollectionInfo' AS status FROM asked)"""]
+    for i in range(n):
+        steps.append(f"""c{i} AS (SELECT job_id, COUNT(*) FILTER (event_type IN ('view', 'signup')) AS infos,
+          COALESCE(SUM(CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 END), 0)::BIGINT AS expected,
+          COUNT(*) FILTER (event_type NOT IN ('view', 'signup')) AS statuses FROM ev WHERE event_id % {n} = {i} GROUP BY 1),
+        t{i} AS (SELECT s.job_id, key_count, s.status AS before, CASE WHEN s.status IN ('Failed', 'Completed') THEN 0 ELSE 1 END AS more,
+          s.infos + more * COALESCE(c.infos, 0) AS infos, s.expected + more * COALESCE(c.expected, 0) AS expected,
+          s.statuses + more * COALESCE(c.statuses, 0) AS statuses FROM s{i} s JOIN asked USING (job_id) LEFT JOIN c{i} c USING (job_id)),
+        m{i} AS (SELECT *, CASE WHEN before IN ('Failed', 'Completed') THEN before WHEN before = 'WaitingForStatuses' OR key_count = infos
+          THEN CASE WHEN expected = statuses THEN 'ReadyForChecks' ELSE 'WaitingForStatuses' END ELSE 'WaitingForCollectionInfo' END AS moved FROM t{i}),
+        s{i + 1} AS (SELECT job_id, infos, expected, statuses, CASE WHEN moved = 'ReadyForChecks' THEN CASE WHEN infos = 0 OR statuses = 0
+          THEN 'Failed' ELSE 'Completed' END ELSE moved END AS status FROM m{i})""")
+    return f"WITH {', '.join(steps)} SELECT * FROM s{n}"
+
+
+@query("track_batches", _sql_batches(4))
+def track_batches(t):
+    """The tracker's stored state after four batches; a state once reached is kept."""
+    events = _dealt(t, 4)
+    state = t.spark.createDataFrame([], STATE_SCHEMA)
+    for i in range(4):
+        state = pin(advance(state, events.where(F.col("batch") == i)))
+    return state.drop("key_count")
+
+
+@query("job_status_stored", f"""WITH {V.SQL_JOBS}, stored AS (SELECT *, CASE WHEN key_count % 3 = 0 THEN 'Failed' WHEN key_count % 3 = 1
+  THEN 'WaitingForStatuses' ELSE 'WaitingForCollectionInfo' END AS before FROM status)
+SELECT job_id, CASE WHEN before = 'Failed' THEN before WHEN before = 'WaitingForStatuses' OR key_count = infos
+  THEN CASE WHEN expected = statuses THEN 'ReadyForChecks' ELSE 'WaitingForStatuses' END ELSE before END AS status FROM stored""")
+def job_status_stored(t):
+    """States that follow from the counts and an earlier stored state."""
+    counts = J.job_counts(V.jobs(t), J.info_counts(V.infos(t)), _done(t))
+    before = F.when(F.col("key_count") % 3 == 0, "Failed").when(F.col("key_count") % 3 == 1, "WaitingForStatuses").otherwise("WaitingForCollectionInfo")
+    return J.job_status(counts.withColumn("status", before)).select("job_id", "status")
+
+
 @query("late_events", f"""WITH {V.SQL_JOBS}, done AS (SELECT job_id FROM status WHERE status = 'ReadyForChecks' AND infos > 0 AND statuses > 0)
 SELECT event_id, job_id IN (FROM done) AS late FROM ev""")
 def late_events(t):

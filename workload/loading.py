@@ -8,6 +8,7 @@ from radloom.functions import lineage, paths, tags as TG
 from radloom.operators import load as L, project as P, validate as VA
 from radloom.schemas import PATH, SERIES, SOP, STUDY
 from radloom.sources.tables import parse_strict
+from radloom.streaming.flows import split_load
 from radloom.template import TemplateColumn, TemplateTable, load_template
 from workload import views as V
 from workload.registry import query
@@ -170,6 +171,28 @@ def flatten_props(t):
     return flat.drop(SOP)
 
 
+_WIDE_TEMPLATE = """
+Tables:
+- TableName: t
+  Columns: [{ColumnName: EchoTime}, {ColumnName: PixelSpacing}, {ColumnName: ScanOptions}, {ColumnName: AcquisitionTime},
+            {ColumnName: LossyImageCompressionRatio}, {ColumnName: OwnValue, Tag: '(0019,100A)'}, {ColumnName: MessageGuid, AllowNulls: true}]
+"""
+
+
+@query("flatten_wide", """SELECT CAST(p_partkey AS VARCHAR) AS RelativeFileArchiveURI, p_type AS EchoTime, CAST(p_size AS VARCHAR) || '\\' || CAST(p_size AS VARCHAR) AS PixelSpacing,
+  p_brand AS ScanOptions, p_name AS AcquisitionTime, CAST(NULL AS VARCHAR) AS LossyImageCompressionRatio, CAST(p_partkey AS VARCHAR) AS OwnValue,
+  CAST(NULL AS VARCHAR) AS MessageGuid FROM part""".replace("\\\\", "\\"))
+def flatten_wide(t):
+    """Columns whose tags lie outside the common ones, one of them named by the template itself."""
+    text = lambda c: F.struct(F.lit("LO").alias("vr"), c.cast("string").alias("val"))
+    size = F.col("p_size").cast("string")
+    tags = F.to_json(F.create_map(
+        F.lit("00180081"), text(F.col("p_type")), F.lit("00280030"), text(F.concat(size, F.lit("\\"), size)), F.lit("00180022"), text(F.col("p_brand")),
+        F.lit("00080032"), text(F.col("p_name")), F.lit("0019100A"), text(F.col("p_partkey"))))
+    rows = t.part.select(F.col("p_partkey").cast("string").alias("DicomFilePath"), tags.alias("DicomDataset"))
+    return P.flatten(rows, list(load_template(_WIDE_TEMPLATE).values()))
+
+
 @query("select_tags", f"""WITH {V.SQL_TAGSETS} SELECT SOPInstanceUID, CASE WHEN flag = 'RO' THEN '00180050' ELSE '00100020,00180050' END AS tags FROM tagsets""")
 def select_tags(t):
     kept = TG.select_tags(TG.parse_tags(F.col("DicomDataset")), ["00100020", "00180050", "00080060"], "^0008")
@@ -247,9 +270,12 @@ def modality_groups(t):
     return t.part.groupBy(L.modality_group(modality).alias("modality_group")).agg(F.count("*").alias("n"))
 
 
-@query("dedupe_batch", "SELECT MIN(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text")
+@query("dedupe_batch", """WITH d AS (SELECT doc_id, CASE WHEN source <> 'src1' THEN text END AS text FROM documents)
+SELECT MIN(doc_id) AS doc_id, md5(text) AS digest FROM d WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, NULL FROM d WHERE text IS NULL""")
 def dedupe_batch(t):
-    return L.dedupe_batch(t.documents, "text").select("doc_id", F.md5("text").alias("digest"))
+    """Texts once; the rows of one source have none and all stay."""
+    rows = t.documents.select("doc_id", F.when(F.col("source") != "src1", F.col("text")).alias("text"))
+    return L.dedupe_batch(rows, "text").select("doc_id", F.md5("text").alias("digest"))
 
 
 _LEVELS = load_template("""
@@ -289,9 +315,12 @@ _ISO = f"""{V.SQL_FILES}, study AS (SELECT DISTINCT StudyInstanceUID, IsPrimary
   series AS (SELECT DISTINCT StudyInstanceUID, SeriesInstanceUID FROM files),
   image AS (SELECT DISTINCT SeriesInstanceUID, SOPInstanceUID, IsOriginal FROM files),
   bad_study AS (SELECT StudyInstanceUID FROM study GROUP BY 1 HAVING COUNT(*) > 1),
+  bad_series AS (SELECT SeriesInstanceUID FROM series GROUP BY 1 HAVING COUNT(*) > 1),
   bad_image AS (SELECT SOPInstanceUID FROM image GROUP BY 1 HAVING COUNT(*) > 1),
-  hit AS (SELECT DISTINCT SOPInstanceUID FROM image JOIN series USING (SeriesInstanceUID)
-    WHERE StudyInstanceUID IN (FROM bad_study) OR SOPInstanceUID IN (FROM bad_image))"""
+  touched AS (FROM bad_series UNION SELECT SeriesInstanceUID FROM image WHERE SOPInstanceUID IN (FROM bad_image)),
+  studies AS (FROM bad_study UNION SELECT StudyInstanceUID FROM series WHERE SeriesInstanceUID IN (FROM touched)),
+  all_series AS (FROM touched UNION SELECT SeriesInstanceUID FROM series WHERE StudyInstanceUID IN (FROM studies)),
+  hit AS (FROM bad_image UNION SELECT SOPInstanceUID FROM image WHERE SeriesInstanceUID IN (FROM all_series))"""
 
 
 def _isolated(t):
@@ -311,6 +340,16 @@ def isolate_good(t):
     return _isolated(t).good["image"]
 
 
+@query("isolate_good_series", f"WITH {_ISO} SELECT StudyInstanceUID, SeriesInstanceUID FROM series WHERE SeriesInstanceUID NOT IN (FROM all_series)")
+def isolate_good_series(t):
+    return _isolated(t).good["series"]
+
+
+@query("isolate_bad_study", f"WITH {_ISO} SELECT StudyInstanceUID, age FROM study WHERE StudyInstanceUID IN (FROM studies)")
+def isolate_bad_study(t):
+    return _isolated(t).bad["study"]
+
+
 @query("except_corrupt", f"WITH {V.SQL_FILES} SELECT SOPInstanceUID, SeriesInstanceUID FROM files WHERE SOPInstanceUID NOT IN (SELECT SOPInstanceUID FROM files WHERE NOT IsExtractableToDisk)")
 def except_corrupt(t):
     f = V.files(t)
@@ -392,6 +431,56 @@ def merge_live(t):
     return _merge(t).live
 
 
+def _partial(t, repeat):
+    """The stage knows the key and the status, not the clerk; ``repeat`` stages some keys twice."""
+    live = t.orders.where(F.col("o_orderpriority") != "1-URGENT").select(
+        F.col("o_orderkey").alias("study"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"),
+        F.col("o_orderdate").alias("valid_from"), F.lit(1).alias("load_run_id"))
+    stage = t.lineitem.groupBy(F.col("l_orderkey").alias("study")).agg(F.max("l_linestatus").alias("status"))
+    if repeat:
+        stage = t.lineitem.select(F.when(F.col("l_returnflag") != "R", F.col("l_orderkey")).alias("study"), F.col("l_linestatus").alias("status")).distinct()
+    return L.merge_live(live, stage, "study", 2, F.lit(_STAMP).cast("timestamp"))
+
+
+_PARTIAL = """live AS (SELECT o_orderkey AS study, o_orderstatus AS status, o_custkey AS owner FROM orders WHERE o_orderpriority <> '1-URGENT'),
+  stage AS (SELECT l_orderkey AS study, MAX(l_linestatus) AS status FROM lineitem GROUP BY 1)"""
+
+
+@query("merge_partial_columns", f"""WITH {_PARTIAL} SELECT study, COALESCE(s.status, l.status) AS status, CAST(l.owner AS VARCHAR) AS owner FROM live l FULL JOIN stage s USING (study)""")
+def merge_partial_columns(t):
+    return _partial(t, False).live.select("study", "status", F.col("owner").cast("string").alias("owner"))
+
+
+@query("merge_repeated_keys", """WITH given AS (SELECT DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_orderkey END AS study, l_linestatus AS status FROM lineitem)
+SELECT CAST(study AS VARCHAR) AS study, status FROM given WHERE study IS NULL OR study IN (SELECT study FROM given WHERE study IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1)""")
+def merge_repeated_keys(t):
+    """Staged rows that are refused: without a key, or of a key staged twice."""
+    return _partial(t, True).refused.select(F.col("study").cast("string").alias("study"), "status")
+
+
+_CHECKED = """checked AS (SELECT DISTINCT CASE WHEN l_returnflag <> 'N' OR l_linenumber > 1 THEN l_orderkey END AS k, l_partkey AS i,
+    CASE WHEN l_quantity > 49 THEN 'broken' END AS bad FROM lineitem),
+  marked AS (SELECT k, i, COALESCE(bad, CASE WHEN k IS NULL THEN 'no key' END) AS bad FROM checked),
+  parts AS (SELECT k, i, COALESCE(bad, CASE WHEN k IN (SELECT k FROM marked WHERE bad IS NOT NULL AND k IS NOT NULL)
+    THEN 'shares its key with a bad row' END) AS bad FROM marked)"""
+
+
+def _split(t):
+    rows = t.lineitem.select(F.when((F.col("l_returnflag") != "N") | (F.col("l_linenumber") > 1), F.col("l_orderkey")).alias("k"), F.col("l_partkey").alias("i"),
+                             F.when(F.col("l_quantity") > 49, F.lit("broken")).alias("bad")).distinct()
+    return split_load(rows, "k")
+
+
+@query("load_batch_good", f"WITH {_CHECKED} SELECT k, i FROM parts WHERE bad IS NULL")
+def load_batch_good(t):
+    return _split(t)[0]
+
+
+@query("load_batch_bad", f"WITH {_CHECKED} SELECT CAST(k AS VARCHAR) AS k, i, bad FROM parts WHERE bad IS NOT NULL")
+def load_batch_bad(t):
+    return _split(t)[1].withColumn("k", F.col("k").cast("string"))
+
+
 @query("reconcile", f"WITH {V.SQL_FILES} SELECT SOPInstanceUID, RelativeFileArchiveURI FROM files WHERE SOPInstanceUID NOT IN (SELECT SOPInstanceUID FROM files WHERE IsPrimary)")
 def reconcile(t):
     f = V.files(t)

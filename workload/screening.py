@@ -39,6 +39,26 @@ _FAIL = f"""cells AS (SELECT doc_id AS resource, 'text' AS col, text AS value FR
     ELSE regexp_extract_all(value, '{ADDRESS}') END AS words FROM fails)"""
 
 
+_ODD = S.load_rules("""
+BasicRules:
+- {Action: Ignore, IfPattern: '^x(y)z$'}
+- {Action: Ignore, IfPattern: '^([a-z])[a-z]*\\1$'}
+- {Action: Ignore, IfPattern: '^(?:for|und)$'}
+- {Action: Report, IfPattern: '^[a-zA-Z]+$', As: Person}
+""")
+
+
+@query("screen_backrefs", """WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS word FROM documents)
+SELECT doc_id, word, regexp_full_match(word, '[a-zA-Z]+') AND NOT (length(word) > 1 AND regexp_full_match(word, '[a-zA-Z]+') AND lower(word)[1] = lower(word)[-1])
+  AND lower(word) NOT IN ('xyz', 'for', 'und') AS reported FROM w""")
+def screen_backrefs(t):
+    """Neighbouring Ignore rules with groups of their own: a back-reference still means its own group."""
+    words = t.documents.select("doc_id", F.split("text", " ")[0].alias("word"))
+    cells = words.select(F.col("doc_id").cast("string").alias("resource"), F.lit("word").alias("column"), F.col("word").alias("value"))
+    hit = S.screen(cells, _ODD).select(F.col("resource").cast("long").alias("doc_id"), F.lit(True).alias("hit"))
+    return words.join(hit, "doc_id", "left").select("doc_id", "word", F.coalesce("hit", F.lit(False)).alias("reported"))
+
+
 @query("screen_rules", f"""WITH {_FAIL} SELECT resource, col AS "column", class AS first_class, CAST(len(words) AS BIGINT) AS n_parts,
   array_to_string(words, '|') AS words, CAST(instr(value, words[1]) - 1 AS BIGINT) AS first_offset FROM parts""")
 def screen_rules(t):

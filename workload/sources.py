@@ -78,6 +78,12 @@ def find_operators(t):
         {"$and": [{"p_brand": "Brand#1"}, {"p_type": {"$ne": "LARGE"}}, {"p_name": {"$exists": true}}]}]}}""").select("p_partkey")
 
 
+@query("find_skip", "SELECT p_partkey, p_type FROM part WHERE p_type <> 'LARGE' ORDER BY p_partkey OFFSET 123")
+def find_skip(t):
+    """All rows of a query but the first ones, in their order."""
+    return documents.find(t.part, '{"find": {"p_type": {"$ne": "LARGE"}}, "sort": {"p_partkey": 1}, "skip": 123}').select("p_partkey", "p_type")
+
+
 @query("find_sort_skip_limit", "SELECT p_partkey FROM part WHERE p_type <> 'LARGE' ORDER BY p_partkey DESC LIMIT 456 OFFSET 123")
 def find_sort_skip_limit(t):
     """The query form whose feature is a sorted page of results."""
