@@ -37,15 +37,22 @@ class TemplateRule:
 
 
 def _masked(line: Column) -> Column:
-    flat = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(flat)
+    # The plain searches spare most lines the two replacements.
+    odd = F.contains(line, F.lit("  "))
+    for space in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(space))
+    flat = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(flat)
 
 
 def _lines(df: DataFrame, key: str, text: str, rule: TemplateRule) -> DataFrame:
     """key, doc, pos, masked, n, template and leaf of every line long enough; ``doc`` tells texts of one key apart."""
-    lines = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    masked = lines.select("key", "doc", "pos", _masked(F.col("line")).alias("masked"))
-    counted = masked.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
+    # The text is hashed before its lines are dealt out, once.
+    hashed = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
+    lines = hashed.select("key", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # As outputs of generators the masked line and its length are computed once; a filter on them would else repeat the work.
+    masked = lines.select("key", "doc", "pos", F.explode(F.array(_masked(F.col("line")))).alias("masked"))
+    counted = masked.select("*", F.explode(F.array(F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)).alias("n"))
     return counted.where((F.col("masked") != "") & (F.col("n") >= rule.min_tokens)).withColumns({
         "template": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", rule.depth))})
 
