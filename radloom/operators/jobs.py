@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
@@ -73,15 +75,17 @@ def split_late(events: DataFrame, completed: DataFrame) -> tuple[DataFrame, Data
 
 # --- reports ---------------------------------------------------------------------
 
-def report_rejected(rejections: DataFrame) -> DataFrame:
+def report_rejected(rejections: DataFrame, place: Callable[..., DataFrame] = DataFrame.orderBy) -> DataFrame:
     """Rejections in report order from ``(job_id, key_value, reason, n)`` rows.
 
-    Keys with most rejections come first, then reasons by count.
+    Keys with most rejections come first, then reasons by count.  ``place`` puts
+    the rows in the order it is given; :func:`with_position` notes it as ``pos`` instead.
     """
     totals = rejections.groupBy("job_id", "key_value").agg(F.sum("n").alias("_total"))
-    ordered = rejections.join(join_side(totals, "job_id", "key_value"), ["job_id", "key_value"]).orderBy(
-        "job_id", F.col("_total").desc(), "key_value", F.col("n").desc(), "reason")
-    return ordered.select("job_id", F.col("key_value").alias("ExtractionKey"), F.col("n").alias("Count"),
+    ordered = place(rejections.join(join_side(totals, "job_id", "key_value"), ["job_id", "key_value"]),
+                    "job_id", F.col("_total").desc(), "key_value", F.col("n").desc(), "reason")
+    noted = [c for c in ordered.columns if c == "pos"]
+    return ordered.select(*noted, "job_id", F.col("key_value").alias("ExtractionKey"), F.col("n").alias("Count"),
                           F.col("reason").alias("Reason"))
 
 

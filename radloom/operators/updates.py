@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions.joins import join_side
@@ -112,7 +114,7 @@ def affected_rows(tables: dict[str, DataFrame], spec: UpdateSpec, views: tuple[s
 
 
 def resolve_chain(pairs: DataFrame, seq: str = "seq", have: str = "have", want: str = "want", buckets: int = 1024) -> DataFrame:
-    """What each old value ends up as after all updates in order.
+    """What each old value ends up as after all updates in order, and in how many steps.
 
     ``pairs`` are ordered by the whole number ``seq``, unique per pair.  A value
     leaves at its first pair, arrives somewhere, and leaves from there at the
@@ -128,15 +130,20 @@ def resolve_chain(pairs: DataFrame, seq: str = "seq", have: str = "have", want:
     # departure must be later than the arrival, so order alone decides.
     ahead = next_marked(_merged_moves(moves), "value", "seq", F.col("leaves"), buckets)
     arrivals = ahead.where("arrives").select("seq", F.col("next").cast("long").alias("next"))
-    state = pin(steps.join(arrivals, "seq", "left").select("seq", "have", F.col("want").alias("final"), "next"))
-    while not state.where(F.col("next").isNotNull()).isEmpty():
-        onward = state.select(F.col("seq").alias("next"), F.col("final").alias("_final"), F.col("next").alias("_next"))
-        state = pin(state.join(join_side(onward, "next"), "next", "left").select(
-            "seq", "have",
-            F.when(F.col("next").isNotNull(), F.col("_final")).otherwise(F.col("final")).alias("final"),
-            F.col("_next").alias("next")))
-    first = state.groupBy("have").agg(F.min_by(F.struct("final"), "seq").alias("_f"))
-    return first.select("have", F.col("_f.final").alias("final"))
+    state = pin(steps.join(arrivals, "seq", "left").select("seq", "have", F.col("want").alias("final"), "next", F.lit(1).cast("long").alias("steps")))
+    ended = []
+    while True:
+        # Only open paths are joined on; finished ones are set apart as they are.
+        ended.append(state.where(F.col("next").isNull()))
+        open_ = state.where(F.col("next").isNotNull())
+        if open_.isEmpty():
+            break
+        onward = reduce(DataFrame.unionByName, ended + [open_]).select(
+            F.col("seq").alias("next"), F.col("final").alias("_final"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
+        state = pin(open_.join(join_side(onward, "next"), "next").select(
+            "seq", "have", F.col("_final").alias("final"), F.col("_next").alias("next"), (F.col("steps") + F.col("_steps")).alias("steps")))
+    first = reduce(DataFrame.unionByName, ended).groupBy("have").agg(F.min_by(F.struct("final", "steps"), "seq").alias("_f"))
+    return first.select("have", "_f.final", "_f.steps")
 
 
 def _merged_moves(moves: DataFrame) -> DataFrame:
@@ -153,16 +160,17 @@ def apply_chain(df: DataFrame, column: str, resolved: DataFrame) -> DataFrame:
 
 
 def update_audit(tables: dict[str, DataFrame], column: str, pairs: DataFrame) -> DataFrame:
-    """Per table: updates tried and rows that held one of the old values.
+    """Per table: updates sent, and rows affected by them in their order, summed.
 
-    Counts are taken per value before the join, so a frequent value is one row.
+    A row that one update brings to the old value of a later one is affected by
+    both.  Counts are taken per value before the join, so a frequent value is one row.
     """
-    tried = pairs.select(F.col("have")).where(F.col("have").isNotNull()).distinct()
+    sent = pairs.where(F.col("have").isNotNull()).count()
+    moved = pin(resolve_chain(pairs).select("have", "steps"))
     result = None
     for name, df in tables.items():
         held = df.groupBy(F.col(column).alias("have")).agg(F.count("*").alias("_n"))
-        one = tried.join(held, "have", "left").agg(
-            F.count("*").alias("queries"), F.coalesce(F.sum("_n"), F.lit(0)).alias("affected"))
-        one = one.select(F.lit(name).alias("table"), "queries", "affected")
+        one = held.join(join_side(moved, "have"), "have").agg(F.coalesce(F.sum(F.col("_n") * F.col("steps")), F.lit(0)).alias("affected"))
+        one = one.select(F.lit(name).alias("table"), F.lit(sent).cast("long").alias("queries"), "affected")
         result = one if result is None else result.unionByName(one)
     return result

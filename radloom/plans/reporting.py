@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,7 +43,9 @@ def close_jobs(jobs: DataFrame, infos: DataFrame, statuses: DataFrame, now: Colu
 def write_reports(completed: CompletedJobs, job_id: str, root: str, newline: str = "\n") -> str:
     """README, rejected files, processing errors, verification failures.
 
-    An unknown job and an existing reports folder are errors.
+    An unknown job and an existing reports folder are errors.  The reports are
+    written aside and moved to their place together, so a failure in between leaves no
+    folder that would block the next try.
     """
     one = completed.only(job_id)
     job = one.jobs.first()
@@ -52,6 +55,7 @@ def write_reports(completed: CompletedJobs, job_id: str, root: str, newline: str
     fs, folder = sinks._hadoop_path(one.jobs.sparkSession, target)
     if fs.exists(folder):
         raise ValueError(f"job reports directory already exists: {target}")
+    final, target = target, f"{target}.{uuid.uuid4().hex[:8]}.partial"
     sinks.write_text_report(J.report_readme(one.jobs, newline=newline).select("readme"), f"{target}/README", newline)
     sinks.write_csv_report(J.report_rejected(J.rejections_of(one.infos)).drop("job_id"), f"{target}/rejected_files", newline)
     errors = J.report_errors(one.jobs, one.statuses).orderBy("section", "DicomFilePath")
@@ -59,4 +63,6 @@ def write_reports(completed: CompletedJobs, job_id: str, root: str, newline: str
     if not job["identifiable"]:
         sinks.write_csv_report(J.report_verification(one.jobs, one.statuses).drop("job_id"),
                                f"{target}/verification_failures", newline)
-    return target
+    if not fs.rename(sinks._hadoop_path(one.jobs.sparkSession, target)[1], folder):
+        raise ValueError(f"job reports directory already exists: {final}")
+    return final

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,13 +39,69 @@ def write_version(df: DataFrame, path: str) -> str:
     its folder is complete (the writer's ``_SUCCESS`` mark); readers take the
     latest complete one, so a lost writer leaves the table as it was.
     """
-    spark = df.sparkSession
-    done = _versions(spark, path)
-    target = f"{path}/v{(max(done) if done else 0) + 1:08d}-{uuid.uuid4().hex[:8]}"
+    target = _claim(df.sparkSession, path)
     df.write.mode("errorifexists").parquet(target)
     return target
 
 
+def _claim(spark, path: str) -> str:
+    """The folder of the next version; its number is taken by creating a file, which only one writer can."""
+    done = _versions(spark, path)
+    number = max(done) if done else 0
+    while True:
+        number += 1
+        fs, claim = _hadoop_path(spark, f"{path}/claims/{number:08d}")
+        if fs.createNewFile(claim):
+            return f"{path}/v{number:08d}-{uuid.uuid4().hex[:8]}"
+
+
+_BUCKET = "live_bucket"
+
+
+def _in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn(_BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def _bucket_folders(spark, path: str) -> dict[int, tuple[str, str]]:
+    """For every bucket the version that wrote it last, and its folder there."""
+    found: dict[int, tuple[str, str]] = {}
+    for _, version in sorted(_versions(spark, path).items()):
+        fs, folder = _hadoop_path(spark, version)
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith(f"{_BUCKET}="):
+                found[int(name.partition("=")[2])] = (version, f"{version}/{name}")
+    return found
+
+
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    """Write rows as a version in which every bucket of the key's hash is a folder."""
+    target = _claim(df.sparkSession, path)
+    _in_buckets(df, key, buckets).write.mode("errorifexists").partitionBy(_BUCKET).parquet(target)
+    return target
+
+
+def read_buckets(spark, path: str, schema, only: set[int] | None = None) -> DataFrame:
+    """The latest rows of a bucketed table, or of some of its buckets."""
+    folders = [folder for n, (_, folder) in _bucket_folders(spark, path).items() if only is None or n in only]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def merge_buckets(stage: DataFrame, path: str, schema, key: str, buckets: int,
+                  merge: Callable[[DataFrame, DataFrame], DataFrame]) -> set[int]:
+    """Bring staged rows into a bucketed table; only buckets that hold staged keys are read and written.
+
+    ``merge(live, stage)`` returns the new live rows of those buckets, for
+    instance ``load.merge_live(...).live``.  Returns the buckets; there are at most ``buckets`` of them.
+    """
+    spark = stage.sparkSession
+    keyed = stage.where(F.col(key).isNotNull())
+    touched = {r[0] for r in _in_buckets(keyed, key, buckets).select(_BUCKET).distinct().collect()}
+    if touched:
+        write_buckets(merge(read_buckets(spark, path, schema, touched), keyed), path, key, buckets)
+    return touched
+
+
 def _versions(spark, path: str) -> dict[int, str]:
     fs, folder = _hadoop_path(spark, path)
     if not fs.exists(folder):
@@ -65,14 +122,21 @@ def read_version(spark, path: str) -> DataFrame | None:
 
 
 def write_csv_report(df: DataFrame, path: str, newline: str = "\n") -> None:
-    """One CSV file with a header; an existing report is an error."""
-    (df.coalesce(1).write.mode("errorifexists")
-     .option("header", "true").option("lineSep", newline).option("quote", '"').option("escape", '"')
+    """CSV part files in the order of the rows, and their header in a file that sorts before them; an existing report is an error.
+
+    However long a report is, no single task writes or sorts all of it.
+    """
+    (df.write.mode("errorifexists").option("lineSep", newline).option("quote", '"').option("escape", '"')
      .option("emptyValue", "").csv(path))
+    fs, header = _hadoop_path(df.sparkSession, f"{path}/header.csv")
+    out = fs.create(header, False)
+    out.write((",".join(df.columns) + newline).encode())
+    out.close()
 
 
 def write_text_report(df: DataFrame, path: str, newline: str = "\n") -> None:
-    df.coalesce(1).write.mode("errorifexists").option("lineSep", newline).text(path)
+    """The text of one row."""
+    df.limit(1).write.mode("errorifexists").option("lineSep", newline).text(path)
 
 
 def route(df: DataFrame, identifiable: Column, anon: str = "anon", ident: str = "ident") -> DataFrame:

@@ -63,7 +63,7 @@ def completed(spark, identifiable=False):
 
 
 def read(folder):
-    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+    return "".join(p.read_text() for p in sorted([*folder.glob("header*"), *folder.glob("part-*")]))
 
 
 README = """# Extraction validation report for 1234-5678 test-1
@@ -101,7 +101,7 @@ def test_identifiable_reports(spark, tmp_path):
     write_reports(completed(spark, identifiable=True), "d0b6", str(tmp_path), "\r\n")
     target = tmp_path / "1234-5678" / "extractions" / "reports" / "test-1"
     assert not (target / "verification_failures").exists()
-    assert (target / "processing_errors").is_dir() and next((target / "processing_errors").glob("part-*")).read_bytes() == b"DicomFilePath,Reason\r\n1/2/missing.dcm,Missing\r\n"
+    assert (target / "processing_errors").is_dir() and b"".join(p.read_bytes() for p in sorted((target / "processing_errors").glob("[hp]*"))) == b"DicomFilePath,Reason\r\n1/2/missing.dcm,Missing\r\n"
     assert "Identifiable extraction:      Yes" in read(target / "README")
 
 

@@ -98,6 +98,26 @@ def test_versions(spark, tmp_path):
     sinks.write_version(sinks.read_version(spark, path).union(spark.range(1)), path)
     (tmp_path / "t" / "v00000009-unfinished").mkdir()
     assert sinks.read_version(spark, path).count() == 4
+    # A number that another writer holds is passed over.
+    fs, claim = sinks._hadoop_path(spark, f"{path}/claims/00000003")
+    assert fs.createNewFile(claim) and "/v00000004-" in sinks.write_version(spark.range(5), path)
+
+
+def test_merge_touches_only_buckets_with_staged_keys(spark, tmp_path, rows):
+    from radloom.operators.load import merge_live
+
+    path = str(tmp_path / "live")
+    live = spark.createDataFrame([(str(i), "old") for i in range(40)], "k string, v string").selectExpr(
+        "*", "timestamp'2020-01-01' valid_from", "1 load_run_id")
+    first = sinks.write_buckets(live, path, "k", 16)
+    stage = spark.createDataFrame([("3", "new"), ("x", "new"), (None, "new")], "k string, v string")
+    merge = lambda old, new: merge_live(old, new, "k", 2, F.lit("2024-01-01").cast("timestamp")).live
+    touched = sinks.merge_buckets(stage, path, live.schema, "k", 16, merge)
+    assert 1 <= len(touched) <= 2
+    second = [p for p in (tmp_path / "live").glob("v*") if str(p) != first][0]
+    assert {int(p.name.partition("=")[2]) for p in second.glob("live_bucket=*")} == touched
+    expected = [(str(i), "new" if i == 3 else "old") for i in range(40)] + [("x", "new")]
+    assert rows(sinks.read_buckets(spark, path, live.schema), "k", "v") == sorted(expected, key=str)
 
 
 def test_routes(spark, tmp_path, rows):

@@ -249,10 +249,17 @@ def update_chain(t):
     return U.apply_chain(rows, "value", resolved).select("c_custkey", F.col("value").cast("string").alias("value"))
 
 
-@query("update_audit", """WITH tried AS (SELECT DISTINCT o_custkey AS have FROM orders)
-SELECT 'customer' AS "table", (SELECT COUNT(*) FROM tried) AS queries, (SELECT COUNT(*) FROM customer WHERE c_custkey IN (FROM tried)) AS affected
-UNION ALL SELECT 'events', (SELECT COUNT(*) FROM tried), (SELECT COUNT(*) FROM events WHERE user_id IN (FROM tried))""")
+@query("update_audit", """WITH p AS (SELECT o_orderkey AS seq, o_custkey AS have,
+    CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice / 500) AS BIGINT) END AS want FROM orders),
+  steps AS (WITH RECURSIVE walk(origin, held, seq, done) AS (
+    SELECT id, id, CAST(-1 AS BIGINT), FALSE FROM (SELECT c_custkey AS id FROM customer UNION SELECT user_id FROM events)
+    UNION ALL SELECT origin, p.want, p.seq, p.want IS NULL FROM walk JOIN p ON p.have = walk.held AND p.seq = (
+      SELECT MIN(q.seq) FROM p q WHERE q.have = walk.held AND q.seq > walk.seq) WHERE NOT done)
+  SELECT origin, COUNT(*) - 1 AS n FROM walk GROUP BY origin)
+SELECT 'customer' AS "table", (SELECT COUNT(*) FROM p) AS queries, CAST(SUM(n) AS BIGINT) AS affected FROM customer JOIN steps ON origin = c_custkey
+UNION ALL SELECT 'events', (SELECT COUNT(*) FROM p), CAST(SUM(n) AS BIGINT) FROM events JOIN steps ON origin = user_id""")
 def update_audit(t):
+    """Updates sent, and rows affected by each in its order, cascades included."""
     tables = {"customer": t.customer.select(F.col("c_custkey").alias("id")), "events": t.events.select(F.col("user_id").alias("id"))}
     return U.update_audit(tables, "id", _pairs(t))
 

@@ -126,11 +126,8 @@ SELECT job_id || ' ' || key_value || ' ' || reason AS row, row_number() OVER (OR
 FROM rej JOIN tot USING (job_id, key_value)""")
 def rejected_files(t):
     """The order of the rejections report, as explicit positions."""
-    rej = J.rejections_of(V.infos(t))
-    totals = rej.groupBy("job_id", "key_value").agg(F.sum("n").alias("total"))
-    placed = with_position(rej.join(totals, ["job_id", "key_value"]), "job_id", F.col("total").desc(), "key_value",
-                           F.col("n").desc(), "reason")
-    return placed.select(F.concat_ws(" ", "job_id", "key_value", "reason").alias("row"), "pos")
+    report = J.report_rejected(J.rejections_of(V.infos(t)), with_position)
+    return report.select(F.concat_ws(" ", "job_id", "ExtractionKey", "Reason").alias("row"), "pos")
 
 
 @query("report_errors", f"""WITH {V.SQL_JOBS}, st AS (SELECT job_id, event_id || '.dcm' AS path, k < 50 AS missing, k >= 50 AND k < 60 AS copied,
