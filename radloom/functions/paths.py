@@ -20,7 +20,8 @@ def file_name(path: Column) -> Column:
 
 def parent_dir(path: Column) -> Column:
     """Everything before the last ``/``; empty text at the top level."""
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    # Plain searches from the end; a pattern would be tried again at every character.
+    return F.substring(path, F.lit(1), F.greatest(F.length(path) - F.length(file_name(path)) - 1, F.lit(0)))
 
 
 def extension(path: Column) -> Column:

@@ -14,10 +14,18 @@ from radloom.functions.text import blank_to_null, is_blank
 from radloom.session import pin
 
 
+def require_unique(mapping: DataFrame, swap: str = "swap") -> DataFrame:
+    """The mapping, if no identifier is in it twice; else an error that names some."""
+    repeated = [r[0] for r in mapping.groupBy(swap).count().where("count > 1").select(swap).limit(5).collect()]
+    if repeated:
+        raise ValueError(f"the mapping holds identifiers more than once: {', '.join(map(str, repeated))}")
+    return mapping
+
+
 def swap_lookup(df: DataFrame, id_column: str, mapping: DataFrame, swap: str = "swap", replacement: str = "replacement") -> DataFrame:
     """Add ``replacement`` and ``fail_reason`` by looking identifiers up.
 
-    The mapping is unique per identifier.  A replacement that is null is no match.
+    The mapping is unique per identifier; see :func:`require_unique`.  A replacement that is null is no match.
     """
     lookup = mapping.select(F.col(swap).alias("_swap"), F.col(replacement).alias("replacement"))
     found = df.join(join_side(lookup, "_swap"), F.col(id_column) == F.col("_swap"), "left").drop("_swap")

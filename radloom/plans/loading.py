@@ -47,7 +47,7 @@ def load_relational(images: DataFrame, template: dict[str, TemplateTable], mappi
     ``template`` and ``live`` are keyed ``study``, ``series`` and ``image``.
     """
     batch = load.dedupe_batch(images).withColumn("tags", parse_tags(F.col("DicomDataset")))
-    swapped = identity.swap_patient_id(batch, mapping, surrogates)
+    swapped = identity.swap_patient_id(batch, identity.require_unique(mapping), surrogates)
     # Three levels are each read several times from here on; the tag sets are
     # parsed once for all of them.
     flat = pin(project.flatten(swapped, list(template.values()), tags="tags", carry=("fail_reason",)))

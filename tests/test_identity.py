@@ -47,6 +47,12 @@ def test_fallback(spark, mapping, rows):
     assert ids.select(I.too_long(F.col("id"), 9)).first()[0] == "Supplied value was too long (10) - max allowed is (9)"
 
 
+def test_a_mapping_must_be_unique(spark, mapping):
+    assert I.require_unique(mapping) is mapping
+    with pytest.raises(ValueError, match="0101010101"):
+        I.require_unique(mapping.union(mapping))
+
+
 def script(*elements, extra=""):
     listed = "".join(f'<e en="T" t="{t}" n="x">{a}</e>' for t, a in elements)
     return D.load_script(f'<script><p t="SITEID">99</p><p t="PROFILENAME">Basic</p><p t="UIDROOT">9999</p>{listed}{extra}</script>')

@@ -29,5 +29,6 @@ def test_matches_sql(spark, con, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert workload.QUERIES.keys() == workload.ORACLE.keys()
+    assert workload.QUERIES.keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
     assert not entry.entry(spark).isEmpty()

@@ -160,8 +160,7 @@ def ignore_postcodes(t):
     """Failures per customer with and without the postcode detector."""
     text = F.when(F.col("c_mktsegment") == "BUILDING", "seen at EH1 2AB").otherwise(F.col("c_name"))
     cells = S.to_cells(t.customer.select(F.col("c_custkey").cast("string").alias("resource"), text.alias("note")), "resource")
-    failing = lambda ignore: S.screen_rows(cells, S.default_rules(ignore), ["value"]).select(
-        F.col("resource").cast("long").alias("resource"), F.size("failures").alias("n"))
     # Both screenings see the same rows; the difference is the postcodes.
-    with_them, without = failing(False).select("resource", F.col("n").alias("with_postcodes")), failing(True)
-    return with_them.join(without.select("resource", F.col("n").alias("without_postcodes")), "resource")
+    with_them = S.screen_rows(cells, S.default_rules(False), ["value"]).withColumnRenamed("failures", "first")
+    return S.screen_rows(with_them, S.default_rules(True), ["value"]).select(
+        F.col("resource").cast("long").alias("resource"), F.size("first").alias("with_postcodes"), F.size("failures").alias("without_postcodes"))
