@@ -170,3 +170,16 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "unused")
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_given_tables_match_sql(spark, name):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
+    from check import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, folder).toPandas()
+    assert compare(got, connect(folder).execute(queries.ORACLE[name]).df()) is None
