@@ -27,7 +27,9 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 PIECE = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]?[^{SPACE}]+|[{SPACE}]+")
 
 #: Pieces in a task's table before it starts anew.
-TABLE_PIECES = 400_000
+TABLE_PIECES = 200_000
+#: Texts that are split and encoded together, and handed back together.
+SLICE = 256
 
 
 def load(path: str) -> str:
@@ -90,13 +92,28 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for part in range(0, len(texts), 256):
-            split = [self.split(t or "") for t in texts[part:part + 256]]
+        for part in range(0, len(texts), SLICE):
+            split = [self.split(t or "") for t in texts[part:part + SLICE]]
             self.learn(split)
             out += map(self.gather, split)
         return out
 
 
+class Decoder:
+    """The vocabulary by id."""
+
+    def __init__(self, tokenizer: str):
+        spec, bytes_of = json.loads(tokenizer), byte_of_char()
+        names = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.pieces = np.full(max(names) + 1, b"", dtype=object)
+        for i, name in names.items():
+            self.pieces[i] = bytes(bytes_of[c] for c in name) if all(c in bytes_of for c in name) else name.encode()
+
+    def decode(self, ids: bytes) -> str:
+        """Text of ids; bytes that are no UTF-8 become U+FFFD."""
+        return b"".join(self.pieces[np.frombuffer(ids, dtype="<u4")].tolist()).decode("utf-8", "replace")
+
+
 def encode(spark: SparkSession, text: Column, tokenizer: str) -> Column:
     """Ids of a text as little-endian unsigned 32-bit numbers; a null text is an empty one, without ids.
 
@@ -116,26 +133,32 @@ def encode(spark: SparkSession, text: Column, tokenizer: str) -> Column:
 
 
 def decode(spark: SparkSession, ids: Column, tokenizer: str) -> Column:
-    """The text of ids made by :func:`encode`, special tokens included; bytes that are no UTF-8 become U+FFFD, null ids null."""
+    """The text of ids made by :func:`encode`, special tokens included; null ids give null."""
     shared = spark.sparkContext.broadcast(tokenizer)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spec, bytes_of = json.loads(shared.value), byte_of_char()
-        names = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        pieces = np.empty(max(names) + 1, dtype=object)
-        pieces[:] = b""
-        for i, name in names.items():
-            pieces[i] = bytes(bytes_of[c] for c in name) if all(c in bytes_of for c in name) else name.encode()
+        decoder = Decoder(shared.value)
         for batch in batches:
-            yield pd.Series([None if b is None else b"".join(pieces[np.frombuffer(b, dtype="<u4")].tolist()).decode("utf-8", "replace")
-                             for b in batch], dtype=object)
+            yield pd.Series([None if b is None else decoder.decode(b) for b in batch], dtype=object)
 
     return run(ids)
 
 
 def round_trip(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``row`` (the input row), ``ids`` and ``decoded``, the text that the ids give back.  Rows are independent; other columns are only carried."""
-    spark = df.sparkSession
-    coded = packed(df).select("row", encode(spark, F.col("row")[text], tokenizer).alias("ids"))
-    return coded.select("row", "ids", decode(spark, F.col("ids"), tokenizer).alias("decoded"))
+    """``row`` (the input row), ``ids`` and ``decoded``, the text that the ids give back.
+
+    As :func:`encode` and :func:`decode`, in one Python process per task instead
+    of two.  Rows are independent; other columns are only carried.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        for texts in batches:
+            for part in range(0, len(texts), SLICE):
+                ids = encoder.encode(texts.iloc[part:part + SLICE].tolist())
+                yield pd.DataFrame({"ids": ids, "decoded": [decoder.decode(b) for b in ids]})
+
+    return packed(df).select("row", run(F.col("row")[text]).alias("coded")).select("row", "coded.ids", "coded.decoded")
