@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
 from radloom.functions.joins import join_side, unique_side
+from radloom.functions.tags import entry_values
 from radloom.functions.text import blank_to_null, is_blank
 from radloom.schemas import (EXTRACTION_KEYS, FAILURE_REPORT, MAX_DOCUMENT_BYTES, OPERATORS, SERIES, SOP, STUDY)
 from radloom.template import TemplateTable
@@ -87,6 +88,41 @@ def cast_tags(df: DataFrame, table: TemplateTable, mode: str, guid: str = "Messa
     return df.select(*cells, warnings.alias("warnings"), flag.alias("corrupt"))
 
 
+# --- fixed values: value representations that hold numbers ---------------------
+NUMBER_VRS = ("DS", "IS", "FL", "FD", "SL", "SS", "UL", "US")
+_ITEMS = "array<map<string,struct<vr:string,val:string,Value:string>>>"
+
+
+def check_sequences(df: DataFrame, columns: list[str], mode: str = "null", guid: str = "MessageGuid",
+                    path: str = "RelativeFileArchiveURI") -> DataFrame:
+    """Sequence columns (JSON of items) in which every number is one.
+
+    One value that is no number makes the whole sequence unusable: it becomes
+    null with a warning (``null``), fails the job (``throw``) or marks the row
+    (``corrupt``), as :func:`cast_tags` does for plain columns.
+    """
+    if mode not in CAST_MODES:
+        raise ValueError(f"unknown mode {mode}")
+    where = F.concat(*[F.concat(F.lit(f" {label}="), F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+                       for label, c in ((guid, guid), ("file", path))])
+
+    def bad_entry(entry: Column) -> Column:
+        values = entry_values(F.struct(entry["vr"].alias("vr"), F.coalesce(entry["Value"], entry["val"]).alias("val")))
+        return F.coalesce(entry["vr"].isin(*NUMBER_VRS), F.lit(False)) & F.exists(
+            values, lambda v: v.try_cast("double").isNull() & ~is_blank(v))
+
+    cells, failed = {}, []
+    for name in columns:
+        items = F.from_json(F.col(name), _ITEMS)
+        wrong = F.coalesce(F.exists(items, lambda item: F.exists(F.map_values(item), bad_entry)), F.lit(False))
+        stop = F.raise_error(F.concat(F.lit(f"bad value in {name}"), where)).cast("string")
+        cells[name] = F.when(wrong, stop if mode == "throw" else F.lit(None).cast("string") if mode == "null" else F.col(name)).otherwise(F.col(name))
+        failed.append(F.when(wrong, F.concat(F.lit(name), where)))
+    warnings = F.array_compact(F.array(*failed))
+    return df.select(*[cells[c].alias(c) if c in cells else F.col(c) for c in df.columns], warnings.alias("warnings"),
+                     (F.size(warnings) > 0 if mode == "corrupt" else F.lit(False)).alias("corrupt"))
+
+
 def guard_size(df: DataFrame, limit: int = MAX_DOCUMENT_BYTES) -> DataFrame:
     """Add ``too_large``: whether the row as a document exceeds the limit."""
     return df.withColumn("too_large", F.octet_length(F.to_json(F.struct(*df.columns))) > limit)

@@ -18,8 +18,13 @@ DAY_LEVEL = r"20\d{2}[\\/]\d{2}[\\/]\d{2}([\\/]|$)"
 ACCESSION_LEVEL = r"20\d{2}[\\/]\d{2}[\\/]\d{2}[\\/][a-zA-Z0-9._-]+[\\/]$"
 
 
-def list_files(spark, root: str, pattern: str | None = None) -> DataFrame:
-    """File listing below ``root``: path, size and modification time only."""
+def list_files(spark, root: str | list[str], pattern: str | None = None) -> DataFrame:
+    """File listing below ``root``: path, size and modification time only.
+
+    Spark lists several roots (days, say) as a job on the executors once there are more
+    than ``spark.sql.sources.parallelPartitionDiscovery.threshold``, but the driver
+    holds the whole listing; from some ten million files on read an inventory table of the store instead.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

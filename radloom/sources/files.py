@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,7 +66,8 @@ def explode_archive(files: DataFrame, for_tag_reader: bool = False, with_content
                         if len(rows) >= 64:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
-                except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError) as problem:
+                except (zipfile.BadZipFile, tarfile.TarError, zlib.error, OSError, EOFError, RuntimeError, ValueError, KeyError) as problem:
+                    # Damaged, encrypted or of an unknown compression: one row, and the other archives go on.
                     rows.append((path, None, None, None, None, f"{type(problem).__name__}: {problem}"))
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)

@@ -91,6 +91,23 @@ def cast_null(t):
                       F.array_join("warnings", ";").alias("warnings"))
 
 
+@query("cast_corrupt", """SELECT o_orderkey, o_orderstatus = 'P' AS corrupt FROM orders""")
+def cast_corrupt(t):
+    rows = t.orders.select(
+        F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise(F.col("o_custkey").cast("string")).alias("n"),
+        F.col("o_orderkey").cast("string").alias(PATH))
+    return VA.cast_tags(rows, _CASTS, "corrupt").select(F.col(PATH).cast("long").alias("o_orderkey"), "corrupt")
+
+
+@query("cast_sequences", """SELECT o_orderkey, o_orderstatus <> 'P' AS kept, CASE WHEN o_orderstatus = 'P' THEN 'Codes file=' || o_orderkey ELSE '' END AS warnings FROM orders""")
+def cast_sequences(t):
+    """A number in a nested item that is none takes the whole sequence with it."""
+    value = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise(F.col("o_custkey").cast("string"))
+    items = F.concat(F.lit('[{"00180050":{"vr":"DS","val":"1.5"}},{"00180050":{"vr":"DS","Value":["2","'), value, F.lit('"]}}]'))
+    out = VA.check_sequences(t.orders.select(F.col("o_orderkey").cast("string").alias(PATH), items.alias("Codes")), ["Codes"])
+    return out.select(F.col(PATH).cast("long").alias("o_orderkey"), F.col("Codes").isNotNull().alias("kept"), F.array_join("warnings", ";").alias("warnings"))
+
+
 @query("validate_requests", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'ExtractionDirectory' END AS bad FROM orders""")
 def validate_requests(t):
     return VA.validate_requests(t.orders.select(
