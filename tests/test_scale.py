@@ -65,7 +65,7 @@ def test_archive_of_most_entries(big):
 
 def test_no_plan_pairs_rows_or_gathers_them(big):
     """No cross or nested-loop join anywhere; one task only for totals and offsets."""
-    totals = {"job_info", "apply_update_count", "update_audit", "chunk_ids", "rejected_files"}
+    totals = {"job_info", "apply_update_count", "update_audit", "chunk_ids", "rejected_files", "find_skip"}
     for name, query in workload.QUERIES.items():
         plan = query(big, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("CartesianProduct|NestedLoop|BatchEvalPython|ArrowEvalPython", plan), name
