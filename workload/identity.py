@@ -65,6 +65,15 @@ def swap_patient_id(t):
                           TG.tag_text(F.col("tags"), "00080020").alias("day"))
 
 
+@query("lookup_swapper", """SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN md5(CAST(c_custkey AS VARCHAR)) END AS replacement,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('No match found for ', chr(39), c_custkey, chr(39)) END AS fail_reason FROM customer""")
+def lookup_swapper(t):
+    """A swapper by its protocol, over a checked map."""
+    rows = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("id"))
+    mapping = rows.where(F.col("c_custkey") % 3 != 0).select(F.col("id").alias("swap"), F.md5("id").alias("replacement"))
+    return I.LookupSwapper(I.require_unique(mapping)).swap(rows, "id").drop("id")
+
+
 # --- de-identification -----------------------------------------------------------------
 
 SCRIPT = """<script>

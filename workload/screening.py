@@ -130,6 +130,20 @@ def verdict(t):
                          F.when(F.col("n_failures") > 0, "listed").otherwise(F.col("report")).alias("report"))
 
 
+@query("verdict_report", f"""WITH {_FAIL} SELECT resource, col AS problem_field, class, array_to_string(words, '|') AS words, value AS problem_value
+FROM parts JOIN documents ON doc_id = resource LEFT JOIN labels USING (doc_id) WHERE COALESCE(quality, 1) <> 0""")
+def verdict_report(t):
+    """What the JSON reports of the screened documents list, read back."""
+    poor = t.labels.where(F.col("quality") == 0).select("doc_id")
+    files = t.documents.join(poor, "doc_id", "left_anti").select(
+        F.col("doc_id").alias("resource"), "text", "lang", "source", F.lit(True).alias("present"))
+    judged = S.verdict(S.RuleClassifier(("text", "lang", "source"), tuple(RULES)).classify(files))
+    report = F.from_json("report", "array<struct<Parts:array<struct<Classification:string,Offset:int,Word:string>>,ProblemField:string,ProblemValue:string>>")
+    rows = judged.select("resource", F.explode(report).alias("r"))
+    return rows.select("resource", F.col("r.ProblemField").alias("problem_field"), F.element_at("r.Parts", 1)["Classification"].alias("class"),
+                       F.array_join(F.transform("r.Parts", lambda p: p["Word"]), "|").alias("words"), F.col("r.ProblemValue").alias("problem_value"))
+
+
 @query("reject_all_classifier", "SELECT doc_id AS resource, 'Person' AS class FROM documents")
 def reject_all_classifier(t):
     return S.reject_all(t.documents.select(F.col("doc_id").alias("resource"))).select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from radloom.functions import paths
+from radloom.functions import paths, text as TX
 from radloom.schemas import PATH, SOP
-from radloom.sources import cohort_csv, directories as D, documents, files as FS
+from radloom.session import ensure_checkpoint_dir
+from radloom.sources import cohort_csv, directories as D, documents, files as FS, sinks
 from workload import views as V
 from workload.registry import query
 
@@ -78,6 +81,32 @@ def find_operators(t):
         {"$and": [{"p_brand": "Brand#1"}, {"p_type": {"$ne": "LARGE"}}, {"p_name": {"$exists": true}}]}]}}""").select("p_partkey")
 
 
+@query("date_forms", """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CAST(epoch(date_trunc('second', ts)) AS BIGINT) % 86400 AS seconds,
+  CASE user_id % 4 WHEN 0 THEN k WHEN 1 THEN k * 7 WHEN 2 THEN k * 30 ELSE k * 365 END AS days, CAST(NULL AS DATE) IS NULL AS odd
+FROM (SELECT event_id, ts, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)""")
+def date_forms(t):
+    """Dates, times and ages in the forms of tags, back to values; text in no such form gives null."""
+    k, unit = F.get_json_object("props", "$.k").cast("int"), F.get(F.array(*map(F.lit, "DWMY")), (F.col("user_id") % 4).cast("int"))
+    rows = t.events.select("event_id", F.date_format("ts", "yyyyMMdd").alias("da"), F.date_format("ts", "HHmmss").alias("tm"),
+                           F.concat(F.format_string("%03d", k), unit).alias("age"))
+    odd = TX.da_to_date(F.concat(F.lit("x"), "da")).isNull() & TX.tm_to_seconds(F.concat(F.lit("9"), "tm")).isNull() & TX.age_in_days(F.lit("3Y")).isNull()
+    return rows.select("event_id", F.date_format(TX.da_to_date(F.col("da")), "yyyy-MM-dd").alias("day"), TX.tm_to_seconds(F.col("tm")).alias("seconds"),
+                       TX.age_in_days(F.col("age")).alias("days"), odd.alias("odd"))
+
+
+@query("store_images", """SELECT CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'CT' ELSE 'OTHER' END AS modality_group, COUNT(*) AS n, CAST(SUM(p_size) AS BIGINT) AS size
+FROM part GROUP BY 1""")
+def store_images(t):
+    """Images written to the document store by modality group and read back."""
+    spark = t.spark
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/images-{uuid.uuid4().hex}"
+    modality = F.when(F.col("p_type").isin("PROMO", "SMALL"), "CT").otherwise(F.lit("XX"))
+    if not sinks.write_images(t.part.select("p_partkey", "p_size", modality.alias("Modality")), path).isEmpty():
+        raise ValueError("there are parts over the size limit")
+    return spark.read.parquet(path).groupBy("modality_group").agg(F.count("*").alias("n"), F.sum("p_size").cast("long").alias("size"))
+
+
 @query("find_skip", "SELECT p_partkey, p_type FROM part WHERE p_type <> 'LARGE' ORDER BY p_partkey OFFSET 123")
 def find_skip(t):
     """All rows of a query but the first ones, in their order."""
