@@ -27,7 +27,7 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 PIECE = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]?[^{SPACE}]+|[{SPACE}]+")
 
 #: Pieces in a task's table before it starts anew.
-TABLE_PIECES = 200_000
+TABLE_PIECES = 500_000
 #: Texts that are split and encoded together, and handed back together.
 SLICE = 256
 
