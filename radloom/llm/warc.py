@@ -48,8 +48,9 @@ def deduplicated(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("digest"))
     large = F.octet_length("body") >= least
-    first = (rows.where(large).groupBy("digest").agg(F.max("key").alias("original"), F.count("*").alias("n"))
-             .where("n > 1").select(F.col("digest").alias("of"), "original"))
+    # Written first, so that Spark knows the size of this side when it plans how the pages meet it.
+    first = stored(rows.where(large).groupBy("digest").agg(F.max("key").alias("original"), F.count("*").alias("n"))
+                   .where("n > 1").select(F.col("digest").alias("of"), "original"), "originals")
     met = rows.join(join_side(first, "of"), F.col("digest") == F.col("of"), "left")
     same = F.col("original").isNull() | F.col("original").eqNullSafe(F.col("key"))
     return met.select("key", "url", "body", "digest", F.when(~same, F.col("original")).alias("original"))
