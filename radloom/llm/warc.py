@@ -56,8 +56,14 @@ def deduplicated(pages: DataFrame, key: str = "page_id", url: str = "url", paylo
     return met.select("key", "url", "body", "digest", F.when(~same, F.col("original")).alias("original"))
 
 
-def write_archives(captures: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Write the rows of :func:`deduplicated` as archives in a new folder of the cluster's file system."""
+def write_archives(captures: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", archive_bytes: int = 64 << 20) -> None:
+    """Write the rows of :func:`deduplicated` as archives in a new folder of the cluster's file system.
+
+    An archive holds as many captures as come to about ``archive_bytes`` at the
+    mean size of their bodies, since a reader takes a whole archive at a time.
+    """
+    mean = captures.agg(F.avg(F.octet_length("body"))).first()[0] or 0
+    records_per_file = max(1, int(archive_bytes / (mean + 2_000)))
     url = F.coalesce(F.regexp_replace("url", "[\\r\\n]", ""), F.lit("urn:absent"))
     own = lambda kind: _id(kind, F.col("key"), F.col("digest"))
     main = F.when(F.col("original").isNull(), own("response")).otherwise(own("revisit"))
@@ -102,7 +108,7 @@ def parse(content: bytes) -> Iterator[tuple]:
 
 
 def read_records(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
-    """The records of some kinds in a folder's archives.  A task holds one archive at a time, bounded by ``records_per_file``."""
+    """The records of some kinds in a folder's archives.  A task holds one archive at a time, bounded by ``archive_bytes``."""
     columns = [c.split()[0] for c in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

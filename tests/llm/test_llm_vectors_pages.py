@@ -123,7 +123,7 @@ def test_captures(spark):
 def test_archives_hold_whole_transactions(spark):
     pages = spark.createDataFrame(PAGES[:12], "page_id long, url string, html string, digest string")
     folder = shared_folder(spark, "warc-test")
-    warc.write_archives(warc.deduplicated(pages), folder, records_per_file=3)
+    warc.write_archives(warc.deduplicated(pages), folder, archive_bytes=60_000)
     rows = {r.page: r for r in warc.assemble(spark, folder).withColumn("page", warc.page_id()).collect()}
     assert sorted(rows) == list(range(12))
     for key, url, html, _ in PAGES[:12]:
