@@ -27,9 +27,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageOptions:
-    """``per_language``, ``words`` and ``grams`` bound the sample and the model."""
+    """``per_language``, ``languages`` (the most frequent ones), ``words`` and ``grams`` bound the sample and the model."""
 
     per_language: int = 1_000
+    languages: int = 200
     words: int = 50_000
     grams: int = 30_000
     longest: int = 5
@@ -61,9 +62,12 @@ def _sample(df: DataFrame, key: str, text: str, lang: str, options: LanguageOpti
     """Labelled rows whose uniform hash is below their language's share."""
     known = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    share = known.groupBy("lang").count().select(F.col("lang").alias("of"), (F.lit(float(options.per_language)) / F.col("count")).alias("share"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.languages).collect()
+    if not counts:
+        return known.select("text", "lang").limit(0)
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], options.per_language / r["count"])])
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit("language sample"), "key"), 11) / F.lit(float(1 << 53))
-    return known.join(join_side(share, "of"), F.col("lang") == F.col("of")).where(uniform < F.col("share")).select("text", "lang")
+    return known.where(uniform < F.try_element_at(shares, F.col("lang"))).select("text", "lang")
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", options: LanguageOptions | None = None) -> LanguageModel:
