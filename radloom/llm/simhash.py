@@ -165,7 +165,11 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **option
     Of several rows that have the component's smallest key (or, where all keys
     are null, of all its rows) one text stays, and of equal rows one.
     """
-    found = near_duplicates(df, key, text, **options)
+    return keep_one(df, near_duplicates(df, key, text, **options), key, text)
+
+
+def keep_one(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """:func:`one_of_each` for the components of ``found(key, text_hash, root)``."""
     kept = (found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("absent"), "key", "text_hash")).alias("m"))
             .select(F.col("m.key").alias("k"), F.col("m.text_hash").alias("h")))
     copies = found.groupBy("key", "text_hash").count()
