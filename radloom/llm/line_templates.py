@@ -8,7 +8,8 @@ otherwise.  A line that agrees with the constants in at least ``similarity`` of
 positions behind the leading tokens belongs to the leaf's template; a line
 outside it is its own template.
 
-A template met in at least ``min_docs`` documents recurs.  The document with the
+A template met in at least ``min_docs`` documents recurs, one of a long line on its
+own in ``long_docs`` where that is given.  The document with the
 smallest key keeps its lines, the others lose theirs, so every passage stays once.
 Built-in functions only; nothing is gathered per template but counts and minima.
 """
@@ -27,40 +28,55 @@ FIELD = "<*>"
 
 @dataclass(frozen=True)
 class TemplateRule:
-    """``min_tokens``: shorter lines are never dropped."""
+    """``min_tokens``: shorter lines are never dropped.
+
+    With ``long_docs``, lines of ``long_chars`` characters or more besides spaces and fields recur from
+    that many documents, and go however few tokens they have; in a line of one token only the digits are fields.
+    """
 
     min_docs: int = 3
     min_tokens: int = 2
     depth: int = 3
     dominance: float = 0.5
     similarity: float = 0.7
+    long_docs: int | None = None
+    long_chars: int = 100
 
 
-def _masked(line: Column) -> Column:
+def _masked(line: Column, rule: TemplateRule) -> Column:
     # The plain searches spare most lines the two replacements.
     odd = F.contains(line, F.lit("  "))
     for space in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(space))
     flat = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(flat)
+    fields = F.regexp_replace(flat, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
+    if rule.long_docs is not None:
+        fields = F.when(F.contains(flat, F.lit(" ")), fields).otherwise(F.regexp_replace(flat, "[0-9]+", FIELD))
+    return F.when(line.rlike("[0-9]"), fields).otherwise(flat)
+
+
+def _long(rule: TemplateRule) -> Column:
+    if rule.long_docs is None:
+        return F.lit(False)
+    return F.length(F.replace(F.replace("masked", F.lit(FIELD), F.lit("")), F.lit(" "), F.lit(""))) >= rule.long_chars
 
 
 def _lines(df: DataFrame, key: str, text: str, rule: TemplateRule) -> DataFrame:
-    """key, doc, pos, masked, n, template and leaf of every line long enough; ``doc`` tells texts of one key apart."""
+    """key, doc, pos, masked, n, long, template and leaf of every line long enough; ``doc`` tells texts of one key apart."""
     # The text is hashed before its lines are dealt out, once.
     hashed = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("doc"), F.col(text).alias("text"))
     lines = hashed.select("key", "doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # As outputs of generators the masked line and its length are computed once; a filter on them would else repeat the work.
-    masked = lines.select("key", "doc", "pos", F.explode(F.array(_masked(F.col("line")))).alias("masked"))
+    masked = lines.select("key", "doc", "pos", F.explode(F.array(_masked(F.col("line"), rule))).alias("masked"))
     counted = masked.select("*", F.explode(F.array(F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)).alias("n"))
-    return counted.where((F.col("masked") != "") & (F.col("n") >= rule.min_tokens)).withColumns({
+    return counted.withColumn("long", _long(rule)).where((F.col("masked") != "") & ((F.col("n") >= rule.min_tokens) | F.col("long"))).withColumns({
         "template": F.xxhash64("masked"), "leaf": F.xxhash64("n", F.substring_index("masked", " ", rule.depth))})
 
 
-def _documents_by(lines: DataFrame, group: str) -> DataFrame:
+def _documents_by(lines: DataFrame, *group: str) -> DataFrame:
     """Documents per group and the first of them; a document counts once."""
-    return (lines.groupBy(group, "key", "doc").agg(F.lit(1).alias("one"))
-            .groupBy(group).agg(F.count("*").alias("docs"), F.min(F.struct(F.col("key").isNull().alias("absent"), "key", "doc")).alias("first")))
+    return (lines.groupBy(*group, "key", "doc").agg(F.lit(1).alias("one"))
+            .groupBy(*group).agg(F.count("*").alias("docs"), F.min(F.struct(F.col("key").isNull().alias("absent"), "key", "doc")).alias("first")))
 
 
 def _general(df: DataFrame, lines: DataFrame, key: str, text: str, rule: TemplateRule) -> DataFrame:
@@ -86,9 +102,10 @@ def _general(df: DataFrame, lines: DataFrame, key: str, text: str, rule: Templat
 def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", rule: TemplateRule | None = None) -> DataFrame:
     """key, doc (hash of the text) and ``drops``, the sorted 0-based places of the lines that go; documents that lose none are absent."""
     rule = rule or TemplateRule()
-    lines = stored(_lines(df, key, text, rule).select("key", "doc", "pos", "n", "template", "leaf"))
+    lines = stored(_lines(df, key, text, rule).select("key", "doc", "pos", "n", "long", "template", "leaf"))
     general = stored(_general(df, lines, key, text, rule))
-    exact = _documents_by(lines, "template").where(F.col("docs") >= rule.min_docs).select("template", "first")
+    enough = F.when(F.col("long"), rule.min_docs if rule.long_docs is None else rule.long_docs).otherwise(rule.min_docs)
+    exact = _documents_by(lines, "template", "long").where(F.col("docs") >= enough).select("template", "first")
     in_leaf = lines.select("key", "doc", F.col("template").alias("t")).join(join_side(general, "template"), F.col("t") == F.col("template"))
     leaves = _documents_by(in_leaf, "leaf").where(F.col("docs") >= rule.min_docs).select(F.col("leaf").alias("of"), "first")
     by_leaf = general.join(join_side(leaves, "of"), F.col("leaf") == F.col("of")).select("template", "first", F.lit(0).alias("order"))
