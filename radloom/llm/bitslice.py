@@ -12,6 +12,8 @@ surely above those that do not, so either they are all taken, or the choice
 narrows to them.  What is left at the end ties exactly, and goes by the smaller id.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,8 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 from radloom.llm.blocks import best_in_blocks, matrix
 from radloom.llm.common import stored
 
-#: Scaled components beyond this cannot be summed in 64 bits over a wide vector.
-LARGEST = 2 ** 26
+
+def largest(width: int) -> float:
+    """Scaled components below this are summed in 64 bits over ``width`` of them."""
+    return float(2 ** ((62 - max(1, width - 1).bit_length()) // 2))
 
 
 class BitSlices:
@@ -85,16 +89,24 @@ class BitSlices:
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """id and vec, floor(scale * x) of each component, of the vectors that take part.
+    """id and vec, scale * x of each component before it is floored, of the vectors that take part.
 
-    Null vectors, those with null or non-finite components and those with a scaled
-    component of 2**26 or more take no part, nor do rows without an id; an
-    empty vector is all zeros.
+    Null vectors and those with null or non-finite components take no part, nor do
+    rows without an id; an empty vector is all zeros.
     """
-    scaled = F.transform(F.col(vector).cast("array<double>"), lambda x: x * scale)
-    rows = df.select(F.col(key).alias("id"), scaled.alias("scaled")).where(F.col("id").isNotNull() & F.col("scaled").isNotNull())
-    inside = F.forall("scaled", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(LARGEST)))
-    return rows.where(inside).select("id", F.transform("scaled", lambda x: F.floor(x)).alias("vec"))
+    given = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("given")).where(F.col("id").isNotNull() & F.col("given").isNotNull())
+    finite = F.forall("given", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return given.where(finite).select("id", F.transform("given", lambda x: x * scale).alias("vec"))
+
+
+def whole(vector) -> list[int]:
+    return [math.floor(x) for x in vector]
+
+
+def best_wide(ids: np.ndarray, rows: list[list[int]], query: int, weights: list[int], k: int) -> tuple[list[int], list[int]]:
+    """Ids and scores of the ``k`` best of ``rows`` in Python integers; ties go to the smaller id."""
+    scored = sorted((-sum(a * b for a, b in zip(row, weights)), i) for i, row in zip(ids.tolist(), rows) if i != query)[:k]
+    return [i for _, i in scored], [-s for s, _ in scored]
 
 
 def highest(df: DataFrame, every: int, k: int, scale: int = 256, key: str = "vec_id", vector: str = "embedding",
@@ -103,19 +115,35 @@ def highest(df: DataFrame, every: int, k: int, scale: int = 256, key: str = "vec
 
     Exact.  A query's own id is no candidate of it; a repeated id is several
     candidates.  Shorter vectors count as padded with zeros; an empty table gives an empty result.
+    Rows with a component too large for sums in 64 bits are scored in Python integers;
+    a score that is no 64-bit number is an error, as in the SQL.
     """
     rows = stored(quantised(df, key, vector, scale))
     width = max(1, rows.agg(F.max(F.size("vec"))).first()[0] or 1)
+    bound = largest(width)
 
     def find(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        values, ids = matrix(index["vec"], width, np.int64), index["id"].to_numpy()
-        search = BitSlices(values)
-        bits = np.zeros(len(search.everyone) * 64, dtype=bool)
-        out = []
-        for query, weights in zip(asked["id"], matrix(asked["vec"], width, np.int64)):
-            bits[:len(ids)] = ids != query
-            best = search.top(search.score(weights), np.packbits(bits, bitorder="little").view(np.uint64), k)
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": values[best] @ weights}))
+        wide = lambda vectors: np.array([len(v) > 0 and bool(np.abs(v).max() >= bound) for v in vectors], dtype=bool)
+        over, asked_over = wide(index["vec"]), wide(asked["vec"])
+        all_ids = index["id"].to_numpy()
+        ids, out = all_ids[~over], []
+        large = [whole(v) for v in index["vec"][over]]
+        small = [whole(v) for v in index["vec"][~over]] if asked_over.any() else []
+        values = matrix([np.floor(v).astype(np.int64) for v in index["vec"][~over]], width, np.int64)
+        search = BitSlices(values) if len(ids) else None
+        bits = np.zeros(len(search.everyone) * 64 if search else 0, dtype=bool)
+        for query, vector, asks_wide in zip(asked["id"], asked["vec"], asked_over):
+            exact = whole(vector)
+            found, scores = best_wide(all_ids[over], large, query, exact, k)
+            if asks_wide:
+                more = best_wide(ids, small, query, exact, k)
+                found, scores = found + more[0], scores + more[1]
+            elif search:
+                weights = matrix([exact], width, np.int64)[0]
+                bits[:len(ids)] = ids != query
+                best = search.top(search.score(weights), np.packbits(bits, bitorder="little").view(np.uint64), k)
+                found, scores = found + ids[best].tolist(), scores + (values[best] @ weights).tolist()
+            out.append(pd.DataFrame({"query_id": query, "vec_id": np.array(found, dtype=np.int64), "score": np.array(scores, dtype=np.int64)}))
         return pd.concat(out)
 
     asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
