@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.operators.load import modality_group
+from radloom.operators.load import Merge, modality_group
 from radloom.operators.validate import guard_size
 
 
@@ -88,17 +88,26 @@ def read_buckets(spark, path: str, schema, only: set[int] | None = None) -> Data
 
 
 def merge_buckets(stage: DataFrame, path: str, schema, key: str, buckets: int,
-                  merge: Callable[[DataFrame, DataFrame], DataFrame]) -> set[int]:
+                  merge: Callable[[DataFrame, DataFrame], Merge | DataFrame]) -> set[int]:
     """Bring staged rows into a bucketed table; only buckets that hold staged keys are read and written.
 
-    ``merge(live, stage)`` returns the new live rows of those buckets, for
-    instance ``load.merge_live(...).live``.  Returns the buckets; there are at most ``buckets`` of them.
+    ``merge(live, stage)`` returns a whole ``load.merge_live(...)``, or only the new live rows of
+    those buckets.  Rows without a key and those a whole merge refuses are written first, as a version
+    of the table ``refused`` below ``path``; what a merge that returns only live rows refuses is not known here.
+    Returns the buckets; there are at most ``buckets`` of them.
     """
     spark = stage.sparkSession
     keyed = stage.where(F.col(key).isNotNull())
     touched = {r[0] for r in _in_buckets(keyed, key, buckets).select(_BUCKET).distinct().collect()}
+    refused, live = stage.where(F.col(key).isNull()), None
     if touched:
-        write_buckets(merge(read_buckets(spark, path, schema, touched), keyed), path, key, buckets)
+        live = merge(read_buckets(spark, path, schema, touched), keyed)
+        if isinstance(live, Merge):
+            refused, live = refused.unionByName(live.refused, allowMissingColumns=True), live.live
+    if not refused.isEmpty():
+        write_version(refused, f"{path}/refused")
+    if live is not None:
+        write_buckets(live, path, key, buckets)
     return touched
 
 
