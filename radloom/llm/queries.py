@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import ann, bitslice, bpe, language, line_templates, mixing, secrets, sharding, simhash, warc
+from radloom.llm import ann, bitslice, bpe, chat, language, line_templates, mixing, secrets, sharding, simhash, warc
 from radloom.llm.common import shared_folder, stored
 from radloom.session import tune
 
@@ -190,3 +190,12 @@ def secret_entropy(docs: DataFrame) -> DataFrame:
     return found.select(
         "row.doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op11_chat_round_trip", "conversations")
+def chat_round_trip(conversations: DataFrame) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    added = conversations.sparkSession.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_turns(conversations.select("conv_id", "turn", "role", "text").union(added))
+    return chat.read_back(parts).withColumnRenamed("conversation", "conv_id")
