@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import ann, bitslice, bpe, chat, language, line_templates, mixing, secrets, sharding, simhash, warc
+from radloom.llm import alignment, ann, bitslice, bpe, chat, language, line_templates, mixing, secrets, sharding, simhash, warc
 from radloom.llm.common import shared_folder, stored
 from radloom.session import tune
 
@@ -199,3 +199,11 @@ def chat_round_trip(conversations: DataFrame) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     parts = chat.format_turns(conversations.select("conv_id", "turn", "role", "text").union(added))
     return chat.read_back(parts).withColumnRenamed("conversation", "conv_id")
+
+
+@query("op13_tokenizer_alignment", "documents")
+def tokenizer_alignment(docs: DataFrame) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    found = alignment.align_corpus(docs.select("doc_id", "text"), bpe.load(public_tokenizers.path("byte_bpe_50k.json")), model)
+    return found.withColumnRenamed("key", "doc_id").drop("groups")
