@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from radloom.llm import alignment, ann, bitslice, bpe, chat, language, line_templates, mixing, secrets, sharding, simhash, warc
+from radloom.llm import alignment, ann, bitslice, bpe, chat, collocations, language, line_templates, mixing, secrets, sharding, simhash, warc
 from radloom.llm.common import shared_folder, stored
 from radloom.session import tune
 
@@ -201,6 +201,39 @@ def chat_round_trip(conversations: DataFrame) -> DataFrame:
     return chat.read_back(parts).withColumnRenamed("conversation", "conv_id")
 
 
+OP12_SQL = """
+with texts as (
+  select coalesce(lang, 'und') as lang, row_number() over () as doc,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents where text is not null),
+pieces as (select lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') as words from texts),
+places as (select lang, words, unnest(range(1, len(words) + 1)) as i from pieces where len(words) > 0),
+grams as (
+  select lang, words[i:i] as phrase from places
+  union all select lang, words[i:i+1] from places where i + 1 <= len(words)
+  union all select lang, words[i:i+2] from places where i + 2 <= len(words)),
+f as (select lang, phrase, len(phrase) as size, count(*)::bigint as a from grams group by lang, phrase),
+totals as (select lang, sum(a)::bigint as n from f where size = 1 group by lang),
+candidates as (select * from f where size > 1 and a >= 10),
+cuts as (select lang, phrase, size, a, unnest(range(1, size)) as k from candidates),
+scored as (
+  select c.*, l.a as l, r.a as r, (1000000::hugeint * c.a * c.a // (l.a::hugeint * r.a))::bigint as score
+  from cuts c join f l on l.lang = c.lang and l.phrase = c.phrase[1:c.k] join f r on r.lang = c.lang and r.phrase = c.phrase[c.k+1:]),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+covered as (
+  select distinct b.lang, b.phrase from candidates b join candidates t
+    on b.lang = t.lang and b.size = 2 and t.size = 3 and b.phrase in (t.phrase[1:2], t.phrase[2:3]) and 100 * t.a >= 50 * b.a),
+kept as (select lang, array_to_string(phrase, ' ') as phrase, a, l, r, score from best anti join covered using (lang, phrase)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", "documents", OP12_SQL)
+def phrase_collocations(docs: DataFrame) -> DataFrame:
+    return collocations.collocations(docs, least=10, longest=3, covered=0.5, first=2000)
+
+
 @query("op13_tokenizer_alignment", "documents")
 def tokenizer_alignment(docs: DataFrame) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
