@@ -9,29 +9,116 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 TAG_MAP = "map<string,struct<vr:string,val:string,Value:string>>"
+TAG_ITEMS = f"array<{TAG_MAP}>"
 # --- fixed values -------------------------------------------------------------
 PATIENT_ID = "00100020"
 PIXEL_DATA = "7FE00010"
 BULK_VRS = ("OB", "OW", "OD", "OF", "OL", "OV")
+NAME_GROUPS = ("Alphabetic", "Ideographic", "Phonetic")
+
+# A character that is none, put before a string's leading "[" so that lists alone start with one once parsed.
+_MARK = "\ufdd0"
+
+
+def _may_quote_bracket(json: Column) -> Column:
+    """Whether some string of a JSON text may start with ``[``."""
+    return json.contains('"[') | json.contains('"\\u005')
+
+
+def _marked(json: Column) -> Column:
+    # A quote before a bracket opens a string, or is an escaped one inside a string; marks there go with the others.
+    return F.regexp_replace(json, r'"(\[|\\u005[bB])', f'"{_MARK}$1')
+
+
+def _unmarked(text: Column) -> Column:
+    return F.translate(text, _MARK, "")
+
+
+def _may_be_lower(json: Column) -> Column:
+    """Whether some key of a JSON text may be a tag with lower-case digits."""
+    return json.rlike(r'"[0-9A-F]{0,7}[a-f][0-9A-Fa-f]{0,7}"\s*:')
+
+
+def _name(value: Column) -> Column:
+    """The component groups of a person name object joined by ``=``; null if it is none."""
+    groups = F.from_json(value, ", ".join(f"{g} string" for g in NAME_GROUPS))
+    text = F.rtrim(F.concat_ws("=", *[F.coalesce(groups[g], F.lit("")) for g in NAME_GROUPS]), F.lit("="))
+    return F.when(F.coalesce(*[groups[g] for g in NAME_GROUPS]).isNotNull(), text)
+
+
+def _plain_entry(vr: Column, text: Column, clean) -> Column:
+    """``struct<vr, val>`` of an element whose value was read as text that starts with ``[`` only if it is a list; ``clean`` takes marks away.
+
+    Lists become their values joined by ``\\``, person name objects their component groups joined by ``=``; any other text stays as it
+    is.  The items of a sequence (VR ``SQ``, and nothing else makes one) keep their JSON.  Objects under another
+    or no VR keep their JSON too, with a null VR: no representation is known for them.
+    """
+    is_sequence, is_name = vr.eqNullSafe("SQ"), vr.eqNullSafe("PN")
+    listed = text.startswith("[") & ~is_sequence
+    objects = listed & ~is_name & text.rlike(r"^\[\s*\{")
+    name = lambda v: F.when(is_name & v.startswith("{"), F.coalesce(_name(v), v)).otherwise(v)
+    joined = F.array_join(F.transform(F.from_json(text, "array<string>"), name), "\\")
+    plain = F.when(objects | is_sequence, text).when(listed, joined).otherwise(name(text))
+    return F.struct(F.when(~F.coalesce(objects, F.lit(False)), vr).alias("vr"), clean(plain).alias("val"))
+
+
+def _entries(tags: Column, clean) -> Column:
+    return F.transform_values(tags, lambda _, e: _plain_entry(e["vr"], F.coalesce(e["Value"], e["val"]), clean))
+
+
+def upper_keys(tags: Column) -> Column:
+    """The map with keys in upper case; of two spellings of a tag the upper-case one stays, else the first."""
+    def merged(m: Column) -> Column:
+        entries = F.transform(F.map_entries(m), lambda e: F.struct(F.upper(e["key"]).alias("key"), e["value"].alias("value"), (e["key"] != F.upper(e["key"])).alias("lower")))
+        ranked = F.concat(F.filter(entries, lambda e: ~e["lower"]), F.filter(entries, lambda e: e["lower"]))
+        keys = F.transform(ranked, lambda e: e["key"])
+        firsts = F.filter(ranked, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+        return F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["key"], e["value"])))
+
+    return F.transform(F.array(tags), lambda m: F.when(F.exists(F.map_keys(m), lambda k: k != F.upper(k)), merged(m)).otherwise(m))[0]
+
+
+def _as_it_is(text: Column) -> Column:
+    return text
 
 
 def parse_tags(json: Column) -> Column:
     """Tag JSON to ``map<tag, struct<vr, val>>``; null if it is not an object.
 
-    A value that is an array or object keeps its JSON text.  Only texts that can
-    hold the second dialect pay for merging the two spellings.
+    Values are plain text, those of a list joined by ``\\`` and person name objects as their component groups; a text that starts with ``[`` is one
+    nevertheless.  Sequences (VR ``SQ``) keep the JSON of their items; objects of any other VR, or none, have a null VR and their JSON.  Tags are in upper case.
     """
-    both = F.transform_values(F.from_json(json, TAG_MAP), lambda _, e: F.struct(
-        e["vr"].alias("vr"), F.coalesce(e["Value"], e["val"]).alias("val")))
-    return F.when(json.contains('"Value"'), both).otherwise(F.from_json(json, "map<string,struct<vr:string,val:string>>"))
+    lists = json.contains("[") | json.contains('"Value"') | json.contains(NAME_GROUPS[0])
+    read = F.when(_may_quote_bracket(json), _entries(F.from_json(_marked(json), TAG_MAP), _unmarked)).when(
+        lists, _entries(F.from_json(json, TAG_MAP), _as_it_is)).otherwise(F.from_json(json, "map<string,struct<vr:string,val:string>>"))
+    return F.when(_may_be_lower(json), upper_keys(read)).otherwise(read)
+
+
+def parse_items(json: Column) -> Column:
+    """The items of a sequence, each as :func:`parse_tags` gives it."""
+    def items(text: Column, clean) -> Column:
+        return F.transform(F.from_json(text, TAG_ITEMS), lambda item: _entries(item, clean))
+
+    read = F.when(_may_quote_bracket(json), items(_marked(json), _unmarked)).otherwise(items(json, _as_it_is))
+    return F.when(_may_be_lower(json), F.transform(read, upper_keys)).otherwise(read)
 
 
 def parse_some(json: Column, tags: list[str]) -> Column:
-    """A struct with only the named tags, each ``struct<vr, val, Value>``.
+    """A struct of ``struct<vr, val>`` with only the named tags, as :func:`parse_tags` reads them.
 
-    The parser skips every other tag, so wide sets cost little.
+    The parser skips every other tag, so wide sets cost little.  Where a set spells a tag in lower case, all of it is read.
     """
-    return F.from_json(json, ", ".join(f"`{t}` struct<vr:string,val:string,Value:string>" for t in tags))
+    schema = ", ".join(f"`{t}` struct<vr:string,val:string,Value:string>" for t in tags)
+    quoted = _may_quote_bracket(json)
+
+    def one(read: Column, tag: str) -> Column:
+        entry = read[tag]
+        return F.when(entry.isNotNull(), _plain_entry(entry["vr"], F.coalesce(entry["Value"], entry["val"]), _unmarked)).alias(tag)
+
+    few = F.transform(F.array(F.from_json(F.when(quoted, _marked(json)).otherwise(json), schema)), lambda read: F.struct(*[one(read, t) for t in tags]))[0]
+    if all(t == t.lower() for t in tags):
+        return few
+    return F.when(_may_be_lower(json), F.transform(F.array(parse_tags(json)), lambda m: F.struct(*[F.try_element_at(m, F.lit(t)).alias(t) for t in tags]))[0]).otherwise(few)
 
 
 def tags_to_json(tags: Column) -> Column:
@@ -39,22 +126,13 @@ def tags_to_json(tags: Column) -> Column:
 
 
 def entry_values(entry: Column) -> Column:
-    """All values of one tag entry: JSON arrays and ``\\``-joined text alike."""
-    text = entry["val"]
-    return F.when(text.startswith("[") & ~entry["vr"].eqNullSafe("SQ"), F.from_json(text, "array<string>")) \
-            .otherwise(F.split(text, r"\\"))
-
-
-def joined_text(vr: Column, text: Column) -> Column:
-    """Value text with its values joined by ``\\``; sequences stay JSON."""
-    is_array = text.startswith("[") & ~vr.eqNullSafe("SQ")
-    return F.when(is_array, F.array_join(F.from_json(text, "array<string>"), "\\")).otherwise(text)
+    """All values of one parsed tag entry."""
+    return F.split(entry["val"], r"\\")
 
 
 def tag_text(tags: Column, tag: str) -> Column:
     """Values of a tag joined by ``\\``; null when absent or empty."""
-    entry = F.try_element_at(tags, F.lit(tag))
-    return joined_text(entry["vr"], entry["val"])
+    return F.try_element_at(tags, F.lit(tag))["val"]
 
 
 def variant_value(variant: Column, *tags: str, as_type: str = "string") -> Column:

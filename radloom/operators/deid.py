@@ -12,12 +12,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.functions.tags import joined_text
+from radloom.functions.tags import parse_items, upper_keys
 from radloom.template import TAG_OF_KEYWORD, require_tags
 
 # How deep sequences are rewritten; deeper ones are removed.
 MAX_NESTING = 3
-_ITEMS = "array<map<string,struct<vr:string,val:string,Value:string>>>"
 
 _CALL = re.compile(r"@(\w+)\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 MAX_DATE_SHIFT = 3650
@@ -95,7 +94,7 @@ class _Context:
         if name.strip() == "this":
             return this
         entry = F.try_element_at(self.tags, F.lit(require_tags([name.strip()], self.tags_of)[name.strip()]))
-        return F.coalesce(joined_text(entry["vr"], entry["val"]), F.lit(""))
+        return F.coalesce(entry["val"], F.lit(""))
 
     def instant(self) -> Column:
         if self.now is None:
@@ -200,20 +199,30 @@ def _kept(tag: Column, script: Script) -> Column:
 
 def deidentify(df: DataFrame, script: Script, salt: str, tags: str = "tags", now: Column | None = None,
                tags_of: dict[str, str] = TAG_OF_KEYWORD) -> DataFrame:
-    """Rewrite ``map<tag, struct<vr, val>>`` under a script.
+    """Rewrite ``map<tag, struct<vr, val>>``, as :func:`radloom.functions.tags.parse_tags` reads it, under a script.
 
-    Both dialects give the same result: values are brought to one text, their
-    parts joined by ``\\``, before any action, and hashes and dates go value by value.  A sequence that the script
+    Hashes and dates go value by value.  A sequence that the script
     keeps has the same script applied to each of its items, where references to
     other elements mean those of the whole tag set; sequences nested deeper than
-    ``MAX_NESTING`` are removed.
+    ``MAX_NESTING`` are removed.  Without a VR, items that are
+    tag sets make a sequence; other objects without a known VR are removed.
     """
     ctx = _Context(F.col(tags), script, salt, now, tags_of)
     return df.withColumn(tags, _rewritten(F.col(tags), script, ctx, MAX_NESTING))
 
 
+_TAG_SETS = r'^\s*\[\s*\{\s*"[0-9A-Fa-f]{8}"\s*:\s*\{'
+
+
 def _is_sequence(entry: Column) -> Column:
-    return F.coalesce(entry["vr"] == "SQ", F.lit(False)) | F.coalesce(entry["val"].rlike(r"^\s*\[\s*\{"), F.lit(False))
+    """By the VR; without one, by items that are tag sets."""
+    return entry["vr"].eqNullSafe("SQ") | (entry["vr"].isNull() & F.coalesce(entry["val"].rlike(_TAG_SETS), F.lit(False)))
+
+
+def _is_unknown(entry: Column) -> Column:
+    """Objects of no known representation, which no action could reach into."""
+    objects = entry["val"].rlike(r'^\s*(\[\s*)*\{\s*["}]') & ~entry["val"].rlike(_TAG_SETS)
+    return entry["vr"].isNull() & F.coalesce(objects, F.lit(False))
 
 
 def _rewritten(source: Column, script: Script, ctx: _Context, depth: int) -> Column:
@@ -223,12 +232,10 @@ def _rewritten(source: Column, script: Script, ctx: _Context, depth: int) -> Col
             by_action.setdefault(action, []).append(tag)
 
     def nested(entry: Column) -> Column:
-        items = F.transform(F.from_json(entry["val"], _ITEMS), lambda item: _rewritten(F.transform_values(
-            item, lambda _, e: F.struct(e["vr"].alias("vr"), F.coalesce(e["Value"], e["val"]).alias("val"))), script, ctx, depth - 1))
-        return F.to_json(items)
+        return F.to_json(F.transform(parse_items(entry["val"]), lambda item: _rewritten(item, script, ctx, depth - 1)))
 
     def rewritten(tag: Column, entry: Column) -> Column:
-        plain = joined_text(entry["vr"], entry["val"])
+        plain = entry["val"]
         this = F.coalesce(plain, F.lit(""))
         value = F
         for action, tags_with in by_action.items():
@@ -239,7 +246,10 @@ def _rewritten(source: Column, script: Script, ctx: _Context, depth: int) -> Col
         new = value.otherwise(plain) if by_action or depth else plain
         return F.struct(entry["vr"].alias("vr"), new.alias("val"))
 
-    kept = F.map_filter(source, lambda tag, entry: _kept(tag, script) if depth else _kept(tag, script) & ~_is_sequence(entry))
+    # Maps that were not read by parse_tags may hold lower-case tags.
+    source = upper_keys(source) if depth == MAX_NESTING else source
+    gone = lambda entry: _is_unknown(entry) if depth else _is_unknown(entry) | _is_sequence(entry)
+    kept = F.map_filter(source, lambda tag, entry: _kept(tag, script) & ~gone(entry))
     kept = F.transform_values(kept, rewritten)
     if any(a.startswith("@if") for a in by_action):
         conditional = [t for a, ts in by_action.items() if a.startswith("@if") for t in ts]

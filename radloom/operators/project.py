@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radloom.functions.tags import joined_text, parse_some, tag_text
+from radloom.functions.tags import parse_items, parse_some, tag_text
 from radloom.schemas import PATH
 from radloom.template import TAG_OF_KEYWORD, TemplateTable, require_tags
 
@@ -37,9 +37,7 @@ def flatten(df: DataFrame, tables: list[TemplateTable], json: str = "DicomDatase
         read = {n: tag_text(F.col(tags), tag) for n, tag in wanted.items()}
     else:
         df = df.withColumn("_tags", parse_some(F.col(json), list(dict.fromkeys(wanted.values()))))
-        entry = lambda tag, part: F.col(f"_tags.`{tag}`.{part}")
-        read = {n: joined_text(entry(tag, "vr"), F.coalesce(entry(tag, "Value"), entry(tag, "val")))
-                for n, tag in wanted.items()}
+        read = {n: F.col(f"_tags.`{tag}`.val") for n, tag in wanted.items()}
     out = [given.pop(n).alias(n) if n in given else read.get(n, F.lit(None).cast("string")).alias(n) for n in names]
     return df.select(*out, *[c.alias(n) for n, c in given.items()])
 
@@ -66,17 +64,12 @@ def load_elevations(xml: str) -> list[Elevation]:
     return rules
 
 
-_ITEM = "array<map<string,struct<vr:string,val:string,Value:string>>>"
-
-
 def _leaves(tags: Column, steps: tuple[str, ...], tags_of: dict[str, str]) -> Column:
     """All values at a path of tags, through every item of each sequence."""
     entry = lambda m, name: F.try_element_at(m, F.lit(require_tags([name], tags_of)[name]))
     maps = F.array(tags)
     for name in steps[:-1]:
-        inner = F.transform(maps, lambda m: F.from_json(F.coalesce(entry(m, name)["val"], F.lit("[]")), _ITEM))
-        maps = F.transform(F.flatten(inner), lambda item: F.transform_values(
-            item, lambda _, e: F.struct(e["vr"].alias("vr"), F.coalesce(e["Value"], e["val"]).alias("val"))))
+        maps = F.flatten(F.transform(maps, lambda m: parse_items(F.coalesce(entry(m, name)["val"], F.lit("[]")))))
     return F.array_compact(F.transform(maps, lambda m: entry(m, steps[-1])["val"]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions import paths
 from radloom.functions.joins import join_side, unique_side
-from radloom.functions.tags import entry_values
+from radloom.functions.tags import entry_values, parse_items
 from radloom.functions.text import blank_to_null, is_blank
 from radloom.schemas import (EXTRACTION_KEYS, FAILURE_REPORT, MAX_DOCUMENT_BYTES, OPERATORS, SERIES, SOP, STUDY)
 from radloom.template import TemplateTable
@@ -90,7 +90,6 @@ def cast_tags(df: DataFrame, table: TemplateTable, mode: str, guid: str = "Messa
 
 # --- fixed values: value representations that hold numbers ---------------------
 NUMBER_VRS = ("DS", "IS", "FL", "FD", "SL", "SS", "UL", "US")
-_ITEMS = "array<map<string,struct<vr:string,val:string,Value:string>>>"
 
 
 def check_sequences(df: DataFrame, columns: list[str], mode: str = "null", guid: str = "MessageGuid",
@@ -107,13 +106,12 @@ def check_sequences(df: DataFrame, columns: list[str], mode: str = "null", guid:
                        for label, c in ((guid, guid), ("file", path))])
 
     def bad_entry(entry: Column) -> Column:
-        values = entry_values(F.struct(entry["vr"].alias("vr"), F.coalesce(entry["Value"], entry["val"]).alias("val")))
         return F.coalesce(entry["vr"].isin(*NUMBER_VRS), F.lit(False)) & F.exists(
-            values, lambda v: v.try_cast("double").isNull() & ~is_blank(v))
+            entry_values(entry), lambda v: v.try_cast("double").isNull() & ~is_blank(v))
 
     cells, failed = {}, []
     for name in columns:
-        items = F.from_json(F.col(name), _ITEMS)
+        items = parse_items(F.col(name))
         wrong = F.coalesce(F.exists(items, lambda item: F.exists(F.map_values(item), bad_entry)), F.lit(False))
         stop = F.raise_error(F.concat(F.lit(f"bad value in {name}"), where)).cast("string")
         cells[name] = F.when(wrong, stop if mode == "throw" else F.lit(None).cast("string") if mode == "null" else F.col(name)).otherwise(F.col(name))

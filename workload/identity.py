@@ -150,6 +150,31 @@ def deid_nested(t):
         F.when(items.isNotNull(), F.array_join(F.array_sort(F.map_keys(items[0])), ",")).alias("inner_tags"))
 
 
+@query("deid_names", """SELECT s_suppkey, concat('Doe^', s_name) AS person, concat('Doe^', s_name) AS inner_person,
+  CASE s_suppkey % 4 WHEN 0 THEN concat('[', s_name) WHEN 1 THEN concat('[{see ', s_name, '} ok]') WHEN 2 THEN concat('["', s_name, '"]')
+    ELSE concat('[a', chr(92), s_name) END AS place, '00081030,00089215,00100010' AS tags, '00081030,00100010' AS inner_tags FROM supplier""")
+def deid_names(t):
+    """Kept names and kept texts that look like lists, outside and inside of a sequence, in both dialects; private elements go however they are spelled."""
+    name, second = F.col("s_name"), F.col("s_suppkey") % 2 == 0
+    place = (F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("["), name)).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("[{see "), name, F.lit("} ok]")))
+             .when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit('["'), name, F.lit('"]'))).otherwise(F.concat(F.lit("[a\\"), name)))
+    quoted = F.regexp_replace(F.to_json(F.struct(place.alias("x"))), r'^\{"x":(.*)\}$', "$1")
+    person = F.concat(F.lit('{"Alphabetic":"Doe^'), name, F.lit('"}'))
+    value = lambda plain: F.when(second, F.concat(F.lit('"Value":['), plain, F.lit("]}"))).otherwise(F.concat(F.lit('"val":'), plain, F.lit("}")))
+    elements = F.concat(F.lit('"00100010":{"vr":"PN",'), value(person), F.lit(',"00081030":{"vr":"LO",'), value(quoted),
+                        F.lit(',"000b1001":{"vr":"LO","val":"secret"},"000B1001":{"vr":"LO","val":"secret"}'))
+    item = F.concat(F.lit(',"00089215":{"vr":"SQ",'), F.when(second, F.lit('"Value":[{')).otherwise('"val":[{'), elements, F.lit("}]}"))
+    rows = t.supplier.select("s_suppkey", TG.parse_tags(F.concat(F.lit("{"), elements, item, F.lit("}"))).alias("tags"))
+    script = D.load_script("<script>" + "".join(f'<e en="T" t="{tag}">@keep()</e>' for tag in ("00100010", "00081030", "00089215"))
+                           + '<r en="T" t="privategroups"/></script>')
+    items = TG.parse_items(_tag("00089215", "x"))
+    listed = lambda tags: F.array_join(F.array_sort(F.map_keys(tags)), ",")
+    return D.deidentify(rows, script, SALT).select(
+        "s_suppkey", _tag("00100010", "person"), items[0]["00100010"]["val"].alias("inner_person"),
+        F.when(_tag("00081030", "x") == items[0]["00081030"]["val"], _tag("00081030", "x")).alias("place"),
+        listed(F.col("tags")).alias("tags"), listed(items[0]).alias("inner_tags"))
+
+
 @query("deid_dates", f"""WITH {V.SQL_TAGSETS}
 SELECT SOPInstanceUID, strftime(CAST(l_shipdate AS DATE) - CAST(('0x' || substr({_SHA.format('StudyInstanceUID')}, 1, 8))::BIGINT % 3650 AS INTEGER), '%Y%m%d') AS day
 FROM tagsets""")
