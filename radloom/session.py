@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path below the folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that later reads see one fixed result."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -11,6 +11,8 @@ from radloom.operators.rejectors import (Blacklist, ColumnValues, ModalityRules,
 from radloom.operators.validate import ExtractionOptions
 from radloom.plans.extraction import plan_extraction
 from radloom.schemas import PATH, SERIES, SOP, STUDY, Catalogue
+from radloom.session import shared_folder
+from radloom.sources import lookup_index
 from workload import views as V
 from workload.registry import query
 
@@ -38,6 +40,19 @@ def cohort_match(t):
     return extraction(t).per_request.select("pos", "key_value", PATH, SERIES, SOP, "reason")
 
 
+@query("cohort_indexed", f"""WITH {V.SQL_MATCHED}
+SELECT pos, key_value, RelativeFileArchiveURI, SeriesInstanceUID, SOPInstanceUID, reason FROM request LEFT JOIN matched USING (key_value)""")
+def cohort_indexed(t):
+    """The same request over a stored catalogue of many files, of which only those are opened that can hold a requested study."""
+    folder = shared_folder(t.spark, "catalogue")
+    V.patient_files(t).repartitionByRange(32, KEY).write.parquet(f"{folder}/rows")
+    stored = t.spark.read.parquet(f"{folder}/rows")
+    lookup_index.add_files(t.spark, f"{folder}/index", stored.inputFiles(), stored.schema, [STUDY, SERIES], 8)
+    few = lookup_index.cut_down(stored, V.request(t), "key_value", f"{folder}/index", KEY)
+    plan = plan_extraction(V.request(t), ExtractionOptions(KEY), "CT", DIRECTORY, [Catalogue("CT_ImageTable", few)], V.chain(t))
+    return plan.per_request.select("pos", "key_value", PATH, SERIES, SOP, "reason")
+
+
 @query("rejection_reasons", f"""WITH {V.SQL_MATCHED}
 SELECT key_value, arg_min(reason, RelativeFileArchiveURI || ' ' || SOPInstanceUID) AS reason, COUNT(*) AS n
 FROM matched WHERE reason IS NOT NULL GROUP BY key_value, lower(reason)""")
