@@ -16,6 +16,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, functions as F
 
 from radloom.functions.joins import unique_side
+from radloom.operators.prefilter import Decider, by_number
 
 # --- fixed values: built-in detectors -----------------------------------------
 CHI = r"\b[0-3][0-9][0-1][0-9][0-9]{6}\b"
@@ -159,23 +160,60 @@ def _parts_of(value: Column, verdict_of) -> Column:
     return F.when(F.size(hits) > 0, F.flatten(F.transform(hits, lambda h: _parts(h["hit"], h["at"]))))
 
 
-def screen_cells(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
-    """Every cell with its ``parts``; null for a cell that passes.
+#: From so many rules on they are tried by their required texts.
+MANY_RULES = 24
 
-    Rules are tried in order and the first that holds decides; a value no rule
-    speaks about passes.  A cell joined by ``\\`` is screened value by value.
-    """
+
+def _decided(value: Column, column: Column, rules: list[ScreenRule], decide: Decider) -> Column:
+    """As :func:`_first_report`, for the rule that :mod:`radloom.operators.prefilter` finds."""
+    def report(number: Column) -> Column:
+        classification = by_number([r.classification for r in rules])(number)
+        marked = F.regexp_replace(F.translate(value, _OPEN + _CLOSE, "  "), F.get(decide.patterns(), number), F.lit(f"{_OPEN}$0{_CLOSE}"))
+        reported = by_number(["1" if r.action != "Ignore" else None for r in rules])(number).isNotNull()
+        return F.when(reported, F.struct(classification.alias("classification"), marked.alias("marked")))
+
+    return F.transform(F.array(decide(value, column)), report)[0]
+
+
+def _parts_by_texts(value: Column, column: Column, rules: list[ScreenRule], decide: Decider) -> Column:
+    """Parts of one cell under many rules, null when it passes."""
+    pieces = F.split(value, r"\\")
+    hits = F.zip_with(F.transform(pieces, lambda v: _decided(v, column, rules, decide)), _starts(pieces),
+                      lambda hit, at: F.struct(hit.alias("hit"), at.alias("at")))
+    found = F.flatten(F.transform(F.filter(hits, lambda h: h["hit"].isNotNull()), lambda h: _parts(h["hit"], h["at"])))
+    return F.transform(F.array(found), lambda parts: F.when(F.size(parts) > 0, parts))[0]
+
+
+def _starts(pieces: Column) -> Column:
+    """Where each piece of a joined value starts."""
+    return F.transform(pieces, lambda v, i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
+
+
+def _cell_parts(value: Column, column: Column, rules: list[ScreenRule]) -> Column:
+    """Parts of one cell, whose column is known per row."""
+    if len(rules) >= MANY_RULES:
+        return _parts_by_texts(value, column, rules, Decider(tuple(r.regex for r in rules), tuple(r.column for r in rules)))
     columns = list(dict.fromkeys(r.column for r in rules if r.column))
 
     def verdict_of(value: Column) -> Column:
         anywhere = _first_report(value, _merge_ignores([r for r in rules if not r.column]))
         case = F
-        for column in columns:
-            mine = _merge_ignores([r for r in rules if r.column in (None, column)])
-            case = case.when(F.col("column") == column, _first_report(value, mine))
+        for named in columns:
+            mine = _merge_ignores([r for r in rules if r.column in (None, named)])
+            case = case.when(column == named, _first_report(value, mine))
         return case.otherwise(anywhere) if columns else anywhere
 
-    return cells.select("resource", "column", "value", _parts_of(F.col("value"), verdict_of).alias("parts"))
+    return _parts_of(value, verdict_of)
+
+
+def screen_cells(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
+    """Every cell with its ``parts``; null for a cell that passes.
+
+    Rules are tried in order and the first that holds decides; a value no rule
+    speaks about passes.  A cell joined by ``\\`` is screened value by value.  Many rules are
+    tried by the texts they require (:mod:`radloom.operators.prefilter`), with the same result.
+    """
+    return cells.select("resource", "column", "value", _cell_parts(F.col("value"), F.col("column"), rules).alias("parts"))
 
 
 def screen(cells: DataFrame, rules: list[ScreenRule]) -> DataFrame:
@@ -194,10 +232,15 @@ def screen_rows(df: DataFrame, rules: list[ScreenRule], columns: list[str], skip
     again, so this is the form for whole files.
     """
     skipped = {s.lower() for s in skip or []}
+    used = [c for c in columns if c.lower() not in skipped]
+    if len(rules) >= MANY_RULES and used:
+        decide = Decider(tuple(r.regex for r in rules), tuple(r.column for r in rules))
+        named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in used])
+        screened = F.transform(named, lambda c: F.struct(c["column"].alias("column"), c["value"].alias("value"),
+                                                         _parts_by_texts(c["value"], c["column"], rules, decide).alias("parts")))
+        return df.withColumn("failures", F.filter(screened, lambda c: c["parts"].isNotNull()))
     cells = []
-    for name in columns:
-        if name.lower() in skipped:
-            continue
+    for name in used:
         parts = _parts_of(F.col(name), _verdict_by(_merge_ignores([r for r in rules if r.column in (None, name)])))
         cells.append(F.struct(F.lit(name).alias("column"), F.col(name).alias("value"), parts.alias("parts")))
     return df.withColumn("failures", F.filter(F.array(*cells), lambda c: c["parts"].isNotNull()))

@@ -130,6 +130,44 @@ def verdict(t):
                          F.when(F.col("n_failures") > 0, "listed").otherwise(F.col("report")).alias("report"))
 
 
+@query("screen_words", """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), d AS (SELECT DISTINCT word FROM w)
+SELECT word FROM d WHERE regexp_full_match(word, '[a-zA-Z]+') AND NOT (length(word) > 1 AND lower(word)[1] = lower(word)[-1]) AND lower(word) NOT IN ('xyz', 'for', 'und')""")
+def screen_words(t):
+    """As ``screen_backrefs``, over every word of every whole text."""
+    words = t.documents.select(F.explode(F.split("text", " ")).alias("value")).distinct()
+    cells = words.select(F.lit("w").alias("resource"), F.lit("word").alias("column"), "value")
+    return S.screen(cells, _ODD).select(F.col("value").alias("word"))
+
+
+@query("screen_offsets", f"""WITH {_FAIL}, cut AS (SELECT resource, col, class, words, CASE class WHEN 'Organization' THEN regexp_split_to_array(value, '(?i)^SRC')
+    WHEN 'Person' THEN regexp_split_to_array(value, '{EMAIL}') WHEN 'PrivateIdentifier' THEN regexp_split_to_array(value, '{CARD}') ELSE regexp_split_to_array(value, '{ADDRESS}') END AS gaps FROM parts)
+SELECT resource, col AS "column", class, array_to_string(words, '|') AS words,
+  array_to_string([CAST(list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(w) for w in words[1:i-1]]), 0) AS BIGINT) for i in range(1, len(words) + 1)], ',') AS offsets FROM cut""")
+def screen_offsets(t):
+    """Every part of every failing cell with its place in the whole text."""
+    return S.screen(_cells(t), RULES).select(
+        "resource", "column", F.element_at("parts", 1)["Classification"].alias("class"), F.array_join(F.transform("parts", lambda p: p["Word"]), "|").alias("words"),
+        F.array_join(F.transform("parts", lambda p: p["Offset"].cast("string")), ",").alias("offsets"))
+
+
+_PHRASES = "license terms warranty copyright liability software granted hereby notice permission subject without".split()
+_MANY = [S.ScreenRule("Ignore", pattern=f"^{a} {b}$") for a in _PHRASES for b in _PHRASES] + [
+    *[S.ScreenRule("Report", pattern=rf"{w}[a-z]* [a-z]+", classification="Organization") for w in _PHRASES], *RULES]
+
+
+@query("screen_many_rules", f"""WITH c AS (SELECT doc_id, text, CASE {" ".join(f"WHEN regexp_matches(text, '(?i){w}[a-z]* [a-z]+') THEN {i}" for i, w in enumerate(_PHRASES))}
+  WHEN regexp_matches(text, '(?i){EMAIL}') THEN 100 WHEN regexp_matches(text, '{CARD}') THEN 101 WHEN regexp_matches(text, '{ADDRESS}') THEN 102 END AS n FROM documents)
+SELECT doc_id AS resource, CASE WHEN n < 100 THEN 'Organization' WHEN n = 100 THEN 'Person' WHEN n = 101 THEN 'PrivateIdentifier' ELSE 'Location' END AS class,
+  array_to_string(CASE {" ".join(f"WHEN n = {i} THEN regexp_extract_all(text, '(?i){w}[a-z]* [a-z]+')" for i, w in enumerate(_PHRASES))}
+  WHEN n = 100 THEN regexp_extract_all(text, '(?i){EMAIL}') WHEN n = 101 THEN regexp_extract_all(text, '{CARD}') ELSE regexp_extract_all(text, '{ADDRESS}') END, '|') AS words
+FROM c WHERE n IS NOT NULL""")
+def screen_many_rules(t):
+    """Whole texts under 162 rules, most of which are not tried because their words do not occur."""
+    cells = S.to_cells(t.documents.select("doc_id", "text"), "doc_id")
+    return S.screen(cells, _MANY).select("resource", F.element_at("parts", 1)["Classification"].alias("class"),
+                                         F.array_join(F.transform("parts", lambda p: p["Word"]), "|").alias("words"))
+
+
 @query("verdict_report", f"""WITH {_FAIL} SELECT resource, col AS problem_field, class, array_to_string(words, '|') AS words, value AS problem_value
 FROM parts JOIN documents ON doc_id = resource LEFT JOIN labels USING (doc_id) WHERE COALESCE(quality, 1) <> 0""")
 def verdict_report(t):
