@@ -61,12 +61,12 @@ def test_super_table(spark, rows):
     table = spark.range(300).select(
         (F.col("id") % 7).cast("string").alias("StudyInstanceUID"), F.col("id").cast("string").alias("SeriesInstanceUID"),
         F.col("id").cast("string").alias("SOPInstanceUID"), F.col("id").cast("string").alias("RelativeFileArchiveURI"),
-        (F.col("id") >= 10).alias("IsExtractableToDisk"), F.lit("We decided NO!").alias("IsExtractableToDisk_Reason"))
+        (F.col("id") >= 10).alias("IsExtractableToDisk"), F.lit("Withheld by the site").alias("IsExtractableToDisk_Reason"))
     rules = DynamicRules.from_yaml('[{when: "NOT IsExtractableToDisk", reason: IsExtractableToDisk_Reason}]')
     plan = run(spark, Catalogue("CT_T", table), [str(i) for i in range(7)], "StudyInstanceUID", [rules])
     total = plan.summary.agg(F.sum("accepted"), F.sum("rejected")).first()
     assert tuple(total) == (290, 10)
-    assert {r["reason"] for r in plan.reasons.collect()} == {"We decided NO!"}
+    assert {r["reason"] for r in plan.reasons.collect()} == {"Withheld by the site"}
 
 
 def test_routing(spark, lookup):

@@ -16,12 +16,12 @@ VERIFY = "job_id string, file_path string, output_path string, status string, re
 def bumpy(spark):
     """One valid file, one rejected, one not anonymised, one with personal data."""
     jobs = spark.createDataFrame([("j", 2, False)], "job_id string, key_count long, identifiable boolean")
-    infos = spark.createDataFrame([("j", "series-1", 0, ["series-1-anon-1.dcm"], {"rejected - blah": 1}),
-                                   ("j", "series-2", 0, ["series-2-anon-1.dcm", "series-2-anon-2.dcm"], {})], INFO)
-    failed = spark.createDataFrame([("j", "series-2-orig-1.dcm", "series-2-anon-1.dcm", "ErrorWontRetry", "Couldn't anonymise")], STATUS)
+    infos = spark.createDataFrame([("j", "series-1", 0, ["s1/a-an.dcm"], {"burnt-in text": 1}),
+                                   ("j", "series-2", 0, ["s2/a-an.dcm", "s2/b-an.dcm"], {})], INFO)
+    failed = spark.createDataFrame([("j", "s2/a.dcm", "s2/a-an.dcm", "ErrorWontRetry", "Couldn't anonymise")], STATUS)
     screened = spark.createDataFrame([
-        ("j", "series-1-orig-1.dcm", "series-1-anon-1.dcm", "NotIdentifiable", "[]"),
-        ("j", "series-2-orig-2.dcm", "series-2-anon-2.dcm", "IsIdentifiable", "\n[{'Parts': [], 'Resource': 'x', 'ResourcePrimaryKey': '1.2.3.4', 'ProblemField': 'ScanOptions', 'ProblemValue': 'FOO'}]")], VERIFY)
+        ("j", "s1/a.dcm", "s1/a-an.dcm", "NotIdentifiable", "[]"),
+        ("j", "s2/b.dcm", "s2/b-an.dcm", "IsIdentifiable", "\n[{'Parts': [], 'Resource': 'x', 'ResourcePrimaryKey': '1.2.3.4', 'ProblemField': 'ScanOptions', 'ProblemValue': 'FOO'}]")], VERIFY)
     return jobs, infos, J.statuses(failed, screened)
 
 
@@ -30,9 +30,9 @@ def test_bumpy_road(spark, rows):
     status = J.job_status(J.job_counts(jobs, J.info_counts(infos), done))
     assert rows(status, "infos", "expected", "statuses", "status") == [(2, 3, 3, "ReadyForChecks")]
     assert rows(J.complete_jobs(status), "status") == [("Completed",)]
-    assert rows(J.report_rejected(J.rejections_of(infos)), "ExtractionKey", "Count", "Reason") == [("series-1", 1, "rejected - blah")]
-    assert rows(J.report_errors(jobs, done), "DicomFilePath", "Reason") == [("series-2-orig-1.dcm", "Couldn't anonymise")]
-    assert rows(J.report_verification(jobs, done), "Resource", "ProblemField", "PartWords") == [("series-2-anon-2.dcm", "ScanOptions", "")]
+    assert rows(J.report_rejected(J.rejections_of(infos)), "ExtractionKey", "Count", "Reason") == [("series-1", 1, "burnt-in text")]
+    assert rows(J.report_errors(jobs, done), "DicomFilePath", "Reason") == [("s2/a.dcm", "Couldn't anonymise")]
+    assert rows(J.report_verification(jobs, done), "Resource", "ProblemField", "PartWords") == [("s2/b-an.dcm", "ScanOptions", "")]
 
 
 @pytest.mark.parametrize("before,key_count,infos,expected,done,after", [
@@ -56,7 +56,7 @@ def completed(spark, identifiable=False):
                                  "identifiable boolean, no_filters boolean, submitted string, completed string")
     jobs = jobs.withColumn("submitted_at", F.to_timestamp("submitted")).withColumn("completed_at", F.to_timestamp("completed"))
     infos = spark.createDataFrame([("d0b6", "1.2.3.4", 0, [], {"Some error": 123}), ("d0b6", "9", 0, [], {})], INFO)
-    failed = spark.createDataFrame([("d0b6", "1/2/missing.dcm", None, "FileMissing", "not there"), ("d0b6", "1/2/3.dcm", None, "ErrorWontRetry", "Corrupt file"),
+    failed = spark.createDataFrame([("d0b6", "p1/gone.dcm", None, "FileMissing", "not there"), ("d0b6", "1/2/3.dcm", None, "ErrorWontRetry", "Corrupt file"),
                                     ("d0b6", "1/2/c.dcm", "o", "Copied", None)], STATUS)
     screened = spark.createDataFrame([("d0b6", "1/2/3.dcm", "1/2/3-an.dcm", "IsIdentifiable", REPORT), ("d0b6", "1/2/4.dcm", "1/2/4-an.dcm", "ErrorWontRetry", "oops, no")], VERIFY)
     return CompletedJobs(jobs, infos, J.statuses(failed, screened))
@@ -87,8 +87,8 @@ def test_report_files(spark, tmp_path):
     target = tmp_path / "1234-5678" / "extractions" / "reports" / "test-1"
     assert read(target / "README").rstrip("\n") == README.format("No").rstrip("\n")
     assert read(target / "rejected_files") == "ExtractionKey,Count,Reason\n1.2.3.4,123,Some error\n"
-    assert read(target / "processing_errors") == ("DicomFilePath,Reason\n1/2/missing.dcm,Missing\n1/2/3.dcm,Corrupt file\n"
-                                                  "1/2/4.dcm,\"oops, no\"\n1/2/missing.dcm,not there\n")
+    assert read(target / "processing_errors") == ("DicomFilePath,Reason\np1/gone.dcm,Missing\n1/2/3.dcm,Corrupt file\n"
+                                                  "1/2/4.dcm,\"oops, no\"\np1/gone.dcm,not there\n")
     assert read(target / "verification_failures") == (
         "Resource,ResourcePrimaryKey,ProblemField,ProblemValue,PartWords,PartClassifications,PartOffsets\n1/2/3-an.dcm,1.2.3.4,ScanOptions,FOO,FOO,Person,0\n")
     with pytest.raises(ValueError, match="already exists"):
@@ -101,7 +101,7 @@ def test_identifiable_reports(spark, tmp_path):
     write_reports(completed(spark, identifiable=True), "d0b6", str(tmp_path), "\r\n")
     target = tmp_path / "1234-5678" / "extractions" / "reports" / "test-1"
     assert not (target / "verification_failures").exists()
-    assert (target / "processing_errors").is_dir() and b"".join(p.read_bytes() for p in sorted((target / "processing_errors").glob("[hp]*"))) == b"DicomFilePath,Reason\r\n1/2/missing.dcm,Missing\r\n"
+    assert (target / "processing_errors").is_dir() and b"".join(p.read_bytes() for p in sorted((target / "processing_errors").glob("[hp]*"))) == b"DicomFilePath,Reason\r\np1/gone.dcm,Missing\r\n"
     assert "Identifiable extraction:      Yes" in read(target / "README")
 
 

@@ -131,7 +131,7 @@ def rejected_files(t):
 
 
 @query("report_errors", f"""WITH {V.SQL_JOBS}, st AS (SELECT job_id, event_id || '.dcm' AS path, k < 50 AS missing, k >= 50 AND k < 60 AS copied,
-    CASE WHEN k < 50 THEN 'Could not find ' || event_id || '.dcm' ELSE 'Couldn''t anonymise' END AS message FROM ev WHERE event_type = 'error'),
+    CASE WHEN k < 50 THEN 'Could not find ' || event_id || '.dcm' ELSE 'Not de-identified' END AS message FROM ev WHERE event_type = 'error'),
   scr AS (SELECT job_id, event_id || '.dcm' AS path FROM ev WHERE event_type IN ('click', 'purchase') AND value < 3)
 SELECT job_id, CAST(0 AS INTEGER) AS section, path AS DicomFilePath, 'Missing' AS Reason FROM st WHERE missing
 UNION ALL SELECT job_id, 1, path, message FROM st JOIN jobs USING (job_id) WHERE NOT copied AND NOT identifiable
@@ -141,7 +141,7 @@ def report_errors(t):
 
 
 @query("report_verification", f"""WITH {V.SQL_JOBS} SELECT job_id, event_id || '-an.dcm' AS Resource, CAST(event_id AS VARCHAR) AS ResourcePrimaryKey,
-  'ScanOptions' AS ProblemField, 'FOO and BAR' AS ProblemValue, 'FOO###BAR' AS PartWords, 'Person###Location' AS PartClassifications,
+  'ScanOptions' AS ProblemField, 'Alder of Leith' AS ProblemValue, 'Alder###Leith' AS PartWords, 'Person###Location' AS PartClassifications,
   k || '###9' AS PartOffsets FROM ev JOIN jobs USING (job_id) WHERE event_type = 'purchase' AND value >= 3 AND NOT identifiable""")
 def report_verification(t):
     return J.report_verification(V.jobs(t), _done(t))

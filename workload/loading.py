@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 from radloom.functions import lineage, paths, tags as TG
-from radloom.operators import load as L, project as P, validate as VA
+from radloom.operators import load as L, project as P, reconcile as RC, validate as VA
 from radloom.schemas import PATH, SERIES, SOP, STUDY
+from radloom.session import shared_folder
+from radloom.sources import lookup_index, sinks
 from radloom.sources.tables import parse_strict
 from radloom.streaming.flows import split_load
 from radloom.template import TemplateColumn, TemplateTable, load_template
@@ -210,6 +212,33 @@ def flatten_wide(t):
     return P.flatten(rows, list(load_template(_WIDE_TEMPLATE).values()))
 
 
+@query("flatten_brackets", """SELECT CAST(p_partkey AS VARCHAR) AS RelativeFileArchiveURI, concat('[', p_name) AS EchoTime,
+  concat('[', p_size, '] see ', p_brand) AS PixelSpacing, concat(p_type, '^', p_brand, '=', p_name) AS ScanOptions, concat(p_size, chr(92), p_size, '.5') AS AcquisitionTime,
+  concat('["', p_brand, '"]') AS LossyImageCompressionRatio, concat('[', p_name, chr(92), p_size) AS OwnValue, CAST(NULL AS VARCHAR) AS MessageGuid FROM part""")
+def flatten_brackets(t):
+    """Texts with a bracket in front, person names, numbers and lists, in both dialects and with a tag in lower case."""
+    second = F.col("p_partkey") % 2 == 0
+    quoted = lambda text: F.regexp_replace(F.to_json(F.struct(text.alias("x"))), r'^\{"x":(.*)\}$', "$1")
+    size, name = F.col("p_size").cast("string"), F.concat(F.lit("["), F.col("p_name"))
+
+    def element(tag: str, vr: str, *values) -> Column:
+        listed = F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]"))
+        plain = values[0] if len(values) == 1 else listed
+        return F.concat(F.lit(f'"{tag}":{{"vr":"{vr}",'), F.when(second, F.concat(F.lit('"Value":'), listed)).otherwise(F.concat(F.lit('"val":'), plain)), F.lit("}"))
+
+    person = F.concat(F.lit('{"Alphabetic":"'), F.col("p_type"), F.lit("^"), F.col("p_brand"), F.lit('","Ideographic":"'), F.col("p_name"), F.lit('"}'))
+    json = F.concat(F.lit("{"), F.concat_ws(
+        ",", element("00180081", "LO", quoted(name)), element("00280030", "LO", quoted(F.concat(F.lit("["), size, F.lit("] see "), F.col("p_brand")))),
+        element("00180022", "PN", person), element("00080032", "DS", size, F.concat(size, F.lit(".5"))),
+        element("00282112", "LO", quoted(F.concat(F.lit('["'), F.col("p_brand"), F.lit('"]')))), element("0019100a", "LO", quoted(name), size)), F.lit("}"))
+    rows = t.part.select(F.col("p_partkey").cast("string").alias("DicomFilePath"), json.alias("DicomDataset"))
+    tables = list(load_template(_WIDE_TEMPLATE).values())
+    read = P.flatten(rows, tables)
+    parsed = P.flatten(rows.withColumn("m", TG.parse_tags(F.col("DicomDataset"))), tables, tags="m")
+    return read.join(parsed, PATH).select(PATH, *[
+        F.when(read[c].eqNullSafe(parsed[c]), read[c]).otherwise("the two readers differ").alias(c) for c in read.columns if c != PATH])
+
+
 @query("select_tags", f"""WITH {V.SQL_TAGSETS} SELECT SOPInstanceUID, CASE WHEN flag = 'RO' THEN '00180050' ELSE '00100020,00180050' END AS tags FROM tagsets""")
 def select_tags(t):
     kept = TG.select_tags(TG.parse_tags(F.col("DicomDataset")), ["00100020", "00180050", "00080060"], "^0008")
@@ -384,18 +413,35 @@ def _entries(t):
         F.when(F.col("o_orderpriority") != "1-URGENT", F.concat(F.col("l_orderkey"), F.lit(".zip"))).alias("archive"))
 
 
-@query("skip_existing", """WITH e AS (SELECT l_orderkey || '.' || l_partkey || '.' || l_suppkey || '.' || l_linenumber AS path, l_partkey AS pos, l_returnflag,
+_SKIP = """WITH e AS (SELECT l_orderkey || '.' || l_partkey || '.' || l_suppkey || '.' || l_linenumber AS path, l_partkey AS pos, l_returnflag,
     CASE WHEN o_orderpriority <> '1-URGENT' THEN l_orderkey || '.zip' END AS archive FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   store AS (SELECT DISTINCT path FROM e WHERE l_returnflag = 'R'),
   stop AS (SELECT archive, MIN(pos) AS stop FROM e WHERE path IN (FROM store) AND archive IS NOT NULL GROUP BY archive)
 SELECT path, archive FROM e LEFT JOIN stop USING (archive) WHERE (archive IS NULL AND path NOT IN (FROM store))
-  OR (archive IS NOT NULL AND (stop IS NULL OR pos < stop))""")
+  OR (archive IS NOT NULL AND (stop IS NULL OR pos < stop))"""
+
+
+@query("skip_existing", _SKIP)
 def skip_existing(t):
     entries = _entries(t).select(F.col(SOP).alias("path"), "archive", "entry_pos", "flag")
     store = entries.where(F.col("flag") == "R").select("path")
     return L.skip_existing(entries, store, path="path").select("path", "archive")
 
 
+@query("skip_existing_indexed", _SKIP)
+def skip_existing_indexed(t):
+    """The same over a stored list of known paths, opening only the files that can hold one of the batch; the index follows two loads."""
+    entries = _entries(t).select(F.col(SOP).alias("path"), "archive", "entry_pos", "flag")
+    folder = shared_folder(t.spark, "known")
+    store, path = entries.where(F.col("flag") == "R").select("path"), f"{folder}/rows"
+    for half in (0, 1):
+        store.where(F.pmod(F.xxhash64("path"), F.lit(2)) == half).repartitionByRange(4, "path").write.mode("append").parquet(path)
+        known = t.spark.read.schema(store.schema).parquet(path)
+        lookup_index.add_files(t.spark, f"{folder}/index", known.inputFiles(), known.schema, ["path"], 16)
+    few = lookup_index.cut_down(known, entries, "path", f"{folder}/index", "path")
+    return L.skip_existing(entries, few, path="path").select("path", "archive")
+
+
 @query("replace_conflicts", f"""WITH {V.SQL_FILES}, batch AS (SELECT * FROM files WHERE IsOriginal AND IsPrimary)
 SELECT RelativeFileArchiveURI, SOPInstanceUID, 'old' AS source FROM files WHERE RelativeFileArchiveURI NOT IN (SELECT RelativeFileArchiveURI FROM batch)
   AND SOPInstanceUID NOT IN (SELECT SOPInstanceUID FROM batch) UNION ALL SELECT RelativeFileArchiveURI, SOPInstanceUID, 'new' FROM batch""")
@@ -410,14 +456,18 @@ def replace_conflicts(t):
 _STAMP = "2024-06-01 12:00:00"
 
 
-def _merge(t):
+def _merge_sides(t):
     """Orders not urgent are live; the archive's studies are staged over them."""
     live = t.orders.where(F.col("o_orderpriority") != "1-URGENT").select(
         F.col("o_orderkey").alias("study"), F.col("o_orderstatus").alias("status"), F.lit("old").alias("MessageGuid"),
         F.col("o_orderdate").alias("valid_from"), F.lit(1).alias("load_run_id"))
     stage = t.lineitem.groupBy(F.col("l_orderkey").alias("study")).agg(
         F.when(F.bool_or(F.col("l_linestatus") == "O"), "O").otherwise("F").alias("status"), F.lit("new").alias("MessageGuid"))
-    return L.merge_live(live, stage, "study", 2, F.lit(_STAMP).cast("timestamp"))
+    return live, stage
+
+
+def _merge(t):
+    return L.merge_live(*_merge_sides(t), "study", 2, F.lit(_STAMP).cast("timestamp"))
 
 
 _MERGE = f"""live AS (SELECT o_orderkey AS study, o_orderstatus AS status, 'old' AS MessageGuid, o_orderdate AS valid_from,
@@ -448,6 +498,33 @@ def merge_live(t):
     return _merge(t).live
 
 
+def _bucketed(t):
+    """The same merge through the bucketed table, committed once; its folder and the schema of its rows."""
+    live, stage = _merge_sides(t)
+    folder = shared_folder(t.spark, "live")
+    sinks.write_buckets(live, folder, "study", 16)
+    sinks.merge_buckets(stage, folder, live.schema, "study", 16,
+                        lambda old, new: L.merge_live(old, new, "study", 2, F.lit(_STAMP).cast("timestamp"), pin_changes=True))
+    return folder, live.schema
+
+
+_CHANGED = "changed AS (SELECT study FROM stage s JOIN live l USING (study) WHERE s.status <> l.status)"
+
+
+@query("merge_bucket_live", f"""WITH {_MERGE}, {_CHANGED}
+SELECT * FROM live WHERE study NOT IN (FROM changed) UNION ALL
+SELECT {_NEW} FROM stage s WHERE study IN (FROM changed) OR study NOT IN (SELECT study FROM live)""")
+def merge_bucket_live(t):
+    folder, schema = _bucketed(t)
+    return sinks.read_buckets(t.spark, folder, schema)
+
+
+@query("merge_bucket_archive", f"WITH {_MERGE} SELECT l.* FROM stage s JOIN live l USING (study) WHERE s.status <> l.status")
+def merge_bucket_archive(t):
+    folder, schema = _bucketed(t)
+    return sinks.read_part(t.spark, folder, "archive", schema)
+
+
 def _partial(t, repeat):
     """The stage knows the key and the status, not the clerk; ``repeat`` stages some keys twice."""
     live = t.orders.where(F.col("o_orderpriority") != "1-URGENT").select(
@@ -502,3 +579,17 @@ def load_batch_bad(t):
 def reconcile(t):
     f = V.files(t)
     return L.reconcile(f.select(SOP, PATH), f.where("IsPrimary"))
+
+
+@query("reconcile_changes", """WITH s AS (SELECT o_orderkey AS k, o_custkey AS owner, o_orderstatus AS status FROM orders WHERE o_orderkey % 11 <> 0),
+  l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status
+    FROM orders WHERE o_orderkey % 13 <> 0)
+SELECT COALESCE(s.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'missing' WHEN s.k IS NULL THEN 'surplus' ELSE 'changed' END AS kind, s.owner AS stored_owner, l.status AS live_status
+FROM s FULL JOIN l ON s.k = l.k WHERE l.k IS NULL OR s.k IS NULL OR s.owner IS DISTINCT FROM l.owner OR s.status IS DISTINCT FROM l.status""")
+def reconcile_changes(t):
+    """Missing, changed and surplus rows of a store and a live table, from the buckets whose digests differ."""
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status"))
+    live = rows.where("k % 13 <> 0").select("k", F.when(F.col("k") % 7 == 0, F.col("owner") + 1).otherwise(F.col("owner")).alias("owner"),
+                                            F.when(F.col("k") % 5 != 0, F.col("status")).alias("status"))
+    return RC.reconcile_changes(rows.where("k % 11 <> 0"), live, "k", ["owner", "status"], 4096).select(
+        "k", "kind", F.col("stored.owner").alias("stored_owner"), F.col("live.status").alias("live_status"))

@@ -19,7 +19,7 @@ def _flags():
         (F.col("l_returnflag") != "R").alias("IsOriginal"),
         (F.col("l_linestatus") == "F").alias("IsPrimary"),
         (F.col("l_discount") < 0.09).alias("IsExtractableToDisk"),
-        F.when(F.col("l_tax") >= 0.05, "We decided NO!").when(F.col("l_tax") >= 0.03, "we DECIDED no!")
+        F.when(F.col("l_tax") >= 0.05, "Withheld by the site").when(F.col("l_tax") >= 0.03, "WITHHELD by the SITE")
          .alias("IsExtractableToDisk_Reason"),
     ]
 
@@ -57,7 +57,7 @@ SQL_UIDS = """CAST(l_orderkey AS VARCHAR) AS StudyInstanceUID,
   strftime(l_shipdate, '%Y/%m/%d') || '/' || l_orderkey || '/' || l_orderkey || '.' || l_partkey || '.' || l_suppkey
     || '.' || l_linenumber || '.dcm' AS RelativeFileArchiveURI,
   l_returnflag <> 'R' AS IsOriginal, l_linestatus = 'F' AS IsPrimary, l_discount < 0.09 AS IsExtractableToDisk,
-  CASE WHEN l_tax >= 0.05 THEN 'We decided NO!' WHEN l_tax >= 0.03 THEN 'we DECIDED no!' END AS IsExtractableToDisk_Reason"""
+  CASE WHEN l_tax >= 0.05 THEN 'Withheld by the site' WHEN l_tax >= 0.03 THEN 'WITHHELD by the SITE' END AS IsExtractableToDisk_Reason"""
 SQL_FILES = f"files AS (SELECT {SQL_UIDS} FROM lineitem)"
 SQL_IMAGES = f"""images AS (SELECT CAST(o_custkey AS VARCHAR) AS PatientID, {SQL_UIDS}, p_type AS Modality
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
@@ -82,8 +82,8 @@ SQL_REQUEST = """request AS (
 # ---- rejection: rules, blacklist of studies and series, patients who opted out ---
 
 RULES = DynamicRules.from_yaml("""
-- {when: "NOT IsOriginal", reason: "'ImageType is not ORIGINAL'"}
-- {when: "NOT IsPrimary", reason: "'ImageType is not PRIMARY'"}
+- {when: "NOT IsOriginal", reason: "'no original image'"}
+- {when: "NOT IsPrimary", reason: "'no primary image'"}
 - {when: "NOT IsExtractableToDisk", reason: "IsExtractableToDisk_Reason"}
 """)
 
@@ -106,8 +106,8 @@ def chain(t) -> list:
     return [RULES, Blacklist(blacklist(t)), ColumnValues("PatientID", opted_out(t))]
 
 
-SQL_RULES = """CASE WHEN NOT IsOriginal THEN 'ImageType is not ORIGINAL'
-  WHEN NOT IsPrimary THEN 'ImageType is not PRIMARY'
+SQL_RULES = """CASE WHEN NOT IsOriginal THEN 'no original image'
+  WHEN NOT IsPrimary THEN 'no primary image'
   WHEN NOT IsExtractableToDisk THEN IsExtractableToDisk_Reason END"""
 SQL_BLACKLISTED = """CASE WHEN StudyInstanceUID IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '5-LOW')
   OR SeriesInstanceUID IN (SELECT l_orderkey || '.' || l_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -210,7 +210,7 @@ def file_status(t) -> DataFrame:
     return e.select(
         "job_id", path.alias("file_path"), F.lit(None).cast("string").alias("output_path"),
         F.when(missing, "FileMissing").when(F.col("k") < 60, "Copied").otherwise("ErrorWontRetry").alias("status"),
-        F.when(missing, F.concat(F.lit("Could not find "), path)).otherwise(F.lit("Couldn't anonymise")).alias("message"))
+        F.when(missing, F.concat(F.lit("Could not find "), path)).otherwise(F.lit("Not de-identified")).alias("message"))
 
 
 def verification(t) -> DataFrame:
@@ -219,8 +219,8 @@ def verification(t) -> DataFrame:
     out = F.concat(F.col("event_id"), F.lit("-an.dcm"))
     found = F.concat(
         F.lit("[{'Parts': [{'Classification': 3, 'Offset': "), F.col("k").cast("string"),
-        F.lit(", 'Word': 'FOO'}, {'Classification': 2, 'Offset': 9, 'Word': 'BAR'}], 'Resource': '/x.dcm', 'ResourcePrimaryKey': '"),
-        F.col("event_id").cast("string"), F.lit("', 'ProblemField': 'ScanOptions', 'ProblemValue': 'FOO and BAR'}]"))
+        F.lit(", 'Word': 'Alder'}, {'Classification': 2, 'Offset': 9, 'Word': 'Leith'}], 'Resource': '/x.dcm', 'ResourcePrimaryKey': '"),
+        F.col("event_id").cast("string"), F.lit("', 'ProblemField': 'ScanOptions', 'ProblemValue': 'Alder of Leith'}]"))
     failed = F.col("value") < 3
     return e.select(
         "job_id", path.alias("file_path"), out.alias("output_path"),
