@@ -584,7 +584,7 @@ def reconcile(t):
 @query("reconcile_changes", """WITH s AS (SELECT o_orderkey AS k, o_custkey AS owner, o_orderstatus AS status FROM orders WHERE o_orderkey % 11 <> 0),
   l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS owner, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status
     FROM orders WHERE o_orderkey % 13 <> 0)
-SELECT COALESCE(s.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'missing' WHEN s.k IS NULL THEN 'surplus' ELSE 'changed' END AS kind, s.owner AS stored_owner, l.status AS live_status
+SELECT COALESCE(s.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'missing' WHEN s.k IS NULL THEN 'surplus' ELSE 'changed' END AS kind, CAST(s.owner AS VARCHAR) AS stored_owner, l.status AS live_status
 FROM s FULL JOIN l ON s.k = l.k WHERE l.k IS NULL OR s.k IS NULL OR s.owner IS DISTINCT FROM l.owner OR s.status IS DISTINCT FROM l.status""")
 def reconcile_changes(t):
     """Missing, changed and surplus rows of a store and a live table, from the buckets whose digests differ."""
@@ -592,4 +592,4 @@ def reconcile_changes(t):
     live = rows.where("k % 13 <> 0").select("k", F.when(F.col("k") % 7 == 0, F.col("owner") + 1).otherwise(F.col("owner")).alias("owner"),
                                             F.when(F.col("k") % 5 != 0, F.col("status")).alias("status"))
     return RC.reconcile_changes(rows.where("k % 11 <> 0"), live, "k", ["owner", "status"], 4096).select(
-        "k", "kind", F.col("stored.owner").alias("stored_owner"), F.col("live.status").alias("live_status"))
+        "k", "kind", F.col("stored.owner").cast("string").alias("stored_owner"), F.col("live.status").alias("live_status"))
