@@ -5,6 +5,10 @@ one token each is the common case and comes in stretches.  Along a stretch the t
 shift, so :func:`align` compares slices of the two end arrays at the current shift, doubling the slice while they agree and
 halving it after that, and jumps the whole stretch.  An irregular group is resolved token by token, which gives a new shift.
 
+Both tokenizers cut before a space between two visible characters, whatever stands around it, so a task encodes and aligns every distinct
+stretch of text between such spaces once, new ones end to end as one long pair of arrays, and puts a text's groups and links together
+from that table; with a model whose pieces could hold such a place, the stretches are whole texts.
+
 How many documents link a pair of ids is a question to the whole corpus.  A task numbers its documents in chunks of
 bounded size and writes a chunk's distinct (pair, document, times) triples sorted and compressed, one blob per
 hash bucket of pairs.  Counts are a grouped sum over the blobs' own counts; the blobs then meet the counts of their bucket, buckets
@@ -14,6 +18,10 @@ with many bytes dealt out to several tasks, and hand back sums per document.  No
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,134 +37,235 @@ from radloom.llm import bpe
 from radloom.llm.common import stored
 
 #: Links that a chunk holds at least before it is written.
-CHUNK_LINKS = 2_000_000
+CHUNK_LINKS = 1_000_000
 #: Hash buckets of id pairs, and blob bytes of a bucket that one task takes.
 BUCKETS = 32
 TASK_BYTES = 16_000_000
-SLICE = 256
+#: Stretches, and characters of them, in a task's table before it is cut down to those met again; texts that are split and encoded together.
+TABLE_STRETCHES = 150_000
+TABLE_CHARS = 3_000_000
+MET_AGAIN = 3
+SLICE = 128
+
+#: The character that stands for a space in a piece.
+BLANK = "\u2581"
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
-    """Stretches ``(a from, a to, b from, b to, regular)`` of two rising lists of ends that stop at the same byte.
+def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Groups of two rising lists of ends that stop at the same byte, and the links inside irregular ones.
 
-    A regular stretch is a run of one-to-one groups; any other is one group.
+    Three numbers a stretch, one after the other: the index of the last A token of its first group, its number of groups, and the
+    shift from there to the B token that ends with it.  A stretch is a run of one-to-one groups, or one irregular group, whose
+    number is -1.  The links of irregular groups are two lists of indices; each next pair drops the token that ends first.
     """
+    found, links_a, links_b = [], [], []
     i, shift, n = 0, 0, len(ends_a)
     while i < n:
         j = i + shift
-        if ends_a[i] == ends_b[j]:
-            run, step, growing = 1, 1, True
+        a, b = ends_a[i], ends_b[j]
+        if a == b:
+            at, step, growing = i + 1, 1, True
             while step:
-                a = ends_a[i + run:i + run + step]
-                if len(a) == step and a == ends_b[j + run:j + run + step]:
-                    run += step
+                probe = ends_a[at:at + step]
+                if len(probe) == step and probe == ends_b[at + shift:at + shift + step]:
+                    at += step
                     step = step * 2 if growing else step // 2
                 else:
                     growing = False
                     step //= 2
-            yield i, i + run, j, j + run, True
-            i += run
+            found += (i, at - i, shift)
+            i = at
         else:
-            k, a, b, first = i, ends_a[i], ends_b[j], j
+            links_a.append(i)
+            links_b.append(j)
             while a != b:
                 if a < b:
-                    k += 1
-                    a = ends_a[k]
+                    i += 1
+                    a = ends_a[i]
                 else:
                     j += 1
                     b = ends_b[j]
-            yield i, k + 1, first, j + 1, False
-            i, shift = k + 1, j - k
+                links_a.append(i)
+                links_b.append(j)
+            shift = j - i
+            found += (i, -1, shift)
+            i += 1
+    return found, links_a, links_b
 
 
-def group_links(ends_a: list[int], ends_b: list[int], a_from: int, b_from: int, a_to: int, b_to: int) -> Iterator[tuple[int, int]]:
-    """Indices of the overlapping tokens of one group: each next link drops the token that ends first."""
-    a, b = a_from, b_from
-    yield a, b
-    while a + 1 < a_to or b + 1 < b_to:
-        if ends_a[a] < ends_b[b]:
-            a += 1
-        else:
-            b += 1
-        yield a, b
+class _Side:
+    """The vocabulary of a side: bytes of its ids, and the ids written out in front of either separator."""
+
+    def __init__(self, bytes_of: list[bytes], inner: str, last: str):
+        self.bytes_of = bytes_of
+        self.sizes = np.array([len(x) for x in bytes_of], dtype=np.int64)
+        self.names = [f"{i}{mark}" for i in range(len(bytes_of)) for mark in (inner, last)]
 
 
-class ByteTokens(bpe.Encoder):
+class ByteTokens(_Side):
     """Side A: a byte-level vocabulary of the tokenizers library; the strings of special tokens are ordinary text."""
 
     def __init__(self, tokenizer: str):
-        super().__init__(tokenizer)
-        self.added = None
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__(bpe.Decoder(tokenizer).pieces.tolist(), ",", "|")
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
-        self.bytes_of = bpe.Decoder(tokenizer).pieces.tolist()
+        spec = json.loads(tokenizer)
+        #: With a piece for every byte and nothing changed before splitting, ids always give their text back.
+        self.lossless = not spec.get("normalizer") and set(bpe.byte_of_char()) <= spec["model"]["vocab"].keys()
 
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, dtype="<u4") for ids in self.encode([" " + t for t in texts])]
+    def ids_of(self, stretches: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
 
 
-class PieceTokens:
+class PieceTokens(_Side):
     """Side B: a sentencepiece model, which puts a space before the text itself."""
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=model)
-        sizes = range(self.model.get_piece_size())
-        self.bytes_of = [bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i)
-                         else self.model.id_to_piece(i).replace("▁", " ").encode() for i in sizes]
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        super().__init__([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)], ",", ";")
+        self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
+
+    def ids_of(self, stretches: list[str]) -> list[list[int]]:
+        return self.model.encode([s[1:] for s in stretches], num_threads=1)
+
 
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, dtype="<u4") for ids in self.model.encode(texts, num_threads=1)]
+class _Table:
+    """Numbers by the number of a stretch."""
+
+    def __init__(self):
+        self.ids, self.starts = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+
+    def keep(self, at: np.ndarray) -> None:
+        self.ids, self.starts = self.gather(at), np.concatenate([[0], np.cumsum(self.starts[at + 1] - self.starts[at])])
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        first, count = self.starts[at], self.starts[at + 1] - self.starts[at]
+        return self.ids[np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)]
 
 
 @dataclass
 class Aligned:
+    """``links`` are pair codes: the id of A times the size of B, plus the id of B."""
+
     n_a: int
     n_b: int
     n_groups: int
-    links_a: np.ndarray
-    links_b: np.ndarray
+    links: np.ndarray
     groups: str
 
 
-NOTHING = Aligned(0, 0, 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), "")
+NOTHING = Aligned(0, 0, 0, np.zeros(0, dtype=np.int64), "")
 
 
 class Aligner:
-    """Both tokenizers of one task."""
+    """Both tokenizers of one task and the table of the stretches it has met."""
 
     def __init__(self, tokenizer: str, model: bytes):
         self.a, self.b = ByteTokens(tokenizer), PieceTokens(model)
-        self.width = len(self.b.bytes_of)
-        self.sizes_a, self.sizes_b = (np.array([len(x) for x in side.bytes_of], dtype=np.int64) for side in (self.a, self.b))
-        self.names_a, self.names_b = ([str(i) for i in range(len(side.bytes_of))] for side in (self.a, self.b))
+        self.width, self.names = len(self.b.bytes_of), self.a.names + self.b.names
+        self.places: dict[str, int] = {}
+        self.said: list[str] = []
+        #: Per stretch: whether both sides give it back, its tokens of A and of B, its groups, and how often it was met.
+        self.same, self.counts, self.met = np.zeros(0, dtype=bool), np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.links, self.chars = _Table(), 0
+
+    def _cut_down(self) -> None:
+        """Keep the stretches that were met again, at most half of the table."""
+        again = np.flatnonzero(self.met >= MET_AGAIN)
+        again = np.sort(again[np.argsort(-self.met[again], kind="stable")][:TABLE_STRETCHES // 2])
+        names = list(self.places)
+        self.places = {names[k]: i for i, k in enumerate(again.tolist())}
+        self.said = [self.said[k] for k in again.tolist()]
+        self.links.keep(again)
+        self.same, self.counts, self.met = self.same[again], self.counts[again], np.zeros(len(again), dtype=np.int64)
+        self.chars = sum(map(len, self.places))
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Encode and align the stretches that the table lacks."""
+        if len(self.places) > TABLE_STRETCHES or self.chars > TABLE_CHARS:
+            self._cut_down()
+            if self.chars > TABLE_CHARS:
+                self.met[:] = 0
+                self._cut_down()
+        new = [s for s in dict.fromkeys(itertools.chain.from_iterable(texts)) if s not in self.places]
+        if not new:
+            return
+        found_a, found_b = self.a.ids_of(new), self.b.ids_of(new)
+        bytes_a, bytes_b = self.a.bytes_of.__getitem__, self.b.bytes_of.__getitem__
+        same = np.array([b"".join(map(bytes_b, ids)) == s.encode() for s, ids in zip(new, found_b)], dtype=bool)
+        if not self.a.lossless:
+            same &= np.array([b"".join(map(bytes_a, ids)) == s.encode() for s, ids in zip(new, found_a)], dtype=bool)
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.chars += sum(map(len, new))
+        counts, said, links, link_counts = self._align_new([x for x, ok in zip(found_a, same) if ok], [x for x, ok in zip(found_b, same) if ok])
+        whole, texts_of = np.zeros((len(new), 3), dtype=np.int64), np.full(len(new), "", dtype=object)
+        whole[same], texts_of[same] = counts, said
+        per_stretch = np.zeros(len(new), dtype=np.int64)
+        per_stretch[same] = link_counts
+        self.links.add(links, per_stretch)
+        self.said += texts_of.tolist()
+        self.same, self.counts = np.concatenate([self.same, same]), np.concatenate([self.counts, whole])
+        self.met = np.concatenate([self.met, np.zeros(len(new), dtype=np.int64)])
+
+    def _align_new(self, found_a: list[list[int]], found_b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Counts (tokens of A, of B, groups), groups written out, link codes and their number, of stretches laid end to end."""
+        if not found_a:
+            return np.zeros((0, 3), dtype=np.int64), [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        n_a, n_b = (np.array([len(x) for x in found], dtype=np.int64) for found in (found_a, found_b))
+        a, b = (np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=n) for found, n in ((found_a, n_a.sum()), (found_b, n_b.sum())))
+        found, inner_a, inner_b = align(np.cumsum(self.a.sizes[a]).tolist(), np.cumsum(self.b.sizes[b]).tolist())
+        first, count, shift = np.array(found, dtype=np.int64).reshape(-1, 3).T
+        runs = np.abs(count)
+        # The last token of every group on either side, and the groups of one token each.
+        last_a = np.repeat(first - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        last_b = last_a + np.repeat(shift, runs)
+        single = np.repeat(count > 0, runs)
+        at_a = np.concatenate([last_a[single], np.array(inner_a, dtype=np.int64)])
+        at_b = np.concatenate([last_b[single], np.array(inner_b, dtype=np.int64)])
+        # Every stretch ends a group, so links and groups fall to stretches by their token of A.
+        stretch = np.repeat(np.arange(len(n_a)), n_a)
+        order = np.argsort(at_a, kind="stable")
+        links = a[at_a[order]] * self.width + b[at_b[order]]
+        link_counts, groups = np.bincount(stretch[at_a], minlength=len(n_a)), np.bincount(stretch[last_a], minlength=len(n_a))
+        # A group's tokens of A are written before those of B, all before the next group.
+        width_a, width_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        ends_a, ends_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        ends_a[last_a], ends_b[last_b] = 1, 1
+        names = np.empty(len(a) + len(b), dtype=np.int64)
+        names[np.arange(len(a)) + np.repeat(last_b + 1 - width_b, width_a)] = 2 * a + ends_a
+        names[np.arange(len(b)) + np.repeat(last_a + 1, width_b)] = 2 * b + ends_b + len(self.a.names)
+        written = list(map(self.names.__getitem__, names.tolist()))
+        cuts = [0, *np.cumsum(n_a + n_b).tolist()]
+        said = ["".join(written[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        return np.stack([n_a, n_b, groups], axis=1), said, links, link_counts
 
     def align_all(self, texts: list[str | None]) -> list[Aligned]:
         """One result per text; a text that is null, empty or not given back byte for byte by both has none."""
-        full = [t or "" for t in texts]
-        sides = zip(full, self.a.ids_of(full), self.b.ids_of(full))
-        return [self._one(*side) if side[0] else NOTHING for side in sides]
-
-    def _one(self, text: str, a: np.ndarray, b: np.ndarray) -> Aligned:
-        ids_a, ids_b, source = a.tolist(), b.tolist(), b" " + text.encode()
-        if b"".join([self.a.bytes_of[i] for i in ids_a]) != source or b"".join([self.b.bytes_of[i] for i in ids_b]) != source:
+        cut = CUT.split if self.b.cuts else lambda text: [text]
+        split = [cut(" " + t) if t else [] for t in texts]
+        self._learn(split)
+        known = self.places.__getitem__
+        places = [np.fromiter(map(known, stretches), dtype=np.int64, count=len(stretches)) for stretches in split]
+        self.met += np.bincount(np.concatenate(places), minlength=len(self.met))
+        return [self._one(at) for at in places]
+
+    def _one(self, at: np.ndarray) -> Aligned:
+        if not len(at) or not self.same[at].all():
             return NOTHING
-        ends_a, ends_b = np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist()
-        names_a, names_b = [self.names_a[i] for i in ids_a], [self.names_b[i] for i in ids_b]
-        links_a, links_b, said, groups = [], [], [], 0
-        for a_from, a_to, b_from, b_to, regular in align(ends_a, ends_b):
-            if regular:
-                links_a += ids_a[a_from:a_to]
-                links_b += ids_b[b_from:b_to]
-                said += map("|".join, zip(names_a[a_from:a_to], names_b[b_from:b_to]))
-                groups += a_to - a_from
-            else:
-                for x, y in group_links(ends_a, ends_b, a_from, b_from, a_to, b_to):
-                    links_a.append(ids_a[x])
-                    links_b.append(ids_b[y])
-                said.append(f"{','.join(names_a[a_from:a_to])}|{','.join(names_b[b_from:b_to])}")
-                groups += 1
-        return Aligned(len(ids_a), len(ids_b), groups, np.array(links_a, dtype=np.int64), np.array(links_b, dtype=np.int64), ";".join(said))
+        n_a, n_b, n_groups = self.counts[at].sum(axis=0).tolist()
+        return Aligned(n_a, n_b, n_groups, self.links.gather(at), "".join(map(self.said.__getitem__, at.tolist()))[:-1])
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
@@ -239,8 +348,8 @@ def _aligned_rows(docs: DataFrame, key: str, text: str, tokenizer: str, model: b
                 full = []
                 for x in aligner.align_all(part_of.column(1).to_pylist()):
                     rows["chunk"].append(chunk.number)
-                    rows["place"].append(chunk.add(x.links_a * aligner.width + x.links_b))
-                    for name, value in zip(numbers, (x.n_a, x.n_b, x.n_groups, len(x.links_a))):
+                    rows["place"].append(chunk.add(x.links))
+                    for name, value in zip(numbers, (x.n_a, x.n_b, x.n_groups, len(x.links))):
                         rows[name].append(value)
                     rows["groups_sha256"].append(hashlib.sha256(x.groups.encode()).hexdigest() if x.n_a else "")
                     rows["groups"].append(x.groups if keep_groups else None)
@@ -256,14 +365,16 @@ def _aligned_rows(docs: DataFrame, key: str, text: str, tokenizer: str, model: b
 
 
 def _blob_counts(links: DataFrame) -> DataFrame:
-    """``code`` and ``documents`` over all blobs."""
+    """``bucket``, ``code`` and ``documents`` over all blobs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 codes, count = np.unique(unpack(blob.as_py())[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(count.astype(np.int64))], names=["code", "documents"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), bucket, dtype=np.int32)), pa.array(codes), pa.array(count.astype(np.int64))],
+                                                 names=["bucket", "code", "documents"])
 
-    return links.select("blob").mapInArrow(run, "code long, documents long").groupBy("code").agg(F.sum("documents").alias("documents"))
+    found = links.select("bucket", "blob").mapInArrow(run, "bucket int, code long, documents long")
+    return found.groupBy("bucket", "code").agg(F.sum("documents").alias("documents"))
 
 
 def _document_sums(links: DataFrame, counts: DataFrame, task_bytes: int) -> DataFrame:
@@ -304,13 +415,12 @@ def align_corpus(docs: DataFrame, tokenizer: str, model: bytes, key: str = "doc_
     Texts that are null, empty or changed by a tokenizer have zeros and an empty digest.  Every row is a document of its own, repeated
     rows and rows of one or no key too; other columns are left out.
     """
-    width = PieceTokens(model).model.get_piece_size()
+    width = len(PieceTokens(model).bytes_of)
     rows = stored(_aligned_rows(docs, key, text, tokenizer, model, keep_groups, chunk_links), "aligned")
     links = rows.where(F.col("kind") == LINKS)
-    hashed = F.pandas_udf(lambda codes: pd.Series(_mixed(codes.to_numpy()).astype(np.int32)), "int")
     counts = stored(_blob_counts(links), "pair-counts").withColumn("a", F.expr(f"code div {width}"))
     highest = counts.groupBy("a").agg(F.max("documents").alias("most"))
-    judged = counts.join(highest, "a").select("code", "documents", (F.col("documents") == F.col("most")).alias("best"), hashed("code").alias("bucket"))
+    judged = counts.join(highest, "a").select("code", "documents", (F.col("documents") == F.col("most")).alias("best"), "bucket")
     sums = _document_sums(links.select("bucket", "chunk", "blob"), judged, task_bytes)
     side = sums.select(F.col("chunk").alias("c"), F.col("place").alias("p"), "n_best", "count_sum")
     own = rows.where(F.col("kind") == DOCUMENT)

@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment against brute force over byte ranges."""
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -26,6 +27,11 @@ def ranges(pieces):
 
 
 class Plain:
+    @classmethod
+    @functools.cache
+    def shared(cls):
+        return cls()
+
     def __init__(self):
         self.a, self.b = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
         self.a.encode_special_tokens = True
@@ -104,17 +110,58 @@ def test_stretches_are_the_groups(cuts, stretch):
     b.append(at)
     common = sorted(set(a) & set(b))
     want = [(sum(x <= lo for x in a), sum(x <= hi for x in a), sum(x <= lo for x in b), sum(x <= hi for x in b)) for lo, hi in zip([0, *common], common)]
-    flat = []
-    for a0, a1, b0, b1, regular in alignment.align(a, b):
-        assert regular == (a1 - a0 == b1 - b0 and a[a0:a1] == b[b0:b1])
-        flat += [(a0 + k, a0 + k + 1, b0 + k, b0 + k + 1) for k in range(a1 - a0)] if regular else [(a0, a1, b0, b1)]
-        if not regular:
-            spans = [list(zip([0, *ends], ends)) for ends in (a, b)]
-            overlap = [(i, j) for i in range(a0, a1) for j in range(b0, b1) if max(spans[0][i][0], spans[1][j][0]) < min(spans[0][i][1], spans[1][j][1])]
-            assert list(alignment.group_links(a, b, a0, b0, a1, b1)) == overlap
+    found, links_a, links_b = alignment.align(a, b)
+    i = j = 0
+    flat, overlap = [], []
+    spans = [list(zip([0, *ends], ends)) for ends in (a, b)]
+    for first, count, shift in zip(found[::3], found[1::3], found[2::3]):
+        for last in range(first, first + abs(count)):
+            flat.append((i, last + 1, j, last + shift + 1))
+            assert (count > 0) == (flat[-1][1] - i == 1 == flat[-1][3] - j)
+            if count < 0:
+                overlap += [(x, y) for x in range(i, last + 1) for y in range(j, last + shift + 1) if max(spans[0][x][0], spans[1][y][0]) < min(spans[0][x][1], spans[1][y][1])]
+            i, j = flat[-1][1], flat[-1][3]
+    assert list(zip(links_a, links_b)) == overlap
     assert flat == want
 
 
+@pytest.fixture(scope="module")
+def aligner():
+    with open(PIECES, "rb") as file:
+        return alignment.Aligner(bpe.load(BYTES), file.read())
+
+
+@given(st.lists(st.sampled_from([" ", "  ", "\t", "\n", "\r", ";\r\n", "a", "Word", "'s", "é", "e\u0301", "日本", "\u00a0", "\u3000", "\x1c", "▁", "<0x0A>", "<|endoftext|>", "12", "{", "zz"]),
+                max_size=25).map("".join), st.text(max_size=20))
+@settings(max_examples=400, deadline=None)
+def test_stretches_encode_like_whole_texts(aligner, text, other):
+    plain = Plain.shared()
+    for t in (text, other, text + " " + other):
+        got = aligner.align_all([t])[0]
+        n_a, n_b, n_groups, links, groups = plain.document(t)
+        assert (got.n_a, got.n_b, got.n_groups, got.groups) == (n_a, n_b, n_groups, groups)
+        assert Counter(got.links.tolist()) == Counter(a * aligner.width + b for a, b in links)
+
+
+def test_a_small_table_changes_nothing(aligner, monkeypatch):
+    texts = [f"{'word ' * (i % 5)}number {i} and {i % 3} again, {'é' * (i % 4)} [{i}]" for i in range(300)]
+    want = [(x.n_a, x.n_b, x.n_groups, x.groups) for x in aligner.align_all(texts)]
+    for stretches, chars in ((20, 10**6), (10**6, 50)):
+        monkeypatch.setattr(alignment, "TABLE_STRETCHES", stretches)
+        monkeypatch.setattr(alignment, "TABLE_CHARS", chars)
+        got = [(x.n_a, x.n_b, x.n_groups, x.groups) for i in range(0, 300, 7) for x in aligner.align_all(texts[i:i + 7])]
+        assert got == want and len(aligner.places) < 200
+
+
+def test_side_a_gives_texts_back(aligner):
+    texts = ["é ﬁ \x00 𝕏 <|endoftext|> ", "\ud7ff日本", "a\tb\r\n\x7f"]
+    want = [(x.n_a, x.groups) for x in aligner.align_all(texts)]
+    assert aligner.a.lossless
+    fresh = alignment.Aligner(bpe.load(BYTES), aligner.b.model.serialized_model_proto())
+    fresh.a.lossless = False
+    assert [(x.n_a, x.groups) for x in fresh.align_all(texts)] == want
+
+
 def test_blobs_come_back():
     rng = np.random.default_rng(3)
     codes = np.sort(rng.integers(0, 2 ** 40, 500))
