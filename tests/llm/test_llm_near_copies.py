@@ -5,9 +5,10 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from radloom.llm import near_copies
+from radloom.llm import near_copies, simhash
 
 
 def plain_groups(rows, least=0.8):
@@ -62,3 +63,20 @@ def test_the_stage_takes_all_pairs_of_0_8(spark):
     expected = plain_groups([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect())
     assert got == expected
+
+
+def test_the_stage_goes_by_simhash_links_and_verifies_them(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BANDS", near_copies.Bands(0, 5))  # no MinHash keys: candidates come from fingerprints only
+    words = [f"w{i}" for i in range(200)]
+    first, near = " ".join(words), " ".join(words[:-1] + ["other"])
+    rows = [(1, first), (2, near), (3, None), (4, " "), (None, near)]
+    assert bin((simhash.fingerprint(first, 5) ^ simhash.fingerprint(near, 5)) & (2 ** 64 - 1)).count("1") <= 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
+def test_groups_are_candidates_and_nothing_more(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BANDS", near_copies.Bands(0, 5))
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    one_group = df.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("text_hash"), F.lit(7).cast("long").alias("root"))
+    assert kept(df, groups=one_group, chunk=16) == plain_groups(ROWS)
