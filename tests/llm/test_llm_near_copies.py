@@ -80,3 +80,11 @@ def test_groups_are_candidates_and_nothing_more(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     one_group = df.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("text_hash"), F.lit(7).cast("long").alias("root"))
     assert kept(df, groups=one_group, chunk=16) == plain_groups(ROWS)
+
+
+def test_stages_hand_whole_texts_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    corpus_pipeline.identify_language(spark, spark.createDataFrame([], "doc_id long, text string, lang string"), "")
+    assert int(spark.conf.get(name)) <= 1_000
+    spark.conf.unset(name)
