@@ -70,3 +70,14 @@ def test_no_plan_pairs_rows_or_gathers_them(big):
         plan = query(big, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("CartesianProduct|NestedLoop|BatchEvalPython|ArrowEvalPython", plan), name
         assert "SinglePartition" not in plan or name in totals, name
+
+
+def test_isolation_joins_go_by_the_measured_size_of_bad_keys(spark):
+    f = spark.range(0, 400_000, 1, 4).select((F.col("id") % 50_000).cast("string").alias("StudyInstanceUID"),
+                                             (F.col("id") % 100_000).cast("string").alias("SeriesInstanceUID"), F.col("id").cast("string").alias("SOPInstanceUID"))
+    study = f.select("StudyInstanceUID", F.lit(1).alias("age")).union(spark.createDataFrame([("7", 2), (None, 3), (None, 4)], "s string, age int"))
+    out = L.isolate(study, f.select("StudyInstanceUID", "SeriesInstanceUID"), f.select("SeriesInstanceUID", "SOPInstanceUID"))
+    assert "SortMergeJoin" not in out.good["series"]._jdf.queryExecution().executedPlan().toString()
+    assert out.bad["study"].count() == 9 and out.good["study"].count() == 400_000 + 3 - 9
+    assert {r.SeriesInstanceUID for r in out.bad["series"].collect()} == {"7", "50007"} and out.good["series"].count() == 400_000 - 8
+    assert sorted(int(r.SOPInstanceUID) for r in out.bad["image"].collect()) == list(range(7, 400_000, 50_000)) and out.good["image"].count() == 400_000 - 8
