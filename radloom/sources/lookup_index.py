@@ -47,9 +47,15 @@ def file_rows(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     held = rows.select(_plain_column(F.col("_metadata.file_path")).alias("file"), pairs.alias("pair")).where(F.col("pair.value").isNotNull()).select(
         "file", "pair.column", "pair.value").distinct()
     placed = held.select("column", _bucket(F.col("value"), buckets).alias("bucket"), "file", F.explode(_places(F.col("value"))).alias("place"))
-    return placed.groupBy("column", "bucket", "file").agg(
-        (F.count("*") / PLACES).cast("long").alias("keys"), F.bitmap_construct_agg(F.col("place").cast("long")).alias("filter")).select(
-        "column", "bucket", "file", "keys", "filter")
+    # Words of 64 places are OR-ed, in the order of the bitmap's bytes, so a task holds at most 512 numbers a filter and sorts no places.
+    place, byte = F.col("place"), F.floor((F.col("place") % 64) / 8)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), ((7 - byte) * 8 + place % 8).cast("int"))
+    words = placed.select("column", "bucket", "file", F.floor(place / 64).cast("int").alias("word"), bit.alias("bit")).groupBy(
+        "column", "bucket", "file", "word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+    texts = words.groupBy("column", "bucket", "file").agg(
+        F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("word", F.lpad(F.hex("bits"), 16, "0")))).alias("texts"))
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("texts", w), F.lit("0" * 16))), "")
+    return texts.select("column", "bucket", "file", (F.col("n") / PLACES).cast("long").alias("keys"), F.unhex(whole).alias("filter"))
 
 
 def _meta(spark: SparkSession, path: str) -> int | None:

@@ -65,3 +65,17 @@ def test_null_keys_empty_files_and_gone_files(spark, tmp_path):
     found = X.candidate_files(ids(spark, "a", None), "key_value", index, STUDY, df.inputFiles())
     assert len(found) == 1 and spark.read.parquet(*found).first().x == 2
     assert X.candidate_files(ids(spark, "a"), "key_value", index, STUDY, []) == []
+
+
+def test_filters_are_those_of_a_bitmap_and_no_places_are_sorted(spark, tmp_path):
+    spark.range(0, 5000, 1, 2).select(F.md5(F.col("id").cast("string")).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("b")).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t").select("a", "b", "_metadata")
+    got = X.file_rows(rows, ["a", "b"], 3)
+    assert "bitmap_construct_agg" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = rows.select("_metadata.file_path", F.explode(F.array(F.struct(F.lit("a").alias("c"), F.col("a").alias("v")), F.struct(F.lit("b").alias("c"), F.col("b").alias("v")))).alias("p"))
+    held = pairs.where("p.v IS NOT NULL").select("file_path", "p.c", "p.v").distinct()
+    plain = held.select("file_path", "c", X._bucket(F.col("v"), 3).alias("bucket"), F.explode(X._places(F.col("v"))).alias("place")).groupBy("file_path", "c", "bucket").agg(
+        (F.count("*") / X.PLACES).cast("long").alias("n"), F.bitmap_construct_agg(F.col("place").cast("long")).alias("bits"))
+    ends = lambda path: path.rpartition("/")[2]
+    assert {(r.column, r.bucket, ends(r.file)): (r["keys"], bytes(r.filter)) for r in got.collect()} == \
+        {(r.c, r.bucket, ends(r.file_path)): (r.n, bytes(r.bits)) for r in plain.collect()}
