@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import workload
 from radloom.operators import cohort as C, identity as I, load as L
-from radloom.operators.rejectors import ColumnValues, apply_rejectors
+from radloom.operators.rejectors import ColumnValues, DynamicRules, Rule, apply_rejectors
 from radloom.schemas import Catalogue
 
 
@@ -81,3 +81,24 @@ def test_isolation_joins_go_by_the_measured_size_of_bad_keys(spark):
     assert out.bad["study"].count() == 9 and out.good["study"].count() == 400_000 + 3 - 9
     assert {r.SeriesInstanceUID for r in out.bad["series"].collect()} == {"7", "50007"} and out.good["series"].count() == 400_000 - 8
     assert sorted(int(r.SOPInstanceUID) for r in out.bad["image"].collect()) == list(range(7, 400_000, 50_000)) and out.good["image"].count() == 400_000 - 8
+
+
+def test_rows_that_rules_decide_meet_no_list(big):
+    df = hot(big).withColumn("other", F.lit("z"))
+    listed = big.createDataFrame([("HOT",)], "v string")
+    judged = apply_rejectors(df, [DynamicRules((Rule("id % 2 = 0", "'even'"),)), ColumnValues("k", listed)])
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter"):]
+    assert "Union" in plan and re.search(r"Filter .*% 2", join)
+    counts = {r.reason: r["count"] for r in judged.groupBy("reason").count().collect()}
+    assert counts == {"even": 30000, ColumnValues.REASON: 10000, None: 20000}
+
+
+def test_identifiers_without_images_are_found_without_the_request(big):
+    images = hot(big).select(F.col("k").alias("StudyInstanceUID"), F.lit("s").alias("SeriesInstanceUID"), F.col("id").cast("string").alias("SOPInstanceUID"),
+                             F.col("payload").alias("RelativeFileArchiveURI"))
+    ids, catalogues = big.createDataFrame([(1, "hot"), (2, "none"), (3, "none")], "pos int, key_value string"), [Catalogue("CT_T", images)]
+    matched = big.createDataFrame([], "key_value string, RelativeFileArchiveURI string, StudyInstanceUID string, SeriesInstanceUID string, SOPInstanceUID string, reject boolean, reason string")
+    rows = C.match_cohort(ids, "StudyInstanceUID", catalogues, matched)
+    assert "LeftSemi" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.pos for r in rows.collect()) == [2, 3]
