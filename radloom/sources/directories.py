@@ -15,6 +15,8 @@ from radloom.functions.joins import join_side, without
 
 # --- fixed values: directory levels of a dated archive ------------------------
 DAY_LEVEL = r"20\d{2}[\\/]\d{2}[\\/]\d{2}([\\/]|$)"
+# A day level ends its folder (or stands before a backslash in it); one more folder follows.
+FIRST_ITEM = r"(?s)^(.*?20\d{2}[\\/]\d{2}[\\/]\d{2}(?:\\[^/]*|\r\n|[\n\r\x{85}\x{2028}\x{2029}])?/[^/]*)"
 ACCESSION_LEVEL = r"20\d{2}[\\/]\d{2}[\\/]\d{2}[\\/][a-zA-Z0-9._-]+[\\/]$"
 
 
@@ -62,6 +64,11 @@ def find_dirs_pacs(dirs: DataFrame, root: str) -> DataFrame:
     if re.search(ACCESSION_LEVEL, root):
         return dirs.sparkSession.createDataFrame([(root.strip("/\\"),)], "dir string")
     full = F.trim(F.col("dir"), F.lit("/"))
+    if not root.strip("/"):
+        # Without a root's depth to count one search does: the first day level that a folder below it ends, and that folder.
+        found = F.regexp_extract(full, FIRST_ITEM, 1)
+        below = dirs.where(paths.below_root(F.col("dir"), root)) if root else dirs
+        return below.select(found.alias("dir")).where(F.col("dir") != "").distinct()
     above = paths.ancestors(full)
     # The root itself may lie below a day level; then its children are the items.
     root_depth = len([p for p in root.strip("/").split("/") if p])

@@ -138,3 +138,12 @@ def test_tagsets_series_and_tables(spark, tmp_path, rows):
     assert read_table(spark, str(tmp_path / "series")).count() == 2
     spark.range(2).createOrReplaceTempView("two")
     assert read_table(spark, "two").count() == 2
+
+
+def test_pacs_folders_by_one_search(spark):
+    listed = {"2010/01/02/a": "2010/01/02/a", "x/2010/01/02/a/b/c": "x/2010/01/02/a", "2010/01/02": None, "2010/01/02/": None, "x/y": None, "": None,
+              "2010/01/02//b": "2010/01/02/", "2010\\01\\02\\q/z/w": "2010\\01\\02\\q/z", "2010/01/02x/a": None, "1999/2010/01/02/2011/03/04/k": "1999/2010/01/02/2011",
+              "2010/01/02\n/a/b": "2010/01/02\n/a", "n\n/2010/01/02/a": "n\n/2010/01/02/a", "/2010/01/02/a/": "2010/01/02/a", "w2010/01/02/a": "w2010/01/02/a"}
+    found = D.find_dirs_pacs(spark.createDataFrame([(d,) for d in listed], "dir string"), "")
+    assert {r.dir for r in found.collect()} == {v for v in listed.values() if v is not None}
+    assert "transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
