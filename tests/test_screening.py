@@ -106,3 +106,12 @@ BasicRules:
 - {Action: Report, IfPattern: '.+', As: Person}
 """)
     assert set(failing(S.screen(cells(spark, ("A", "bb"), ("A", "bx"), ("A", "c"), ("A", "ax")), rules))) == {"1"}
+
+
+def test_a_word_leaves_its_text_once(spark, tmp_path):
+    import workload
+
+    spark.createDataFrame([(1, "one two one two one"), (2, None), (3, "two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = workload.QUERIES["screen_words"](spark, str(tmp_path))
+    assert "array_distinct" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.word for r in found.collect()) == ["one", "two"]

@@ -134,7 +134,7 @@ def verdict(t):
 SELECT word FROM d WHERE regexp_full_match(word, '[a-zA-Z]+') AND NOT (length(word) > 1 AND lower(word)[1] = lower(word)[-1]) AND lower(word) NOT IN ('xyz', 'for', 'und')""")
 def screen_words(t):
     """As ``screen_backrefs``, over every word of every whole text."""
-    words = t.documents.select(F.explode(F.split("text", " ")).alias("value")).distinct()
+    words = t.documents.select(F.explode(F.array_distinct(F.split("text", " "))).alias("value")).distinct()
     cells = words.select(F.lit("w").alias("resource"), F.lit("word").alias("column"), "value")
     return S.screen(cells, _ODD).select(F.col("value").alias("word"))
 
