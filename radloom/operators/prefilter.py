@@ -1,17 +1,17 @@
 """Screening by many rules: only those are tried whose required text stands in the value.
 
 Most patterns cannot match without some literal text.  :func:`required_texts` reads it off a pattern, or says that there is none it is sure
-of.  A value is cut once into runs of three characters; the runs that belong to a required text name the rules worth trying.
-Rules without such a text are tried on every value, as before.  The first rule that holds decides, in the order of all.
+of.  All required texts make one pattern, which one pass over a value looks for at every place; the texts found name the rules worth trying.
+Rules without such a text are tried on every value that holds the shorter text they may require.  The first rule that holds decides, in the order of all.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -26,8 +26,8 @@ class _Unsure(Exception):
 class _Reader:
     """Texts of which every match must hold one, from a Java pattern; ``None`` where nothing is certain."""
 
-    def __init__(self, pattern: str):
-        self.text, self.at = pattern, 0
+    def __init__(self, pattern: str, least: int):
+        self.text, self.at, self.least = pattern, 0, least
 
     def peek(self, n: int = 1) -> str:
         return self.text[self.at:self.at + n]
@@ -50,7 +50,7 @@ class _Reader:
 
         def better(texts: frozenset[str] | None) -> None:
             nonlocal best
-            if texts and min(map(len, texts)) >= RUN and (best is None or (min(map(len, texts)), -len(texts)) > (min(map(len, best)), -len(best))):
+            if texts and min(map(len, texts)) >= self.least and (best is None or (min(map(len, texts)), -len(texts)) > (min(map(len, best)), -len(best))):
                 best = texts
 
         while self.peek() not in ("", "|", ")"):
@@ -132,9 +132,9 @@ class _Reader:
         return (1 if found.group(1) == "+" else 0), False
 
 
-def required_texts(pattern: str) -> frozenset[str] | None:
-    """Lower-case ASCII texts of three characters or more, one of which every match of a Java pattern holds in some case; None if unknown."""
-    reader = _Reader(pattern)
+def required_texts(pattern: str, least: int = RUN) -> frozenset[str] | None:
+    """Lower-case ASCII texts of ``least`` characters or more, one of which every match of a Java pattern holds in some case; None if unknown."""
+    reader = _Reader(pattern, least)
     try:
         found = reader.alternatives()
     except _Unsure:
@@ -142,15 +142,30 @@ def required_texts(pattern: str) -> frozenset[str] | None:
     return found if reader.at == len(pattern) else None
 
 
-def _by_run(texts: list[frozenset[str] | None]) -> dict[str, list[int]]:
-    """Rules by one run of each of their texts, the one that fewest texts share."""
-    runs = lambda text: [text[i:i + RUN] for i in range(len(text) - RUN + 1)]
-    shared = Counter(r for of_rule in texts if of_rule for text in of_rule for r in set(runs(text)))
-    named: dict[str, set[int]] = {}
-    for number, of_rule in enumerate(texts):
-        for text in of_rule or ():
-            named.setdefault(min(runs(text), key=lambda r: (shared[r], r)), set()).add(number)
-    return {r: sorted(numbers) for r, numbers in named.items()}
+def _by_text(texts: list[frozenset[str] | None]) -> dict[str, list[int]]:
+    """Rules by their texts; a text also names the rules of those it starts with, since the longest one found at a place stands for all."""
+    every = {text for of_rule in texts for text in of_rule or ()}
+    return {t: [n for n, of_rule in enumerate(texts) if of_rule and any(t.startswith(x) for x in of_rule)] for t in sorted(every)}
+
+
+def _longest_of(texts: list[str]) -> str:
+    """A Java pattern that matches the longest of the texts standing at a place, without trying them one by one."""
+    rests: dict[str, list[str]] = {}
+    for text in texts:
+        if text:
+            rests.setdefault(text[0], []).append(text[1:])
+    if not rests:
+        return ""
+    either = "|".join(re.escape(first) + _longest_of(rest) for first, rest in rests.items())
+    return f"(?:{either})" + ("?" if "" in texts else "")
+
+
+def _holds_one(value: Column, texts: frozenset[str] | None) -> Column | None:
+    """Whether a value holds one of a few short texts; None where that is not worth a test."""
+    if not texts or len(texts) > 4:
+        return None
+    looked_at = F.lower(value) if any(c.isalpha() for t in texts for c in t) else value
+    return reduce(Column.__or__, [looked_at.contains(t) for t in sorted(texts)])
 
 
 @dataclass(frozen=True)
@@ -162,25 +177,27 @@ class Decider:
 
     def __call__(self, value: Column, column: Column) -> Column:
         texts = [None if r is None else required_texts(r.removeprefix("(?i)")) for r in self.regexes]
-        named = _by_run(texts)
+        named = _by_text(texts)
         case, any_always = F, False
         for number, (regex, of) in enumerate(zip(self.regexes, self.columns)):
             if texts[number] is None:
                 holds = F.lit(True) if regex is None else value.rlike(regex)
+                needed = None if regex is None else _holds_one(value, required_texts(regex.removeprefix("(?i)"), 1))
+                holds = holds if needed is None else needed & holds
                 case, any_always = case.when((column == of) & holds if of else holds, F.lit(number)), True
         always = case.otherwise(F.lit(None).cast("int")) if any_always else F.lit(None).cast("int")
-        return F.least(F.array_min(self._named(value, column, named)), always) if named else always
+        return F.least(self._named(value, column, named), always) if named else always
 
     def _named(self, value: Column, column: Column, named: dict[str, list[int]]) -> Column:
-        """Rules with a required text that hold."""
+        """The first rule with a required text that holds."""
         regexes, columns = self.patterns(), _texts([c or "" for c in self.columns])
-        by_run = F.from_json(F.lit(json.dumps(named)), "map<string,array<int>>")
-        runs = F.transform(F.array(F.split(F.lower(value), "")), lambda chars: F.filter(
-            F.transform(F.sequence(F.lit(0), F.size(chars) - RUN), lambda i: F.concat(*[F.get(chars, i + k) for k in range(RUN)])),
-            lambda r: r.isin(list(named))))[0]
-        numbers = F.array_distinct(F.flatten(F.transform(F.array_distinct(runs), lambda r: F.try_element_at(by_run, r))))
+        by_text = F.from_json(F.lit(json.dumps(named)), "map<string,array<int>>")
+        # A place is looked at without taking it, so texts that overlap are all found.
+        found = F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(f"(?=({_longest_of(list(named))}))"), F.lit(1)))
+        numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda t: F.try_element_at(by_text, t)))))
         holds = lambda n: F.get(columns, n).isin("", column) & F.regexp_like(value, F.get(regexes, n))
-        return F.when(F.length(value) >= RUN, F.filter(numbers, holds))
+        first = F.aggregate(numbers, F.lit(None).cast("int"), lambda before, n: F.when(before.isNotNull(), before).when(holds(n), n))
+        return F.when(F.length(value) >= RUN, first)
 
     def patterns(self) -> Column:
         """The patterns by number; a rule without one takes the whole value."""

@@ -137,14 +137,22 @@ def _first_report(value: Column, rules: list[ScreenRule]) -> Column:
 
 def _parts(hit: Column, shift: Column) -> Column:
     """Parts of a marked value; ``shift`` is where the value starts in its cell."""
-    pieces = F.filter(F.split(hit["marked"], _CLOSE), lambda p: p.contains(_OPEN))
-    # Text before piece i: all earlier pieces, each one mark longer than its text.
-    start = lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) - 1) \
-        + F.instr(p, _OPEN) - 1
-    return F.transform(pieces, lambda p, i: F.struct(
-        hit["classification"].alias("Classification"),
-        (start(p, i) + shift).cast("int").alias("Offset"),
-        F.substring_index(p, _OPEN, -1).alias("Word")))
+    cut = F.filter(F.split(hit["marked"], _CLOSE), lambda p: p.contains(_OPEN))
+
+    def parts(pieces: Column, lengths: Column) -> Column:
+        # Text before piece i: all earlier pieces, each one mark longer than its text.
+        start = lambda p, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x - 1) + F.instr(p, _OPEN) - 1
+        return F.transform(pieces, lambda p, i: F.struct(
+            hit["classification"].alias("Classification"),
+            (start(p, i) + shift).cast("int").alias("Offset"),
+            F.substring_index(p, _OPEN, -1).alias("Word")))
+
+    return _once(cut, lambda pieces: _once(F.transform(pieces, F.length), lambda lengths: parts(pieces, lengths)))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def _parts_of(value: Column, verdict_of) -> Column:
@@ -177,16 +185,15 @@ def _decided(value: Column, column: Column, rules: list[ScreenRule], decide: Dec
 
 def _parts_by_texts(value: Column, column: Column, rules: list[ScreenRule], decide: Decider) -> Column:
     """Parts of one cell under many rules, null when it passes."""
-    pieces = F.split(value, r"\\")
-    hits = F.zip_with(F.transform(pieces, lambda v: _decided(v, column, rules, decide)), _starts(pieces),
-                      lambda hit, at: F.struct(hit.alias("hit"), at.alias("at")))
+    hits = _once(F.split(value, r"\\"), lambda pieces: F.zip_with(
+        F.transform(pieces, lambda v: _decided(v, column, rules, decide)), _starts(pieces), lambda hit, at: F.struct(hit.alias("hit"), at.alias("at"))))
     found = F.flatten(F.transform(F.filter(hits, lambda h: h["hit"].isNotNull()), lambda h: _parts(h["hit"], h["at"])))
     return F.transform(F.array(found), lambda parts: F.when(F.size(parts) > 0, parts))[0]
 
 
 def _starts(pieces: Column) -> Column:
     """Where each piece of a joined value starts."""
-    return F.transform(pieces, lambda v, i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    return _once(F.transform(pieces, F.length), lambda lengths: F.transform(pieces, lambda v, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x + 1)))
 
 
 def _cell_parts(value: Column, column: Column, rules: list[ScreenRule]) -> Column:

@@ -88,3 +88,25 @@ def test_long_texts(spark):
     text = " ".join(v for v in values(rules, 4000) if v)
     got = S.screen_cells(spark.createDataFrame([("1", "c", text)], "resource string, column string, value string"), rules).first()
     assert got.parts and all(text[p.Offset:p.Offset + len(p.Word)] == p.Word for p in got.parts)
+
+
+def test_texts_that_start_or_overlap_others(spark, monkeypatch):
+    """The longest text at a place names the rules of those it starts with, and none that overlaps it is passed over."""
+    report = lambda pattern, name: S.ScreenRule("Report", pattern=pattern, classification=name)
+    rules = [report("terms of$", "1"), report("[0-9]termsx", "2"), report("rms of use", "3"), report("terms? ", "4"), report("a[.]b@c", "5"), report("[x-z]@[x-z]", "6"), report("ab[.]", "7"),
+             *[S.ScreenRule("Ignore", pattern=f"^filler {n} never$") for n in range(30)]]
+    texts = ["TERMS OF", "the terms of use", "terms", "term ", "1termsx", "xterms of x", "A.B@C", "q y@y", "y@", "ab.", "AB.", "", None, "filler 3 never", "filler 3 never ab."]
+    cells = spark.createDataFrame([(str(i), "c", t) for i, t in enumerate(texts)], "resource string, column string, value string")
+    found = lambda: {r.resource: [tuple(p) for p in r.parts] for r in S.screen(cells, rules).collect()}
+    by_texts = found()
+    monkeypatch.setattr(S, "MANY_RULES", 10_000)
+    assert by_texts == found() and [by_texts[i][0][0] for i in "0134"] == ["1", "3", "4", "2"]
+
+
+def test_required_texts_below_three_characters():
+    assert required_texts("[a-z]+@[a-z]+") is None and required_texts("[a-z]+@[a-z]+", 1) == {"@"} and required_texts("[a-z]+[0-9]?", 1) is None
+
+
+def test_a_long_text_is_read_once_not_cut_into_characters(spark):
+    plan = S.screen_cells(spark.createDataFrame([("1", "c", "x")], "resource string, column string, value string"), invented(40))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "split(lower(" not in plan
