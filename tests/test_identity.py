@@ -238,3 +238,25 @@ def test_swappers(spark, mapping, tmp_path, rows):
     assert rows(both.swap(new, "id"), "id", "replacement")[0] == ("0101010101", "0A0A0A0A0A")
     assert stored().where("swap = '0505050505'").count() == 1 and stored().count() == 3
     assert rows(I.LookupSwapper(mapping).swap(new, "id"), "replacement") == [("0A0A0A0A0A",), (None,)]
+
+
+def test_deid_tests_keys_and_digests_once(spark):
+    """Each row's keys are tested for lower case once, not for every element a script adds; a UID's digest is computed once for both of its halves."""
+    s = script(("00080060", "@require()"), ("00080070", "@require()"), ("00120062", "@always()YES"), ("0020000D", "@hashuid(@UIDROOT,this)"), extra=UNLISTED)
+    df = tagset(spark, '{"0020000d":{"vr":"UI","val":"1.2"},"00080060":{"vr":"CS","val":"CT"}}', '{"0020000D":{"vr":"UI","val":"1.2"}}')
+    out = D.deidentify(df, s, "salt")
+    rows = [{t: e["val"] for t, e in r["tags"].items()} for r in out.collect()]
+    assert [set(r) for r in rows] == [{"0020000D", "00080060", "00080070", "00120062"}] * 2 and rows[0]["0020000D"] == rows[1]["0020000D"]
+    assert [r["00080060"] for r in rows] == ["CT", ""]
+    plain = df.select(F.create_map(F.lit("0020000D"), F.struct(F.lit("UI").alias("vr"), F.lit("1.2").alias("val"))).alias("tags"))
+    plan = D.deidentify(plain.localCheckpoint(), s, "salt")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _upper_tags") == 1 and plan.count("array_contains(map_keys(_upper_tags") == 3
+    uid = spark.range(1).select(D.hash_uid(F.col("id").cast("string"), "9999", "salt").alias("u"))
+    assert uid._jdf.queryExecution().analyzed().toString().count("sha2(") == 1
+
+
+def test_tag_texts_are_searched_for_lower_case_only_when_a_key_has_some(spark):
+    df = spark.createDataFrame([('{"0008103e":{"vr":"LO","val":"a"}}',)], "j string").select(TG.parse_tags(F.col("j")).alias("tags"))
+    assert list(df.first()["tags"]) == ["0008103E"]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.index("array_join(map_keys(") < plan.index("[0-9A-F]{0,7}[a-f]") and plan.count("[0-9A-F]{0,7}[a-f]") == 1
