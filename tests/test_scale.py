@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import workload
 from radloom.operators import cohort as C, identity as I, load as L
-from radloom.operators.rejectors import ColumnValues, DynamicRules, Rule, apply_rejectors
+from radloom.operators.rejectors import Blacklist, ColumnValues, DynamicRules, Rule, apply_rejectors
 from radloom.schemas import Catalogue
 
 
@@ -57,6 +57,32 @@ def test_cohort_rows_split_a_hot_study(big):
     assert rows.count() == 60001 and rows.where("SOPInstanceUID IS NULL").first()["key_value"] == "none"
 
 
+@pytest.mark.parametrize("studies,skewed", [(3000, False), (2, True)])
+def test_verdicts_are_made_distinct_and_met_with_the_request_in_place(big, studies, skewed):
+    """Rows move for the lists only; a large study is split all the same, and an image judged twice alike is one."""
+    n = F.col("id")
+    study = F.when(n % 3 > 0, (n % studies).cast("string")).otherwise("hot") if skewed else (n % studies).cast("string")
+    once = big.range(0, 12000, 1, 4).select(study.alias("StudyInstanceUID"), F.concat_ws(".", study, n % 6000).alias("SeriesInstanceUID"), n.cast("string").alias("SOPInstanceUID"),
+                                            F.md5(n.cast("string")).alias("RelativeFileArchiveURI"), (n % 7).cast("string").alias("PatientID"), (n % 2 == 0).alias("plain"))
+    # The same images again, now decided by the rule that gives the reason of the list.
+    images = once.union(once.where("PatientID = '3'").withColumn("plain", F.lit(False)))
+    listed = Catalogue("Bad", big.createDataFrame([("1", None), ("20", None), (None, "12.12"), (None, "hot.12")], "StudyInstanceUID string, SeriesInstanceUID string"))
+    patients = big.createDataFrame([("3",)], "PatientID string")
+    rule = DynamicRules((Rule("NOT plain", f"'{ColumnValues.REASON}'"),))
+    ids = once.select(F.col("StudyInstanceUID").alias("key_value")).distinct().select(F.lit(1).alias("pos"), "key_value")
+    catalogues = [Catalogue("CT_T", images)]
+    matched = C.match_images(ids, "StudyInstanceUID", catalogues, [rule, Blacklist(listed), ColumnValues("PatientID", patients)])
+    rows = C.match_cohort(ids, "StudyInstanceUID", catalogues, matched)
+    plan = final_plan(rows)
+    assert ("skew=true" in plan) == skewed
+    assert skewed or not re.search(r"Exchange hashpartitioning\([^)]*RelativeFileArchiveURI", plan)
+    bad = [{r[0] for r in listed.df.select(c).dropna().collect()} for c in ("StudyInstanceUID", "SeriesInstanceUID")]
+    expected = {(r[0], r[2], ColumnValues.REASON if not r.plain else "Blacklisted in Bad" if r[0] in bad[0] or r[1] in bad[1] else ColumnValues.REASON if r.PatientID == "3" else None)
+                for r in images.collect()}
+    got = [tuple(r) for r in rows.select("key_value", "SOPInstanceUID", "reason").collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
 def test_archive_of_most_entries(big):
     entries = hot(big).select(F.col("payload").alias("DicomFilePath"), F.when(F.col("k") == "hot", "big.zip").alias("archive"), F.col("id").alias("entry_pos"))
     store = entries.where((F.col("archive") == "big.zip") & (F.col("entry_pos") == 30000)).select("DicomFilePath")
