@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import workload
 from radloom.operators import cohort as C, identity as I, load as L
 from radloom.operators.rejectors import Blacklist, ColumnValues, DynamicRules, Rule, apply_rejectors
+from radloom.operators.validate import ExtractionOptions
+from radloom.plans.extraction import plan_extraction
 from radloom.schemas import Catalogue
 
 
@@ -83,6 +85,38 @@ def test_verdicts_are_made_distinct_and_met_with_the_request_in_place(big, studi
     assert set(got) == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("keys,skewed", [(3000, False), (2, True)])
+def test_collections_move_their_content_once(big, keys, skewed):
+    n = F.col("id")
+    key = F.when(n % 3 > 0, (n % keys).cast("string")).otherwise("hot") if skewed else (n % keys).cast("string")
+    images = big.range(0, 12000, 1, 4).select(key.alias("StudyInstanceUID"), (n % 100).cast("string").alias("SeriesInstanceUID"), n.cast("string").alias("SOPInstanceUID"),
+                                              F.md5(n.cast("string")).alias("RelativeFileArchiveURI"), n)
+    ids = images.select(F.lit(1).alias("pos"), F.col("StudyInstanceUID").alias("key_value")).distinct().union(big.createDataFrame([(2, "none"), (3, "1"), (4, None)], "pos int, key_value string"))
+    rules = DynamicRules((Rule("id % 5 = 0", "'fifth'"), Rule("id % 25 = 1", "'FIFTH'"), Rule("id % 7 = 0", "concat('r', id % 400)")))
+    plan = plan_extraction(ids, ExtractionOptions("StudyInstanceUID"), "CT", "p/x", [Catalogue("CT_T", images)], [rules], keep=True)
+    assert "FileScan parquet" in plan.matched._jdf.queryExecution().executedPlan().toString()
+    packed = C.collection_messages(ids, plan.matched, plan.files, part_size=100)
+    text = final_plan(packed)
+    assert skewed and "skew=true" in text or not re.search(r"Exchange hashpartitioning\([^)]*part#", text)
+    records = packed.collect()
+    assert len({(r.key_pos, r.key_value, r.part) for r in records}) == len(records) and max(len(r.files) for r in records) < 200
+    assert {(r.key_pos, r.key_value) for r in records if r.part == 0} == {(r.pos, r.key_value) for r in ids.where("key_value IS NOT NULL").collect()}
+    got, asked = {}, {r.key_value for r in records}
+    for r in (r for r in records if r.key_pos < 3):
+        files, reasons = got.setdefault(r.key_value, ([], {}))
+        assert not reasons.keys() & r.reasons.keys()
+        files.extend(r.files), reasons.update(r.reasons)
+    expected, least = {k: ([], {}) for k in asked}, {}
+    for r in sorted(plan.matched.collect(), key=lambda r: (r.RelativeFileArchiveURI, r.SOPInstanceUID)):
+        files, reasons = expected[r.key_value]
+        if r.reason is None:
+            files.append(f"{r.StudyInstanceUID}/{r.SeriesInstanceUID}/{r.SOPInstanceUID}-an.dcm")
+        else:
+            spelt = least.setdefault((r.key_value, r.reason.lower()), r.reason)
+            reasons[spelt] = reasons.get(spelt, 0) + 1
+    assert {k: (sorted(f), m) for k, (f, m) in got.items()} == {k: (sorted(f), m) for k, (f, m) in expected.items()}
+
+
 def test_archive_of_most_entries(big):
     entries = hot(big).select(F.col("payload").alias("DicomFilePath"), F.when(F.col("k") == "hot", "big.zip").alias("archive"), F.col("id").alias("entry_pos"))
     store = entries.where((F.col("archive") == "big.zip") & (F.col("entry_pos") == 30000)).select("DicomFilePath")
