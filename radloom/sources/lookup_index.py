@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from radloom.functions.joins import join_side
-from radloom.session import pin
+from radloom.session import kept
 from radloom.sources.commits import names
 
 #: Bits of a filter, which is what one bitmap of Spark's holds, and places set for each identifier.
@@ -43,19 +43,25 @@ def _is_set(bits: Column, place: Column) -> Column:
 
 def file_rows(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """The index rows of the files that ``rows`` is read from, for text columns; null identifiers are in no filter."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
-    held = rows.select(_plain_column(F.col("_metadata.file_path")).alias("file"), pairs.alias("pair")).where(F.col("pair.value").isNotNull()).select(
-        "file", "pair.column", "pair.value").distinct()
-    placed = held.select("column", _bucket(F.col("value"), buckets).alias("bucket"), "file", F.explode(_places(F.col("value"))).alias("place"))
+    # Values travel with their column's number and 128 bits of their file's path, which is longer than they are.
+    path, sides = F.col("_metadata.file_path"), ["_a", "_b"]
+    file = [F.xxhash64(path, F.lit(n)).alias(c) for n, c in enumerate(sides)]
+    named = rows.select(path.alias("path"), *file).distinct().select(*sides, _plain_column(F.col("path")).alias("file"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("at"), F.col(f"`{c}`").cast("string").alias("value")) for n, c in enumerate(columns)]))
+    held = rows.select(*file, pairs.alias("pair")).where(F.col("pair.value").isNotNull()).select(*sides, "pair.at", "pair.value").distinct()
+    filter_of = ["at", "bucket", *sides]
+    placed = held.select("at", _bucket(F.col("value"), buckets).alias("bucket"), *sides, F.explode(_places(F.col("value"))).alias("place"))
     # Words of 64 places are OR-ed, in the order of the bitmap's bytes, so a task holds at most 512 numbers a filter and sorts no places.
     place, byte = F.col("place"), F.floor((F.col("place") % 64) / 8)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), ((7 - byte) * 8 + place % 8).cast("int"))
-    words = placed.select("column", "bucket", "file", F.floor(place / 64).cast("int").alias("word"), bit.alias("bit")).groupBy(
-        "column", "bucket", "file", "word").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
-    texts = words.groupBy("column", "bucket", "file").agg(
+    words = placed.select(*filter_of, F.floor(place / 64).cast("int").alias("word"), bit.alias("bit")).groupBy(*filter_of, "word").agg(
+        F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+    texts = words.groupBy(*filter_of).agg(
         F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("word", F.lpad(F.hex("bits"), 16, "0")))).alias("texts"))
     whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("texts", w), F.lit("0" * 16))), "")
-    return texts.select("column", "bucket", "file", (F.col("n") / PLACES).cast("long").alias("keys"), F.unhex(whole).alias("filter"))
+    filters = texts.select(*filter_of, (F.col("n") / PLACES).cast("long").alias("keys"), F.unhex(whole).alias("filter"))
+    column = F.element_at(F.array(*map(F.lit, columns)), F.col("at") + 1)
+    return filters.join(named, sides).select(column.alias("column"), "bucket", "file", "keys", "filter")
 
 
 def _meta(spark: SparkSession, path: str) -> int | None:
@@ -117,16 +123,16 @@ def candidate_files(ids: DataFrame, value: str, path: str, column: str, files: I
     buckets = _meta(spark, path)
     if buckets is None:
         return sorted(r.file for r in live.collect())
-    wanted = pin(ids.select(F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct().select(
-        _bucket(F.col("value"), buckets).alias("b"), "value", _places(F.col("value")).alias("places")))
-    # Identifiers of a bucket are tested together, in lists of about LIST, so a row of the index meets few rows.
+    wanted = kept(ids.select(F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct().select(
+        _bucket(F.col("value"), buckets).alias("b"), "value"))
+    # Identifiers of a bucket are tested together, in lists of about LIST, so a row of the index meets few rows; places, which are longer, are made there.
     lists = -(-wanted.count() // (LIST * buckets)) or 1
-    grouped = wanted.groupBy("b", F.pmod(F.xxhash64("value", F.lit(3)), F.lit(lists)).alias("n")).agg(F.collect_list("places").alias("all_places"))
+    grouped = wanted.groupBy("b", F.pmod(F.xxhash64("value", F.lit(3)), F.lit(lists)).alias("n")).agg(F.collect_list("value").alias("asked_values"))
     # At most as many as there are buckets; they let the scan of the index skip the others' rows.
     asked = [r.b for r in wanted.select("b").distinct().collect()]
     index = _read(spark, path)
     met = index.where((F.col("column") == column) & F.col("bucket").isin(asked)).join(grouped, F.col("bucket") == F.col("b")).where(
-        F.exists("all_places", lambda places: F.forall(places, lambda p: _is_set(F.col("filter"), p)))).select("file").distinct()
+        F.exists("asked_values", lambda v: F.forall(_places(v), lambda p: _is_set(F.col("filter"), p)))).select("file").distinct()
     unknown = live.join(join_side(indexed_files(spark, path), "file"), "file", "left_anti")
     return sorted(r.file for r in live.join(join_side(met, "file"), "file", "left_semi").unionByName(unknown).distinct().collect())
 

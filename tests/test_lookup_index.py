@@ -1,11 +1,15 @@
 """The index over a catalogue's files: no file that can answer is left out, and few others are opened."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from radloom.operators import cohort as C
 from radloom.schemas import PATH, SERIES, SOP, STUDY, Catalogue
 from radloom.sources import lookup_index as X
+from workload import views as V
+from workload.registry import Tables
 
 
 @pytest.fixture
@@ -79,3 +83,24 @@ def test_filters_are_those_of_a_bitmap_and_no_places_are_sorted(spark, tmp_path)
     ends = lambda path: path.rpartition("/")[2]
     assert {(r.column, r.bucket, ends(r.file)): (r["keys"], bytes(r.filter)) for r in got.collect()} == \
         {(r.c, r.bucket, ends(r.file_path)): (r.n, bytes(r.bits)) for r in plain.collect()}
+
+
+def test_values_travel_without_their_files_path_and_identifiers_without_their_places(spark, catalogue, tmp_path, monkeypatch):
+    rows, index = spark.read.parquet(catalogue).select(STUDY, SOP, "_metadata"), str(tmp_path / "index")
+    got = X.file_rows(rows, [STUDY, SOP], 3)
+    assert not re.search(r"Exchange hashpartitioning\([^)]*\bfile#", got._jdf.queryExecution().executedPlan().toString())
+    held = rows.select(STUDY, "_metadata.file_path").groupBy("file_path").agg(F.count_distinct(STUDY)).collect()
+    assert sorted(r[0] for r in got.where(F.col("column") == STUDY).groupBy("file").agg(F.sum("keys")).select("sum(keys)").collect()) == sorted(r[1] for r in held)
+    df, stored = spark.read.parquet(catalogue), []
+    X.add_files(spark, index, df.inputFiles(), df.schema, [STUDY], 4)
+    monkeypatch.setattr(X, "kept", lambda wanted: stored.append(wanted.columns) or wanted)
+    assert len(X.candidate_files(ids(spark, "17", "18"), "key_value", index, STUDY, df.inputFiles())) < 20 and stored == [["b", "value"]]
+
+
+def test_the_stored_catalogue_has_whole_studies_in_its_files_and_no_shuffle_of_its_own(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    dealt, plain = V.patient_files(t, 32), V.patient_files(t)
+    assert "rangepartitioning" not in dealt._jdf.queryExecution().executedPlan().toString() and dealt.rdd.getNumPartitions() == 32
+    places = dealt.select(STUDY, F.spark_partition_id().alias("at")).distinct()
+    assert places.count() == plain.select(STUDY).distinct().count() and places.select("at").distinct().count() == 32
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
